@@ -60,7 +60,7 @@ def monthly_grid(readings: DataFrame, shard_months: int = SHARD_MONTHS) -> DataF
     ``readings`` has ``source, date, value`` with usable values only. A month with readings holds their mean and is
     'observed'; one without is 'filled' by a line between the nearest months on either side, with n_readings 0.
     Repeated rows count as often as they stand; a null source is a source of its own; an empty table gives an empty
-    grid. Values are rounded to 9 places, so that the order in which sums run does not show.
+    grid. Values are rounded to 12 places, so that the order in which sums run does not show.
     """
     s = shard_summaries(readings, shard_months)
     first = F.coalesce(F.col("before.m") + 1, F.element_at("own", 1)["m"])
@@ -74,7 +74,7 @@ def monthly_grid(readings: DataFrame, shard_months: int = SHARD_MONTHS) -> DataF
     return grid.select(
         "source",
         month_text(F.col("m")).alias("month"),
-        F.round(F.when(seen, F.col("l.v")).otherwise(line), 9).alias("value"),
+        F.round(F.when(seen, F.col("l.v")).otherwise(line), 12).alias("value"),
         F.when(seen, F.col("l.n")).otherwise(F.lit(0)).alias("n_readings"),
         F.when(seen, F.lit("observed")).otherwise(F.lit("filled")).alias("status"),
     )
