@@ -66,7 +66,7 @@ def deseasonalise(t: np.ndarray, y: np.ndarray, rounds: int = 5) -> np.ndarray:
     return y - a * s - b * c
 
 
-def outliers(t: np.ndarray, y: np.ndarray, critical: float = CRITICAL, side: int = SIDE, rounds: int = 12) -> np.ndarray:
+def outliers(t: np.ndarray, y: np.ndarray, critical: float = CRITICAL, side: int = SIDE, rounds: int = 40) -> np.ndarray:
     """True for the additive outliers of left-justified rows (NaN to the right of a row's readings)."""
     found = np.zeros(y.shape, bool)
     todo = np.nonzero((~np.isnan(y)).sum(1) >= LEAST)[0]
@@ -87,21 +87,29 @@ def outliers(t: np.ndarray, y: np.ndarray, critical: float = CRITICAL, side: int
             after = np.where(few_after & ~np.isnan(before), before, after)
             lo, hi = np.fmin(before, after), np.fmax(before, after)
             beyond = z - np.clip(z, lo, hi)
-            e = z - np.where(np.abs(z - before) < np.abs(z - after), before, after)
+            middle = (before + after) / 2
+            rough = 1.4826 * np.nanmedian(np.abs(z - middle), axis=1, keepdims=True)
+            nearer = np.where(np.abs(z - before) < np.abs(z - after), before, after)
+            e = z - np.where(np.abs(before - after) > 3 * rough, nearer, middle)
             phi = _autoregression(e)
             noise = e[:, 1:] - phi[:, None] * e[:, :-1]
             scale = 1.4826 * np.nanmedian(np.abs(noise), axis=1)
             local = _local_scale(e)
             scale = np.fmax(np.fmax(scale[:, None], local), 1e-4)
             score = np.where(np.isnan(beyond), 0, np.abs(beyond) / scale)
-            best = score.max(1, keepdims=True)
-            hit = (score > critical) & (score > 0.4 * best)
+            hit = (score > critical) & (score == _neighbourhood_max(score, side))
             rows, cols = np.nonzero(hit)
             found[todo[rows], order[rows, cols]] = True
             todo = todo[hit.any(1)]
     return found
 
 
+def _neighbourhood_max(score: np.ndarray, side: int) -> np.ndarray:
+    """The largest score within ``side`` entries: of neighbours only the strongest outlier is taken in one round."""
+    p = np.pad(score, ((0, 0), (side, side)))
+    return np.max(np.stack([p[:, o : o + score.shape[1]] for o in range(2 * side + 1)]), axis=0)
+
+
 def _autoregression(e: np.ndarray) -> np.ndarray:
     """First-order coefficient per row from residuals clipped at 2 scales, held within [0, 0.9]."""
     s = 1.4826 * np.nanmedian(np.abs(e), axis=1, keepdims=True) + 1e-9

@@ -65,10 +65,10 @@ places AS (
 )"""
 _MEASURED_P = """
 mp AS (
-  SELECT row_id, chunk_id, f, CASE WHEN coalesce(esa_lc20, 1) <> 0 AND coalesce(esa_lc21, 1) <> 0 AND v >= 0 AND v <= top THEN v END AS v
+  SELECT row_id, chunk_id, f, CASE WHEN coalesce(esa_lc20, 1) <> 0 AND coalesce(esa_lc21, 1) <> 0 AND NOT isnan(v) AND v >= 0 AND v <= top THEN v END AS v
   FROM (SELECT row_id, chunk_id, esa_lc20, esa_lc21, unnest(['gfc_tc00', 'potapov_tree_height', 'dw_tree_prob_mean']) AS f, unnest([gfc_tc00, potapov_tree_height, dw_tree_prob_mean]) AS v, unnest([100, 60, 100]) AS top FROM products)
 ), mf AS (
-  SELECT row_id, chunk_id, 'bfast_magnitude' AS f, CASE WHEN coalesce(bfast_change_date, 0) <> -2 AND bfast_magnitude BETWEEN -1 AND 1 THEN bfast_magnitude END AS v FROM features
+  SELECT row_id, chunk_id, 'bfast_magnitude' AS f, CASE WHEN coalesce(bfast_change_date, 0) <> -2 AND NOT isnan(bfast_magnitude) AND bfast_magnitude BETWEEN -1 AND 1 THEN bfast_magnitude END AS v FROM features
 ), m AS (
   SELECT *, count(v) OVER w AS n, min(v) OVER w AS lo, max(v) OVER w AS hi
   FROM (SELECT 'products' AS t, * FROM mp UNION ALL SELECT 'features', * FROM mf) WINDOW w AS (PARTITION BY t, f, chunk_id)
