@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import pivot_clusters, rank_walk, varied_subset
+from terravane.llm import leakage, packing, pivot_clusters, rank_walk, varied_subset
 from terravane.operators import measured, proximity
 from terravane.session import table
 
@@ -47,5 +47,17 @@ def p4_subset(spark: SparkSession, d: str) -> DataFrame:
     return varied_subset.varied_subset(proximity.point_locations(table(spark, d, "points")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_order": p2_order, "p3_found": p3_found, "p3_typical": p3_typical, "p4_subset": p4_subset}
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.pieces(packing.token_counts(table(spark, d, "documents"))))
+
+
+def p8_summary(spark: SparkSession, d: str) -> DataFrame:
+    return packing.summary(p8_containers(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+QUERIES = {"p8_containers": p8_containers, "p8_summary": p8_summary, "p9_found": p9_found, "p2_found": p2_found, "p2_order": p2_order, "p3_found": p3_found, "p3_typical": p3_typical, "p4_subset": p4_subset}
 ORACLE: dict[str, str] = {}
