@@ -27,7 +27,8 @@ from terravane.session import cut_lineage
 
 WINDOW, STRIDE = 40, 20
 SKETCH_ROWS = 256
-RANK = 320
+#: The latent space has so many dimensions that every item window keeps this share of its squared length.
+KEPT = 0.9
 COSINE = 0.5
 RUN = 3
 PIECE_WORDS = 10
@@ -105,7 +106,7 @@ def _spans(n: int) -> list[tuple[int, int]]:
     return [(a, min(n, a + WINDOW)) for a in range(0, max(1, n - STRIDE), STRIDE)]
 
 
-def fit(item_codes: list[np.ndarray], ids: list[int], passages: int, df: np.ndarray, sketch: np.ndarray, cosine: float = COSINE, rank: int = RANK) -> Search:
+def fit(item_codes: list[np.ndarray], ids: list[int], passages: int, df: np.ndarray, sketch: np.ndarray, cosine: float = COSINE, kept: float = KEPT) -> Search:
     size = len(df)
     idf = np.log((1 + passages + len(ids)) / (1 + df))
     idf[0] = 0
@@ -122,7 +123,8 @@ def fit(item_codes: list[np.ndarray], ids: list[int], passages: int, df: np.ndar
     energy = np.linalg.norm(both)
     both = both * (np.linalg.norm(own) / energy) if energy > 0 else both[:0]
     _, s, vt = np.linalg.svd(np.concatenate([own, both]).astype(np.float32), full_matrices=False)
-    basis = vt[: min(rank, int((s > 1e-4 * s[0]).sum()))].T.astype(np.float32)
+    share = np.cumsum((own @ vt.T) ** 2, axis=1)
+    basis = vt[: int((share < kept).sum(1).max()) + 1].T.astype(np.float32)
     # words by falling idf are rare until the rest of every item window alone is too short to reach the cosine
     order = np.argsort(-idf, kind="stable")
     rest = 1 - np.cumsum(own[:, order] ** 2, axis=1)
@@ -182,17 +184,15 @@ def pieces(item: np.ndarray, doc: np.ndarray, rare: np.ndarray) -> list[tuple[in
     start = np.nonzero(new)[0]
     length = np.diff(np.append(start, len(ii))) + RUN - 1
     runs = sorted(zip(ii[start].tolist(), jj[start].tolist(), length.tolist()), key=lambda r: (r[1], r[0]))
-    best, back = [], []
-    for k, (i, q, length_) in enumerate(runs):
-        top, prev = 0.0, -1
-        for h in range(max(0, k - 400), k):
-            i2, q2, l2 = runs[h]
-            if i2 < i and q2 < q and i2 + l2 <= i + length_ - 1 and q2 + l2 <= q + length_ - 1:
-                overlap = max(0, i2 + l2 - i, q2 + l2 - q)
-                value = best[h] - overlap - (0.5 if (i - i2 - l2 > ITEM_GAP or q - q2 - l2 > DOC_GAP) else 0)
-                if value > top:
-                    top, prev = value, h
-        best.append(top + length_), back.append(prev)
+    ri, rq, rl = (np.array(x) for x in zip(*runs))
+    best, back = rl.astype(float), np.full(len(runs), -1)
+    for k in range(1, len(runs)):
+        gap_i, gap_q = ri[k] - ri[:k] - rl[:k], rq[k] - rq[:k] - rl[:k]
+        value = best[:k] + np.minimum(0, np.minimum(gap_i, gap_q)) - 0.5 * ((gap_i > ITEM_GAP) | (gap_q > DOC_GAP))
+        value[(ri[:k] >= ri[k]) | (rq[:k] >= rq[k]) | (gap_i + rl[k] < 1) | (gap_q + rl[k] < 1)] = 0
+        h = int(value.argmax())
+        if value[h] > 0:
+            best[k], back[k] = rl[k] + value[h], h
     k = int(np.argmax(best))
     chain = []
     while k >= 0:
