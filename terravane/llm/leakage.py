@@ -5,8 +5,9 @@
 2. Document frequencies and a sketch of the tf-idf matrix of all passages come from one pass over these sequences: a
    sparse random projection adds each passage, with a random sign, to one of SKETCH_ROWS rows. The singular vectors of
    the sketch, stacked with the items' own passages at equal weight, are the latent space (a randomised SVD).
-3. Windows of every document are compared with the windows of every item by cosine in the latent space. A window
-   without any of the items' rare words cannot reach the threshold (Cauchy-Schwarz) and is passed over.
+3. Windows of every document are compared with the windows of the items by cosine in the latent space. A document's
+   window that has none of the words in which nearly all of an item window's length lies cannot reach the threshold
+   with it (Cauchy-Schwarz), so that pair is passed over.
 4. For each candidate the longest common subsequence of matching runs is found. It is cut into pieces where either side
    has a gap; short pieces and pieces without a rare word are shared phrases and don't count. A document gives an item
    away if the pieces span at least half of the item's words.
@@ -28,8 +29,13 @@ from terravane.session import cut_lineage
 WINDOW, STRIDE = 40, 20
 SKETCH_ROWS = 256
 #: The latent space has so many dimensions that every item window keeps this share of its squared length.
-KEPT = 0.9
+KEPT = 0.75
 COSINE = 0.5
+#: Words weigh by this power of their idf, so that names and other telling words decide the cosine. A word is telling
+#: if fewer than one passage in TELLING holds it; item windows grow up to WIDEST words until such words suffice.
+POWER = 3
+TELLING = 120
+WIDEST = 80
 RUN = 3
 PIECE_WORDS = 10
 ITEM_GAP, DOC_GAP = 6, 20
@@ -92,66 +98,74 @@ def corpus_statistics(codes: DataFrame, size: int, rows: int = SKETCH_ROWS, seed
 
 @dataclass
 class Search:
-    idf: np.ndarray
+    weight: np.ndarray
     basis: np.ndarray  # words x rank
-    rare: np.ndarray  # by word
+    rare: np.ndarray  # by word: is telling
     items: list[np.ndarray]  # codes of each item's words
     ids: list[int]
     windows: np.ndarray  # item windows x rank, of unit length before projection
     owner: np.ndarray  # item of each window
+    posted: dict[int, np.ndarray]  # word: item windows that can't be reached without their words like it
+    in_posted: np.ndarray
     cosine: float
 
 
-def _spans(n: int) -> list[tuple[int, int]]:
-    return [(a, min(n, a + WINDOW)) for a in range(0, max(1, n - STRIDE), STRIDE)]
-
-
 def fit(item_codes: list[np.ndarray], ids: list[int], passages: int, df: np.ndarray, sketch: np.ndarray, cosine: float = COSINE, kept: float = KEPT) -> Search:
     size = len(df)
     idf = np.log((1 + passages + len(ids)) / (1 + df))
     idf[0] = 0
-    owner, vectors = [], []
+    weight = idf**POWER
+    telling = idf >= np.log(TELLING)
+    owner, vectors, posted = [], [], {}
     for k, c in enumerate(item_codes):
-        for a, b in _spans(len(c)):
+        for a in range(0, max(1, len(c) - STRIDE), STRIDE):
+            b = min(len(c), a + WINDOW)
+            while True:
+                w = np.unique(c[a:b])
+                length = np.sqrt((weight[w] ** 2).sum())
+                if length == 0:
+                    break
+                w = w[np.argsort(-weight[w], kind="stable")]
+                rest = 1 - np.cumsum((weight[w] / length) ** 2)
+                need = w[: int(np.argmax(rest < (0.98 * cosine) ** 2)) + 1]
+                if telling[need].all() or b - a >= WIDEST or b - a == len(c):
+                    break
+                a, b = max(0, a - 5), min(len(c), b + 5)
+            if length == 0:
+                continue
             v = np.zeros(size)
-            v[np.unique(c[a:b])] = 1
-            vectors.append(v * idf), owner.append(k)
-    own = np.array(vectors)
-    norm = np.linalg.norm(own, axis=1, keepdims=True)
-    own = own / np.where(norm > 0, norm, 1)
-    both = sketch * idf
+            v[w] = weight[w] / length
+            for x in need.tolist():
+                posted.setdefault(x, []).append(len(owner))
+            vectors.append(v), owner.append(k)
+    own = np.array(vectors).reshape(len(vectors), size)
+    both = sketch * weight
     energy = np.linalg.norm(both)
     both = both * (np.linalg.norm(own) / energy) if energy > 0 else both[:0]
-    _, s, vt = np.linalg.svd(np.concatenate([own, both]).astype(np.float32), full_matrices=False)
+    _, _, vt = np.linalg.svd(np.concatenate([own, both]).astype(np.float32), full_matrices=False)
     share = np.cumsum((own @ vt.T) ** 2, axis=1)
-    basis = vt[: int((share < kept).sum(1).max()) + 1].T.astype(np.float32)
-    # words by falling idf are rare until the rest of every item window alone is too short to reach the cosine
-    order = np.argsort(-idf, kind="stable")
-    rest = 1 - np.cumsum(own[:, order] ** 2, axis=1)
-    enough = int(np.argmax((rest < (0.98 * cosine) ** 2).all(0)))
-    rare = idf >= idf[order[enough]]
-    return Search(idf.astype(np.float32), basis, rare, item_codes, ids, (own @ basis).astype(np.float32), np.array(owner), cosine)
+    basis = vt[: int((share < kept).sum(1).max(initial=0)) + 1].T.astype(np.float32)
+    in_posted = np.zeros(size, bool)
+    in_posted[list(posted)] = True
+    return Search(weight.astype(np.float32), basis, telling, item_codes, ids, (own @ basis).astype(np.float32), np.array(owner, int), {x: np.array(j) for x, j in posted.items()}, in_posted, cosine)
 
 
 def candidates(c: np.ndarray, s: Search) -> np.ndarray:
     """Indices of the items of which some window is close to some window of the document."""
-    if not s.rare[c].any():
+    hit = np.nonzero(s.in_posted[c])[0]
+    if not len(hit):
         return np.empty(0, int)
-    hit = np.nonzero(s.rare[c])[0]
-    n = len(c)
-    starts = np.unique(np.concatenate([hit // STRIDE, np.maximum(hit // STRIDE - 1, 0)])) * STRIDE
-    rows = []
-    for a in starts:
-        w = np.unique(c[a : min(n, a + WINDOW)])
+    found: set[int] = set()
+    block = hit // STRIDE
+    for a in np.unique(np.concatenate([block, np.maximum(block - 1, 0)])):
+        inside = hit[(block == a) | (block == a + 1)]
+        reach = np.unique(np.concatenate([s.posted[x] for x in set(c[inside].tolist())]))
+        w = np.unique(c[a * STRIDE : a * STRIDE + WINDOW])
         w = w[w > 0]
-        weight = s.idf[w]
-        length = np.sqrt((weight * weight).sum())
-        if length > 0:
-            rows.append((weight / length) @ s.basis[w])
-    if not rows:
-        return np.empty(0, int)
-    close = (np.array(rows) @ s.windows.T >= s.cosine).any(0)
-    return np.unique(s.owner[close])
+        q = s.weight[w]
+        q = (q / np.sqrt((q * q).sum())) @ s.basis[w]
+        found.update(s.owner[reach[s.windows[reach] @ q >= s.cosine]].tolist())
+    return np.array(sorted(found), int)
 
 
 def pieces(item: np.ndarray, doc: np.ndarray, rare: np.ndarray) -> list[tuple[int, int]]:

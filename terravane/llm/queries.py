@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import leakage, packing, pivot_clusters, rank_walk, varied_subset
+from terravane.llm import language, leakage, packing, pivot_clusters, rank_walk, varied_subset
 from terravane.operators import measured, proximity
 from terravane.session import table
 
@@ -59,5 +59,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_summary": p8_summary, "p9_found": p9_found, "p2_found": p2_found, "p2_order": p2_order, "p3_found": p3_found, "p3_typical": p3_typical, "p4_subset": p4_subset}
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return language.segments(docs, language.train(docs)).withColumn("confidence", F.round("confidence", 4))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.label_faults(p10_segments(spark, d)).select("doc_id", F.col("language").alias("found_lang"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_segments": p10_segments, "p8_containers": p8_containers, "p8_summary": p8_summary, "p9_found": p9_found, "p2_found": p2_found, "p2_order": p2_order, "p3_found": p3_found, "p3_typical": p3_typical, "p4_subset": p4_subset}
 ORACLE: dict[str, str] = {}
