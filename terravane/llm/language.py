@@ -7,8 +7,8 @@ language is a fixed number, and each distinct word is coded once per task. A sen
 its words; sentences are the segments, and a cheapest path over them decides where the language changes.
 
 The trees are fitted on a bounded sample of labelled rows (TRAIN_DOCS a language); sentences of the sample that another
-language's tree codes better, or that all code badly, are then left out and the trees fitted anew, so that wrong labels,
-mixed texts and gibberish in the sample do no harm. Every document is scored, whole.
+language's tree codes better are then left out, as are words that few texts hold, and the trees fitted anew, so that
+wrong labels, mixed texts and gibberish in the sample do no harm. Every document is scored, whole.
 """
 
 from __future__ import annotations
@@ -27,14 +27,14 @@ LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pl", "pt", "ru")
 ORDER = 5
 TRAIN_DOCS = 300
 TRAIN_CHARS = 60
-TRAIN_ROUNDS = 4
-#: Sentences of the sample that cost more bits a letter than this are left out of the trees.
-TRAIN_BITS = 2.4
+TRAIN_ROUNDS = 2
+#: Words that a smaller share of a language's sampled texts hold (names, slips, vandalism) are left out of its tree.
+TRAIN_SUPPORT = 0.01
 LEAST_WORDS = 25
 #: Bits that a change of language between two sentences costs.
 SWITCH_BITS = 24.0
 #: A sentence that costs more bits a letter than this in every language is not prose.
-PROSE_BITS = 3.6
+PROSE_BITS = 5.0
 SENTENCE_WORDS = 4
 CACHE_WORDS = 400_000
 
@@ -232,23 +232,25 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS, least_chars: int = TR
     return purified([(LANGUAGES.index(r["code"]), sentences(r["text"])) for r in rows])
 
 
-def purified(sample: list[tuple[int, list[list[str]]]], rounds: int = TRAIN_ROUNDS, most_bits: float = TRAIN_BITS) -> Trees:
-    """Trees from (language, sentences) of texts: each round leaves out the sentences that the trees of the round before
-    code better in another language, or badly in all. A sentence that stands in several texts counts once."""
-    seen = dict.fromkeys((k, tuple(s)) for k, ss in sample for s in ss)
-    label, flat = [k for k, _ in seen], [s for _, s in seen]
-    keep = np.ones(len(flat), bool)
+def purified(sample: list[tuple[int, list[list[str]]]], rounds: int = TRAIN_ROUNDS, support: float = TRAIN_SUPPORT) -> Trees:
+    """Trees from (language, sentences) of texts. A word counts by the texts of a language that hold it, from a share of
+    ``support`` on, at least two. Each round leaves out the sentences that the trees of the round before code better in
+    another language."""
+    label = np.array([k for k, ss in sample for _ in ss], np.int64)
+    keep = np.ones(len(label), bool)
     for r in range(rounds + 1):
-        counts = [Counter() for _ in LANGUAGES]
-        for k, s, ok in zip(label, flat, keep):
-            if ok:
-                counts[k].update(s)
-        trees = grow(counts)
-        if r == rounds or not flat:
+        counts, texts, at = [Counter() for _ in LANGUAGES], Counter(), 0
+        for k, ss in sample:
+            own = [s for s, ok in zip(ss, keep[at : at + len(ss)]) if ok]
+            at += len(ss)
+            texts[k] += bool(own)
+            counts[k].update({w for s in own for w in s})
+        least = [max(2, support * texts[k]) for k in range(len(LANGUAGES))]
+        trees = grow([Counter({w: n for w, n in c.items() if n >= m}) for c, m in zip(counts, least)])
+        if r == rounds or not len(label):
             return trees
-        _, _, letters, bits = Coder(trees).sentence_costs([flat])
-        keep = (bits.argmin(1) == np.array(label)) & (bits.min(1) <= most_bits * letters)
-    return trees
+        _, _, _, bits = Coder(trees).sentence_costs([ss for _, ss in sample])
+        keep = bits.argmin(1) == label
 
 
 def segments(docs: DataFrame, trees: Trees, switch: float = SWITCH_BITS, prose_bits: float = PROSE_BITS) -> DataFrame:
