@@ -379,12 +379,12 @@ def places(spark, d):
     return p.select("point_id", F.round("lon", 6).alias("x"), F.round("lat", 6).alias("y"))
 
 
-_XY = "SELECT point_id, round(min(x - 360 * floor(x / 360)), 6) AS x, min(y) AS y FROM points WHERE x IS NOT NULL AND NOT isnan(x) AND y IS NOT NULL AND NOT isnan(y) GROUP BY point_id"
+_XY = "SELECT point_id, round(min(x - 360 * floor(x / 360)), 6) AS x, round(min(y), 6) AS y FROM points WHERE x IS NOT NULL AND NOT isnan(x) AND y IS NOT NULL AND NOT isnan(y) GROUP BY point_id"
 
 
 def simple_places(spark, d):
     p = table(spark, d, "points").where("x is not null and not isnan(x) and y is not null and not isnan(y)")
-    return p.groupBy("point_id").agg(F.round(F.min(F.pmod("x", F.lit(360.0))), 6).alias("x"), F.min("y").alias("y"))
+    return p.groupBy("point_id").agg(F.round(F.min(F.pmod("x", F.lit(360.0))), 6).alias("x"), F.round(F.min("y"), 6).alias("y"))
 
 
 @query(f"WITH p AS ({_XY}) SELECT CAST(floor(x / 0.25) AS BIGINT) AS cell_x, CAST(floor(y / 0.25) AS BIGINT) AS cell_y, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) < 100")
