@@ -109,7 +109,7 @@ def varied_subset(places: DataFrame, share: float = 0.01, least: int = 20, cell_
     if got < k:
         rest = vectors.join(ranked, "point_id", "left_anti").orderBy("point_id").limit(k - got)
         ranked = ranked.unionByName(rest.select("point_id", F.lit(0.0).alias("gain")))
-    return places.join(ranked, "point_id").select("point_id", "lon", "lat", "gain")
+    return places.select("point_id", "lon", "lat").join(ranked, "point_id").select("point_id", "lon", "lat", "gain")
 
 
 def covering_distance_m(scale: float) -> float:
