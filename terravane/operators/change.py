@@ -52,7 +52,8 @@ def fraction_years(days: np.ndarray) -> np.ndarray:
 
 def cusum(t: np.ndarray, y: np.ndarray, bootstraps: int, rng: np.random.Generator) -> tuple[float, float, float]:
     """Date, confidence and magnitude; (-1, -1, -1) for an empty series. Magnitude is the range of the cumulative sum of
-    residuals; confidence the share of permutations with a smaller one, times the drop of their mean from it."""
+    residuals; confidence the share of permutations with a smaller one, times the drop of their mean from it
+    (no less than 0)."""
     if not len(y):
         return -1.0, -1.0, -1.0
     r = y - y.mean()
@@ -63,7 +64,7 @@ def cusum(t: np.ndarray, y: np.ndarray, bootstraps: int, rng: np.random.Generato
         return date, 0.0, 0.0
     p = rng.permuted(np.broadcast_to(r, (bootstraps, len(r))), axis=1).cumsum(1)
     sizes = p.max(1) - p.min(1)
-    return date, float((size > sizes).mean() * (1 - sizes.mean() / size)), float(size)
+    return date, float((size > sizes).mean() * max(0.0, 1 - sizes.mean() / size)), float(size)
 
 
 def bootstrap_slope(t: np.ndarray, y: np.ndarray, bootstraps: int, share: float, rng: np.random.Generator) -> tuple[float, float, float, float]:

@@ -33,11 +33,11 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "n") -> DataF
     """df with a dense number from 0 in a total order, without one task seeing all rows.
 
     Rows are range-partitioned and sorted; the partitions' sizes (one row each) give each partition's offset."""
-    part = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}))
-    sizes = part.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_f"))
-    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = sizes.select("_p", "_f", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_o"))
-    return part.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_i") - F.col("_f")).drop("_p", "_i", "_o", "_f")
+    part = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}))
+    sizes = part.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_i").alias("_f"))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sizes.select("_part", "_f", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_o"))
+    return part.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_o") + F.col("_i") - F.col("_f")).drop("_part", "_i", "_o", "_f")
 
 
 def pages(df: DataFrame, order: list[Column | str], size: int = 25_000) -> DataFrame:

@@ -58,17 +58,17 @@ _LON = f"try_cast(nullif(regexp_extract(geometry, '(?i)point[^-+0-9.]*{_NUMBER}\
 _LAT = f"try_cast(nullif(regexp_extract(geometry, '(?i)point[^-+0-9.]*{_NUMBER}\\s+{_NUMBER}', 2), '') AS double)"
 _PLACES = f"""
 places AS (
-  SELECT point_id, min(coalesce(glon, CASE WHEN NOT isnan(x) THEN x - 360 * floor(x / 360) END)) AS lon, min(coalesce(glat, CASE WHEN NOT isnan(y) THEN y END)) AS lat
+  SELECT point_id, min(coalesce(glon, CASE WHEN NOT contains(CAST(x AS VARCHAR), 'nan') THEN x - 360 * floor(x / 360) END)) AS lon, min(coalesce(glat, CASE WHEN NOT contains(CAST(y AS VARCHAR), 'nan') THEN y END)) AS lat
   FROM (SELECT point_id, x, y, {_LON} - 360 * floor({_LON} / 360) AS glon, {_LAT} AS glat, max({_LON}) OVER (PARTITION BY point_id) AS any_g FROM points)
   WHERE any_g IS NULL OR glon IS NOT NULL
   GROUP BY point_id
 )"""
 _MEASURED_P = """
 mp AS (
-  SELECT row_id, chunk_id, f, CASE WHEN coalesce(esa_lc20, 1) <> 0 AND coalesce(esa_lc21, 1) <> 0 AND NOT isnan(v) AND v >= 0 AND v <= top THEN v END AS v
+  SELECT row_id, chunk_id, f, CASE WHEN coalesce(esa_lc20, 1) <> 0 AND coalesce(esa_lc21, 1) <> 0 AND NOT contains(CAST(v AS VARCHAR), 'nan') AND v >= 0 AND v <= top THEN v END AS v
   FROM (SELECT row_id, chunk_id, esa_lc20, esa_lc21, unnest(['gfc_tc00', 'potapov_tree_height', 'dw_tree_prob_mean']) AS f, unnest([gfc_tc00, potapov_tree_height, dw_tree_prob_mean]) AS v, unnest([100, 60, 100]) AS top FROM products)
 ), mf AS (
-  SELECT row_id, chunk_id, 'bfast_magnitude' AS f, CASE WHEN coalesce(bfast_change_date, 0) <> -2 AND NOT isnan(bfast_magnitude) AND bfast_magnitude BETWEEN -1 AND 1 THEN bfast_magnitude END AS v FROM features
+  SELECT row_id, chunk_id, 'bfast_magnitude' AS f, CASE WHEN coalesce(bfast_change_date, 0) <> -2 AND NOT contains(CAST(bfast_magnitude AS VARCHAR), 'nan') AND bfast_magnitude BETWEEN -1 AND 1 THEN bfast_magnitude END AS v FROM features
 ), m AS (
   SELECT *, count(v) OVER w AS n, min(v) OVER w AS lo, max(v) OVER w AS hi
   FROM (SELECT 'products' AS t, * FROM mp UNION ALL SELECT 'features', * FROM mf) WINDOW w AS (PARTITION BY t, f, chunk_id)
@@ -77,7 +77,7 @@ _NDFI = """
 r AS (
   SELECT series_id, year(d) * 12 + month(d) - 1 AS m, v
   FROM (SELECT series_id, unnest(dates) AS d, unnest(ts['ndfi']) AS v FROM series)
-  WHERE year(d) BETWEEN 2015 AND 2022 AND v IS NOT NULL AND NOT isnan(v) AND v <> -9999
+  WHERE year(d) BETWEEN 2015 AND 2022 AND v IS NOT NULL AND NOT contains(CAST(v AS VARCHAR), 'nan') AND v <> -9999
 ), o AS (
   SELECT series_id, m, avg(v) AS v, count(*) AS n, lead(m) OVER (PARTITION BY series_id ORDER BY m) AS m2, lead(avg(v)) OVER (PARTITION BY series_id ORDER BY m) AS v2
   FROM r GROUP BY series_id, m

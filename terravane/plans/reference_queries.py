@@ -44,7 +44,7 @@ def assembled(spark: SparkSession, d: str) -> DataFrame:
 
 
 _B = series.BANDS
-_CLEAN = ", ".join(f"CASE WHEN NOT isnan({b}) AND {b} <> -9999 THEN {b} END AS {b}" for b in _B)
+_CLEAN = ", ".join(f"CASE WHEN NOT contains(CAST({b} AS VARCHAR), 'nan') AND {b} <> -9999 THEN {b} END AS {b}" for b in _B)
 _OBS = f"""o AS (
   SELECT point_id, imageid, CAST(try_strptime(split_part(imageid, '_', 3), '%Y%m%d') AS DATE) AS date, split_part(imageid, '_', 2) AS path_row, {_CLEAN}, x, y, ingested_at
   FROM obs WHERE green IS NULL OR green <> -9999
@@ -247,14 +247,14 @@ def events_trailing7d(spark, d):
     return series.rolling_mean(e, ["value"], 7, "user_id").select("user_id", "event_id", r("value", 4).alias("mean"))
 
 
-@query(f"SELECT pathrow, {sr('quantile_cont(abs(ccdc_magnitude), 0.95)')} AS p95, {sr('quantile_cont(abs(ccdc_magnitude), 0.5)')} AS p50 FROM features WHERE NOT isnan(ccdc_magnitude) GROUP BY pathrow")
+@query(f"SELECT pathrow, {sr('quantile_cont(abs(ccdc_magnitude), 0.95)')} AS p95, {sr('quantile_cont(abs(ccdc_magnitude), 0.5)')} AS p50 FROM features WHERE NOT contains(CAST(ccdc_magnitude AS VARCHAR), 'nan') GROUP BY pathrow")
 def percentile_by_group(spark, d):
-    f = table(spark, d, "features").where(~F.isnan("ccdc_magnitude"))
+    f = table(spark, d, "features").where(F.col("ccdc_magnitude").isNotNull() & ~F.isnan("ccdc_magnitude"))
     return f.groupBy("pathrow").agg(r(F.percentile(F.abs("ccdc_magnitude"), 0.95)).alias("p95"), r(F.percentile(F.abs("ccdc_magnitude"), 0.5)).alias("p50"))
 
 
 _MAG = subsample.ABSOLUTE
-_NUM = "CASE WHEN NOT isnan({c}) AND {c} > -9000 THEN {c} END AS {c}"
+_NUM = "CASE WHEN NOT contains(CAST({c} AS VARCHAR), 'nan') AND {c} > -9000 THEN {c} END AS {c}"
 
 
 @query(f"""WITH {_FIRST_F}, {_FIRST_P}, j AS (
@@ -274,7 +274,7 @@ def threshold_filter(spark, d):
 # --- labels, strata, estimation -------------------------------------------------------------------------------------
 
 
-@query("""WITH v AS (SELECT row_id, [coalesce(lang_tree_height > 5, false), coalesce(NOT isnan(potapov_tree_height) AND potapov_tree_height > 5, false), coalesce(NOT isnan(gfc_tc00) AND gfc_tc00 > 10, false), coalesce(tmf_main = 10, false), coalesce(dw_tree_prob__min > 50, false), coalesce(esa_lc20 IN (10, 95), false), coalesce(esa_lc21 IN (10, 95), false)] AS votes,
+@query("""WITH v AS (SELECT row_id, [coalesce(lang_tree_height > 5, false), coalesce(NOT contains(CAST(potapov_tree_height AS VARCHAR), 'nan') AND potapov_tree_height > 5, false), coalesce(NOT contains(CAST(gfc_tc00 AS VARCHAR), 'nan') AND gfc_tc00 > 10, false), coalesce(tmf_main = 10, false), coalesce(dw_tree_prob__min > 50, false), coalesce(esa_lc20 IN (10, 95), false), coalesce(esa_lc21 IN (10, 95), false)] AS votes,
   greatest(coalesce(gfc_lossyear > 15 AND gfc_lossyear < 22, false)::int, coalesce(gfc_gain <> 0, false)::int, coalesce(tmf_defyear > 2015 AND tmf_defyear < 2022, false)::int, coalesce(tmf_degyear > 2015 AND tmf_degyear < 2022, false)::int) AS cnc FROM products)
 SELECT row_id, CASE WHEN list_bool_and(votes) THEN 1 WHEN NOT list_bool_or(votes) THEN 0 END AS fnf, cnc FROM v""")
 def fnf_cnc_labels(spark, d):
@@ -313,7 +313,7 @@ def bayes_combine(spark, d):
 
 
 _Z = estimation.z_value(0.95)
-_SHARES = "s AS (SELECT avg(CASE WHEN gfc_tc00 BETWEEN 10 AND 100 AND NOT isnan(gfc_tc00) THEN 1.0 ELSE 0.0 END) AS forest, avg(CASE WHEN gfc_lossyear > 0 THEN 1.0 ELSE 0.0 END) AS change FROM products)"
+_SHARES = "s AS (SELECT avg(CASE WHEN gfc_tc00 BETWEEN 10 AND 100 AND NOT contains(CAST(gfc_tc00 AS VARCHAR), 'nan') THEN 1.0 ELSE 0.0 END) AS forest, avg(CASE WHEN gfc_lossyear > 0 THEN 1.0 ELSE 0.0 END) AS change FROM products)"
 
 
 def _shares(spark, d):
@@ -356,14 +356,14 @@ def sampling_error_stats(spark, d):
     return c.agg(r(F.avg(gap) * 100).alias("mean_bias"), r(F.stddev_pop(gap) * 100).alias("sd_bias"), r(F.avg("x")).alias("mean"), r(F.stddev_pop("x")).alias("sd"), r(_Z * F.stddev_pop("x") / F.avg("x") * 100, 4).alias("uncertainty"))
 
 
-@query("SELECT 2000 + gfc_lossyear AS year, round(sum(900.0::double * gfc_loss) / 1e6, 4) AS deforest FROM products WHERE gfc_lossyear > 0 AND gfc_tc00 BETWEEN 10 AND 100 AND NOT isnan(gfc_tc00) GROUP BY 1")
+@query("SELECT 2000 + gfc_lossyear AS year, round(sum(900.0::double * gfc_loss) / 1e6, 4) AS deforest FROM products WHERE gfc_lossyear > 0 AND gfc_tc00 BETWEEN 10 AND 100 AND NOT contains(CAST(gfc_tc00 AS VARCHAR), 'nan') GROUP BY 1")
 def loss_area_by_year(spark, d):
     p = table(spark, d, "products").where("gfc_lossyear > 0 and gfc_tc00 between 10 and 100")
     return p.groupBy((2000 + F.col("gfc_lossyear")).alias("year")).agg(F.round(F.sum(900.0 * F.col("gfc_loss")) / 1e6, 4).alias("deforest"))
 
 
 @query("""SELECT round(count(*) * 900.0::double / 1e6, 4) AS total_area, round((sum(f) - sum(CASE WHEN gfc_lossyear BETWEEN 1 AND 14 THEN f ELSE 0 END)) * 900.0::double / 1e6, 4) AS forest_area, round(sum(CASE WHEN gfc_lossyear BETWEEN 15 AND 22 THEN f ELSE 0 END) * 900.0::double / 1e6, 4) AS change_area
-FROM (SELECT gfc_lossyear, CASE WHEN gfc_tc00 BETWEEN 10 AND 100 AND NOT isnan(gfc_tc00) THEN 1 ELSE 0 END AS f FROM products)""")
+FROM (SELECT gfc_lossyear, CASE WHEN gfc_tc00 BETWEEN 10 AND 100 AND NOT contains(CAST(gfc_tc00 AS VARCHAR), 'nan') THEN 1 ELSE 0 END AS f FROM products)""")
 def forest_areas(spark, d):
     p = table(spark, d, "products").withColumn("f", F.when(F.col("gfc_tc00").between(10, 100), 1).otherwise(0))
     lost = lambda a, b: F.sum(F.when(F.col("gfc_lossyear").between(a, b), F.col("f")).otherwise(0))
@@ -379,12 +379,12 @@ def places(spark, d):
     return p.select("point_id", F.round("lon", 6).alias("x"), F.round("lat", 6).alias("y"))
 
 
-_XY = "SELECT point_id, round(min(x - 360 * floor(x / 360)), 6) AS x, round(min(y), 6) AS y FROM points WHERE x IS NOT NULL AND NOT isnan(x) AND y IS NOT NULL AND NOT isnan(y) GROUP BY point_id"
+_XY = "SELECT point_id, round(min(x - 360 * floor(x / 360)) + 1e-10, 6) AS x, round(min(y) + 1e-10, 6) AS y FROM points WHERE x IS NOT NULL AND NOT contains(CAST(x AS VARCHAR), 'nan') AND y IS NOT NULL AND NOT contains(CAST(y AS VARCHAR), 'nan') GROUP BY point_id"
 
 
 def simple_places(spark, d):
     p = table(spark, d, "points").where("x is not null and not isnan(x) and y is not null and not isnan(y)")
-    return p.groupBy("point_id").agg(F.round(F.min(F.pmod("x", F.lit(360.0))), 6).alias("x"), F.round(F.min("y"), 6).alias("y"))
+    return p.groupBy("point_id").agg(r(F.min(F.pmod("x", F.lit(360.0)))).alias("x"), r(F.min("y")).alias("y"))
 
 
 @query(f"WITH p AS ({_XY}) SELECT CAST(floor(x / 0.25) AS BIGINT) AS cell_x, CAST(floor(y / 0.25) AS BIGINT) AS cell_y, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) < 100")
@@ -528,7 +528,7 @@ def json_props(spark, d):
 _FILLED = ["cusum_magnitude", "ewma_jrc_magnitude", "ccdc_magnitude"]
 
 
-@query("WITH c AS (SELECT row_id, " + ", ".join(f"CASE WHEN NOT isnan({c}) AND abs({c}) <> 'inf'::double THEN {c} END AS {c}" for c in _FILLED) + "), m AS (SELECT row_id, ".replace("), m", " FROM features), m") + ", ".join(f"coalesce({c}, avg({c}) OVER ()) AS {c}" for c in _FILLED) + " FROM c) SELECT row_id, " + ", ".join(sr(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()", 4) + f" AS {c}" for c in _FILLED) + " FROM m")
+@query("WITH c AS (SELECT row_id, " + ", ".join(f"CASE WHEN NOT contains(CAST({c} AS VARCHAR), 'nan') AND abs({c}) <> 'inf'::double THEN {c} END AS {c}" for c in _FILLED) + "), m AS (SELECT row_id, ".replace("), m", " FROM features), m") + ", ".join(f"coalesce({c}, avg({c}) OVER ()) AS {c}" for c in _FILLED) + " FROM c) SELECT row_id, " + ", ".join(sr(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()", 4) + f" AS {c}" for c in _FILLED) + " FROM m")
 def impute_standardize(spark, d):
     f = ml.standardised(ml.imputed(table(spark, d, "features").select("row_id", *_FILLED), _FILLED), _FILLED)
     return f.select("row_id", *[r(c, 4).alias(c) for c in _FILLED])
