@@ -9,7 +9,8 @@
    window that has none of the words in which nearly all of an item window's length lies cannot reach the threshold
    with it (Cauchy-Schwarz), so that pair is passed over.
 4. For each candidate the longest common subsequence of matching runs is found. It is cut into pieces where either side
-   has a gap; short pieces and pieces without a rare word are shared phrases and don't count. A document gives an item
+   has a gap; short pieces, and pieces of less than LONG_WORDS words without a rare word, are shared phrases and don't
+   count. A document gives an item
    away if the pieces span at least half of the item's words.
 """
 
@@ -32,12 +33,15 @@ SKETCH_ROWS = 256
 KEPT = 0.75
 COSINE = 0.5
 #: Words weigh by this power of their idf, so that names and other telling words decide the cosine. A word is telling
-#: if fewer than one passage in TELLING holds it; item windows grow up to WIDEST words until such words suffice.
+#: if fewer than one passage in TELLING holds it; item windows grow up to WIDEST words until such words suffice. A word
+#: is rare if fewer than one passage in RARE holds it. In small corpora 0.6 of the largest idf is enough for either.
 POWER = 3
 TELLING = 120
+RARE = 40
 WIDEST = 80
 RUN = 3
 PIECE_WORDS = 10
+LONG_WORDS = 24
 ITEM_GAP, DOC_GAP = 6, 20
 HELD = 0.5
 #: Items that are searched for at once; more are taken in blocks of this size.
@@ -100,7 +104,7 @@ def corpus_statistics(codes: DataFrame, size: int, rows: int = SKETCH_ROWS, seed
 class Search:
     weight: np.ndarray
     basis: np.ndarray  # words x rank
-    rare: np.ndarray  # by word: is telling
+    rare: np.ndarray  # by word
     items: list[np.ndarray]  # codes of each item's words
     ids: list[int]
     windows: np.ndarray  # item windows x rank, of unit length before projection
@@ -115,7 +119,7 @@ def fit(item_codes: list[np.ndarray], ids: list[int], passages: int, df: np.ndar
     idf = np.log((1 + passages + len(ids)) / (1 + df))
     idf[0] = 0
     weight = idf**POWER
-    telling = idf >= np.log(TELLING)
+    telling, rare = (idf >= min(np.log(x), 0.6 * idf.max()) for x in (TELLING, RARE))
     owner, vectors, posted = [], [], {}
     for k, c in enumerate(item_codes):
         for a in range(0, max(1, len(c) - STRIDE), STRIDE):
@@ -147,7 +151,7 @@ def fit(item_codes: list[np.ndarray], ids: list[int], passages: int, df: np.ndar
     basis = vt[: int((share < kept).sum(1).max(initial=0)) + 1].T.astype(np.float32)
     in_posted = np.zeros(size, bool)
     in_posted[list(posted)] = True
-    return Search(weight.astype(np.float32), basis, telling, item_codes, ids, (own @ basis).astype(np.float32), np.array(owner, int), {x: np.array(j) for x, j in posted.items()}, in_posted, cosine)
+    return Search(weight.astype(np.float32), basis, rare, item_codes, ids, (own @ basis).astype(np.float32), np.array(owner, int), {x: np.array(j) for x, j in posted.items()}, in_posted, cosine)
 
 
 def candidates(c: np.ndarray, s: Search) -> np.ndarray:
@@ -213,15 +217,16 @@ def pieces(item: np.ndarray, doc: np.ndarray, rare: np.ndarray) -> list[tuple[in
         chain.append(runs[k])
         k = back[k]
     chain.reverse()
-    out: list[list[int]] = []
+    out: list[list[int]] = []  # first word, end, words that match
     last = None
     for i, q, length_ in chain:
         if last and i - last[0] <= ITEM_GAP and q - last[1] <= DOC_GAP:
+            out[-1][2] += i + length_ - max(i, out[-1][1])
             out[-1][1] = i + length_
         else:
-            out.append([i, i + length_])
+            out.append([i, i + length_, length_])
         last = (i + length_, q + length_)
-    return [(a, b) for a, b in out if b - a >= PIECE_WORDS and rare[item[a:b]].any()]
+    return [(a, b) for a, b, n in out if (b - a >= PIECE_WORDS and rare[item[a:b]].any()) or (n >= LONG_WORDS and n >= 0.8 * (b - a))]
 
 
 def leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, held: float = HELD, item_block: int = ITEM_BLOCK) -> DataFrame:
