@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions.estimation import number_or_null
 from terravane.operators import labels, relational
+from terravane.session import share
 
 
 def candidate_columns(df: DataFrame, names: list[str]) -> list[str]:
@@ -114,10 +115,10 @@ def without_outliers(df: DataFrame, columns: list[str], contamination: float = 0
     rows = fitted.orderBy(F.xxhash64(*columns)).limit(sample_rows).select(*columns).toPandas().to_numpy(float)
     if len(rows) < 2:
         return df
-    forest = df.sparkSession.sparkContext.broadcast(IsolationForest.fit(rows, seed=seed))
+    forest = share(df.sparkSession, IsolationForest.fit(rows, seed=seed))
 
     def score(*c: pd.Series) -> pd.Series:
-        return pd.Series(forest.value.score(np.stack([x.to_numpy(float) for x in c], 1)))
+        return pd.Series(forest().score(np.stack([x.to_numpy(float) for x in c], 1)))
 
     scored = fitted.withColumn("_score", F.pandas_udf(score, "double")(*columns))
     cut = scored.agg(F.percentile_approx("_score", 1 - contamination, 10_000).alias("_cut"))

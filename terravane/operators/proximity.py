@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terravane.session import share
+
 EARTH_RADIUS_M = 6_371_008.8
 #: Locations in one cell, about; locations fetched to place the splits, at most.
 CELL_ROWS = 20_000
@@ -151,12 +153,12 @@ def pairs_within(places: DataFrame, metres: float, radius_m: float = EARTH_RADIU
         nodes = fit_splits(picked.to_numpy(float), cells)
     else:
         nodes = [(-1, 0.0), (-1, 0.0)]
-    shared = spark.sparkContext.broadcast(nodes)  # at most twice as many entries as cells
+    shared = share(spark, nodes)  # at most twice as many entries as cells
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             xyz = b[["ux", "uy", "uz"]].to_numpy(float)
-            row, cell, home = route(xyz, shared.value, chord * 1.000001)
+            row, cell, home = route(xyz, shared(), chord * 1.000001)
             out = b.iloc[row].reset_index(drop=True)
             out["cell"], out["home"] = cell, home
             yield out
@@ -218,11 +220,11 @@ def containing_region(places: DataFrame, aoi: DataFrame, broadcast_edges: int =
     edges = polygon_edges(aoi)
     few = edges.limit(broadcast_edges + 1).toPandas()
     if len(few) <= broadcast_edges:
-        shared = places.sparkSession.sparkContext.broadcast(few.sort_values(["poly_id", "x1"]))
+        shared = share(places.sparkSession, few.sort_values(["poly_id", "x1"]))
 
         def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                found = sweep(b["px"].to_numpy(), b["py"].to_numpy(), shared.value)
+                found = sweep(b["px"].to_numpy(), b["py"].to_numpy(), shared())
                 yield pd.DataFrame({"point_id": b["point_id"], "poly_id": found})[found >= 0]
 
         return p.mapInPandas(locate, "point_id long, poly_id int")

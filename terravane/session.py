@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -43,3 +46,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A function that gives the value in any task: broadcast once, with the code of its classes, unpacked once a task.
+
+    Only for values of a bounded size, which the caller states."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    kept: list = []
+
+    def get() -> Any:
+        if not kept:
+            kept.append(cloudpickle.loads(sent.value))
+        return kept[0]
+
+    return get
