@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terravane.session import share
+
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pl", "pt", "ru")
 ORDER = 5
 TRAIN_DOCS = 300
@@ -260,10 +262,10 @@ def segments(docs: DataFrame, trees: Trees, switch: float = SWITCH_BITS, prose_b
     confidence is the share of the best language in the likelihood of those sentences, from their exact code lengths,
     evened out to one sentence's weight. Null, empty and markup-only texts and gibberish have no rows; a row that comes
     twice is judged twice."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    shared = share(docs.sparkSession, trees)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder(shared.value)
+        coder = Coder(shared())
         for whole in batches:
             for first in range(0, len(whole), 500):
                 b = whole.iloc[first : first + 500]

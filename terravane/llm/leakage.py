@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.session import cut_lineage
+from terravane.session import cut_lineage, share
 
 WINDOW, STRIDE = 40, 20
 SKETCH_ROWS = 256
@@ -55,10 +55,10 @@ def words(text: str | None) -> list[str]:
 
 def encoded(docs: DataFrame, vocabulary: dict[str, int], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, codes``: the vocabulary's numbers of a text's words as little-endian 16-bit integers, 0 for others."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = share(docs.sparkSession, vocabulary)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = shared.value.get
+        number = shared().get
         for b in batches:
             codes = [np.array([number(w, 0) for w in words(t)], "<u2").tobytes() for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "codes": codes})
@@ -255,10 +255,10 @@ def leaks(docs: DataFrame, items: DataFrame, cosine: float = COSINE, held: float
         tails = [len(words((block["item_text"].iloc[k] or "").rstrip("\n").rpartition("\n")[2])) for k in keep]
         codes = cut_lineage(encoded(docs, vocabulary))
         search = fit(item_codes, block["item_id"].iloc[keep].tolist(), *corpus_statistics(codes, len(vocabulary) + 1), cosine=cosine)
-        shared = spark.sparkContext.broadcast(search)
+        shared = share(spark, search)
 
         def find(batches: Iterator[pd.DataFrame], shared=shared, tails=tails) -> Iterator[pd.DataFrame]:
-            s = shared.value
+            s = shared()
             for b in batches:
                 found = []
                 for i, raw in zip(b["doc_id"], b["codes"]):

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.session import cut_lineage
+from terravane.session import cut_lineage, share
 
 CAPACITY = 2048
 PARTITION_PIECES = 20_000
@@ -39,13 +39,13 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     import public_tokenizers
 
     with open(path or tokenizer_file(), "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+        shared = share(docs.sparkSession, f.read())
     pattern = public_tokenizers.PATTERN
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared().splitlines())}
         encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(encode(t)) for t in b["text"]]})
