@@ -44,8 +44,8 @@ PIECE_WORDS = 10
 LONG_WORDS = 24
 ITEM_GAP, DOC_GAP = 6, 20
 HELD = 0.5
-#: Items that are searched for at once; more are taken in blocks of this size.
-ITEM_BLOCK = 2_000
+#: Items that are searched for at once; more are taken in blocks of this size, which bounds what is sent to the tasks.
+ITEM_BLOCK = 400
 _WORD = re.compile(r"[^\W_]+")
 
 

@@ -100,7 +100,9 @@ def varied_subset(places: DataFrame, share: float = 0.01, least: int = 20, cell_
         return b.iloc[i][["point_id", "ux", "uy", "uz"]].assign(gain=gains)
 
     schema = "point_id long, ux double, uy double, uz double, gain double"
-    core = cut_lineage(cells(vectors, math.ceil(n / cell_rows)).groupBy("cell").applyInPandas(choose, schema))
+    # places at one spot are one place here: of copies the smallest id stands for all, before anything is shuffled by cell
+    spots = vectors.groupBy("ux", "uy", "uz").agg(F.min("point_id").alias("point_id"))
+    core = cut_lineage(cells(spots, math.ceil(n / cell_rows)).groupBy("cell").applyInPandas(choose, schema))
     size = core.count()
     final = cells(core.drop("gain"), math.ceil(size / final_rows)).groupBy("cell").applyInPandas(choose, schema)
     ranked = final.orderBy(F.desc("gain"), F.xxhash64("point_id"), "point_id").limit(k).select("point_id", "gain")
