@@ -65,6 +65,16 @@ def rolling_mean(obs: DataFrame, bands: list[str], days: int = 60, key: str = "p
     return obs.withColumns({b: F.avg(b).over(w) for b in bands})
 
 
+def rolling_mean_by_day(events: DataFrame, value: str, days: int, key: str) -> DataFrame:
+    """``key, date, mean``: mean over all values of the ``days`` days up to and including each date that has any.
+
+    Values are first added up by day, on the map side, so that the window sees one row a day, however many values a
+    key has."""
+    day = events.groupBy(key, "date").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    w = Window.partitionBy(key).orderBy(F.unix_date("date")).rangeBetween(-(days - 1), 0)
+    return day.select(key, "date", F.try_divide(F.sum("_s").over(w), F.sum("_n").over(w)).alias("mean"))
+
+
 def drop_outliers(obs: DataFrame, bands: list[str], by: str, z: float = 3.0, key: str = "point_id") -> DataFrame:
     """Readings within z deviations of their series' mean in one band, and with no band missing. A constant series stays."""
     w = Window.partitionBy(key)

@@ -241,10 +241,10 @@ def combined_reducers(spark, d):
     return table(spark, d, "events").groupBy("event_type", "user_id").agg(r(F.avg("value"), 4).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), r(F.stddev_pop("value"), 4).alias("sd"))
 
 
-@query(f"SELECT user_id, event_id, {sr('avg(value) OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE) RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)', 4)} AS mean FROM events")
+@query(f"SELECT DISTINCT user_id, CAST(ts AS DATE) AS date, {sr('avg(value) OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE) RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)', 4)} AS mean FROM events")
 def events_trailing7d(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id", F.to_date("ts").alias("date"), "value")
-    return series.rolling_mean(e, ["value"], 7, "user_id").select("user_id", "event_id", r("value", 4).alias("mean"))
+    e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("date"), "value")
+    return series.rolling_mean_by_day(e, "value", 7, "user_id").select("user_id", "date", r("mean", 4).alias("mean"))
 
 
 @query(f"SELECT pathrow, {sr('quantile_cont(abs(ccdc_magnitude), 0.95)')} AS p95, {sr('quantile_cont(abs(ccdc_magnitude), 0.5)')} AS p50 FROM features WHERE NOT contains(CAST(ccdc_magnitude AS VARCHAR), 'nan') GROUP BY pathrow")
