@@ -134,6 +134,69 @@ def hex_grid(spark, bounds: tuple[float, float, float, float], area_km2: float)
     return g.select("point_id", "q", "r", "x", "y", geometry.behrmann_lon(F.col("x")).alias("lon"), geometry.behrmann_lat(F.col("y")).alias("lat"))
 
 
+def rings(aoi: DataFrame) -> DataFrame:
+    """``poly_id, ring, xs, ys, xmin, ymin, xmax, ymax``: one row per ring, vertices in order."""
+    g = aoi.groupBy("poly_id", "ring").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("v"), *[f(c).alias(f"{c}{n}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))])
+    return g.select("poly_id", "ring", F.col("v.x").alias("xs"), F.col("v.y").alias("ys"), "xmin", "ymin", "xmax", "ymax")
+
+
+def clip_to_box(xs: np.ndarray, ys: np.ndarray, box: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """A ring cut to a box, side by side of the box; empty if nothing is left."""
+    p = np.stack([xs, ys], 1)
+    for axis, edge, sign in ((0, box[0], 1), (0, box[2], -1), (1, box[1], 1), (1, box[3], -1)):
+        if not len(p):
+            break
+        q = np.roll(p, -1, axis=0)
+        a, b = sign * (p[:, axis] - edge), sign * (q[:, axis] - edge)
+        out = []
+        for k in range(len(p)):
+            if a[k] >= 0:
+                out.append(p[k])
+            if (a[k] >= 0) != (b[k] >= 0):
+                out.append(p[k] + (q[k] - p[k]) * (a[k] / (a[k] - b[k])))
+        p = np.array(out).reshape(-1, 2)
+    return p[:, 0], p[:, 1]
+
+
+def clipped_area(cells: DataFrame, aoi: DataFrame, bucket: float = 1.0) -> DataFrame:
+    """``point_id, poly_id, area``: each cell's area within each polygon, holes taken off, in squared units of x and y.
+
+    Cells meet rings by shared buckets of their boxes, an equi-join; the cutting runs in Arrow batches."""
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / bucket).cast("long"), F.floor(F.col(b) / bucket).cast("long"))
+    c = cells.select("point_id", *[F.col(k).alias(f"c_{k}") for k in ("xmin", "ymin", "xmax", "ymax")])
+    cb = c.withColumn("bx", F.explode(span("c_xmin", "c_xmax"))).withColumn("by", F.explode(span("c_ymin", "c_ymax")))
+    rb = rings(aoi).withColumn("bx", F.explode(span("xmin", "xmax"))).withColumn("by", F.explode(span("ymin", "ymax")))
+    near = cb.join(rb, ["bx", "by"]).where("c_xmin < xmax and c_xmax > xmin and c_ymin < ymax and c_ymax > ymin")
+    # a pair shares several buckets; the one that holds the larger of both lower corners stands for it
+    near = near.where((F.col("bx") == F.floor(F.greatest("c_xmin", "xmin") / bucket)) & (F.col("by") == F.floor(F.greatest("c_ymin", "ymin") / bucket)))
+
+    def area(xs: pd.Series, ys: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        out = []
+        for x, y, *box in zip(xs, ys, a, b, c, d):
+            u, v = clip_to_box(np.asarray(x, float)[:-1], np.asarray(y, float)[:-1], tuple(box))
+            out.append(abs((u * np.roll(v, -1) - np.roll(u, -1) * v).sum()) / 2 if len(u) > 2 else 0.0)
+        return pd.Series(out, dtype=float)
+
+    sign = F.when(F.col("ring") == 0, 1.0).otherwise(-1.0)
+    part = near.withColumn("area", sign * F.pandas_udf(area, "double")("xs", "ys", "c_xmin", "c_ymin", "c_xmax", "c_ymax"))
+    return part.groupBy("point_id", "poly_id").agg(F.sum("area").alias("area")).where("area > 0")
+
+
+def random_points(aoi: DataFrame, per_polygon: int, seed: int = 42, rounds: int = 40) -> DataFrame:
+    """``poly_id, k, x, y``: the same number of random points in each polygon, by rejection within its bounds.
+
+    Draws are hashes of (polygon, number, round), so they do not depend on partitions."""
+    shells = aoi.where("ring = 0").groupBy("poly_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    draw = shells.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(per_polygon * rounds - 1))))
+    u = lambda n: F.pmod(F.xxhash64("poly_id", "try", F.lit(seed + n)), F.lit(2**40)) / float(2**40)
+    draw = draw.select("poly_id", "try", (F.col("x0") + u(0) * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + u(1) * (F.col("y1") - F.col("y0"))).alias("y"))
+    ids = draw.withColumn("point_id", F.col("poly_id").cast("long") * per_polygon * rounds + F.col("try"))
+    hit = proximity.containing_region(ids.select("point_id", F.col("x").alias("lon"), F.col("y").alias("lat")), aoi).withColumnRenamed("poly_id", "_p")
+    good = ids.join(hit, "point_id").where("_p = poly_id")
+    w = Window.partitionBy("poly_id").orderBy("try")  # per_polygon * rounds rows at most
+    return good.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_polygon).select("poly_id", "k", "x", "y")
+
+
 def tiles(spark, bounds: tuple[float, float, float, float], size: float) -> DataFrame:
     """Tiles over bounds; the last one of a row or column starts no later than 0.9 sizes before the end."""
     x0, y0, x1, y1 = bounds

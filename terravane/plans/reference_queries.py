@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terravane import pipeline
+from terravane.config import ProjectConfig
 from terravane.functions import estimation, geometry
 from terravane.operators import change, labels, ml, proximity, raster, relational, series, subsample
 from terravane.session import table
@@ -489,6 +491,23 @@ def tile_grid(spark, d):
     return t.select("i", "j", *[F.round(c, 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
+@query()
+def clip_cells(spark, d):
+    return raster.clipped_area(raster.square_grid(spark, aoi_bounds(spark, d), 0.5), table(spark, d, "aoi"), 0.5)
+
+
+@query()
+def random_points(spark, d):
+    return raster.random_points(table(spark, d, "aoi"), 20)
+
+
+@query()
+def simulated_error(spark, d):
+    p = simple_places(spark, d).join(table(spark, d, "products").groupBy("point_id").agg(F.max((F.col("gfc_lossyear") > 0).cast("double")).alias("value")), "point_id").where("value is not null")
+    pixels = p.groupBy(raster.cell(F.col("x"), 0.02).alias("cell_x"), raster.cell(F.col("y"), 0.02).alias("cell_y")).agg(F.max("value").alias("value"))
+    return pipeline.SampleSize(ProjectConfig("simulation")).simulated_error(pixels, [2.0, 4.0, 8.0], 10)
+
+
 @query()
 def hex_grid(spark, d):
     g = raster.hex_grid(spark, aoi_bounds(spark, d), geometry.hex_cell_area_km2(9))
@@ -539,6 +558,32 @@ def train_test_split(spark, d):
     return ml.hash_split(table(spark, d, "training").where("change_label is not null"), "sample_id").select("sample_id", "part")
 
 
+@query("SELECT o_custkey AS key, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS order_key FROM orders GROUP BY o_custkey")
+def largest_loss_segment(spark, d):
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("order_key"))
+
+
+@query("SELECT least(20, greatest(0, CAST(floor((ndfi_mean + 1) / 2 * 20) AS BIGINT) + 1)) AS bin, count(*) AS n FROM features GROUP BY 1")
+def histogram_bins(spark, d):
+    b = F.least(F.lit(20), F.greatest(F.lit(0), F.floor((F.col("ndfi_mean") + 1) / 2 * 20) + 1))
+    return table(spark, d, "features").groupBy(b.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT point_id, chunk_id AS batch, row_number() OVER (PARTITION BY chunk_id ORDER BY row_id) AS k FROM features WHERE chunk_id NOT IN (1, 2) QUALIFY row_number() OVER (PARTITION BY chunk_id, point_id ORDER BY row_id) = 1")
+def batch_scan(spark, d):
+    from pyspark.sql.window import Window
+
+    f = table(spark, d, "features").where(~F.col("chunk_id").isin(1, 2)).withColumn("k", F.row_number().over(Window.partitionBy("chunk_id").orderBy("row_id")))
+    return relational.keep_first(f, ["chunk_id", "point_id"], ["row_id"]).select("point_id", F.col("chunk_id").alias("batch"), F.col("k").cast("long").alias("k"))
+
+
+@query()
+def augment_features(spark, d):
+    """The whole stage: outliers out, smoothing, the interval, all kernels, products joined."""
+    c = ProjectConfig("augment", monitor_start="2020-01-01", monitor_end="2023-01-01")
+    return pipeline.DatasetAugmentation(c).augment(assembled(spark, d), first_products(spark, d).withColumn("images", F.lit(0)))
+
+
 # --- kernels and models (no SQL: random or iterative) ---------------------------------------------------------------
 
 _KERNELS = change.ChangeConfig()

@@ -136,6 +136,19 @@ def test_components_across_tiles(spark):
     assert got[255, 0] == 20 and got[-260, 860] == 50 and got[1000, 1000] == 1
 
 
+def test_clipping_and_random_points(spark):
+    ring = lambda r, pts: [(1, r, i, x, y) for i, (x, y) in enumerate(pts)]
+    v = ring(0, [(0.2, 0.3), (7.9, 0.1), (9.0, 6.0), (3.0, 8.5), (0.2, 0.3)]) + ring(1, [(4.0, 3.0), (5.0, 3.0), (5.0, 4.5), (4.0, 3.0)])
+    aoi = spark.createDataFrame(v, "poly_id int, ring int, i int, x double, y double")
+    x, y = np.array([p[3] for p in v[:4]]), np.array([p[4] for p in v[:4]])
+    whole = abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2 - 0.75
+    for bucket in (0.7, 3.0):
+        areas = raster.clipped_area(raster.square_grid(spark, (0.0, 0.0, 10.0, 10.0), 0.9), aoi, bucket)
+        assert abs(areas.agg(F.sum("area")).first()[0] - whole) < 1e-9
+    p = raster.random_points(aoi, 30)
+    assert p.count() == 30 and raster.inside(p.select(F.col("k").cast("long").alias("point_id"), "x", "y"), aoi).count() == 30
+
+
 def test_projection_and_curve(spark):
     df = spark.createDataFrame([(12.5, -60.0), (170.0, 0.1), (-90.0, 89.0)], "lon double, lat double")
     x, y = geometry.behrmann_x(F.col("lon")), geometry.behrmann_y(F.col("lat"))
