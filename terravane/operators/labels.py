@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# What makes each product say forest. Above a number, or one of these classes.
+FOREST_ABOVE = {"lang_tree_height": 5, "potapov_tree_height": 5, "gfc_tc00": 10, "dw_tree_prob__min": 50}
+FOREST_CLASSES = {"tmf_main": (10,), "esa_lc20": (10, 95), "esa_lc21": (10, 95), **{f"esri_lc{y}": (2, 3) for y in range(17, 22)}}
+
+
 def forest_votes(columns: list[str]) -> list[Column]:
     """What each product that is there says about forest; a null value says no."""
-    c = F.col
-    votes = {
-        "lang_tree_height": c("lang_tree_height") > 5, "potapov_tree_height": c("potapov_tree_height") > 5, "gfc_tc00": c("gfc_tc00") > 10,
-        "tmf_main": c("tmf_main") == 10, "dw_tree_prob__min": c("dw_tree_prob__min") > 50,
-        "esa_lc20": c("esa_lc20").isin(10, 95), "esa_lc21": c("esa_lc21").isin(10, 95), **{f"esri_lc{y}": c(f"esri_lc{y}").isin(2, 3) for y in range(17, 22)},
-    }
-    return [F.coalesce(v, F.lit(False)) for k, v in votes.items() if k in columns]
+    votes = [F.col(c) > v for c, v in FOREST_ABOVE.items() if c in columns] + [F.col(c).isin(*v) for c, v in FOREST_CLASSES.items() if c in columns]
+    return [F.coalesce(v, F.lit(False)) for v in votes]
 
 
 def product_labels(df: DataFrame, start: int, end: int) -> DataFrame:

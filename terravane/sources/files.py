@@ -63,7 +63,7 @@ def write_geojson(df: DataFrame, path: str, dates: list[str] | None = None, lon:
 
 def read_batches(spark: SparkSession, path: str, schema: str | None = None, skip: list[str] | None = None, key: str = "point_id") -> DataFrame:
     """Parquet files with ``batch``, the part of the file's name before the first underscore: named batches skipped, and
-    the first row of each key of a batch kept."""
+    one row of each key of a batch kept (repeated deliveries within a batch are copies)."""
     reader = spark.read.schema(schema) if schema else spark.read
     df = reader.parquet(path)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
