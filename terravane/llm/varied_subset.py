@@ -55,14 +55,16 @@ def greedy(xyz: np.ndarray, ids: np.ndarray, scale: float, most: int | None = No
 def inhabited_scale(vectors: DataFrame, wanted: int) -> float:
     """The coarsest grid step at which at least ``wanted`` cells are inhabited, in units of the sphere's radius.
 
-    Steps fall by a factor of sqrt(2); each step's count is an approximate distinct count of one pass, one row back."""
-    steps = [2.0 ** (-k / 2) for k in range(0, 52)]
-    cell = lambda s: F.xxhash64(*[F.floor(F.col(c) / s) for c in ("ux", "uy", "uz")])
-    row = vectors.agg(*[F.approx_count_distinct(cell(s), 0.02).alias(f"n{i}") for i, s in enumerate(steps)]).first()
-    for i, s in enumerate(steps):
-        if row[f"n{i}"] >= wanted:
-            return s
-    return steps[-1]
+    Steps fall by a factor of two in a first pass and by its root in a second; a step's count is an approximate distinct
+    count, and a pass gives one row."""
+
+    def first_of(steps: list[float]) -> float | None:
+        cell = lambda s: F.xxhash64(*[F.floor(F.col(c) / s) for c in ("ux", "uy", "uz")])
+        row = vectors.agg(*[F.approx_count_distinct(cell(s), 0.02).alias(f"n{i}") for i, s in enumerate(steps)]).first()
+        return next((s for i, s in enumerate(steps) if row[f"n{i}"] >= wanted), None)
+
+    s = first_of([2.0**-k for k in range(0, 26)]) or 2.0**-25
+    return first_of([s * math.sqrt(2)]) or s
 
 
 def varied_subset(places: DataFrame, share: float = 0.01, least: int = 20, cell_rows: int = CELL_ROWS, final_rows: int = FINAL_ROWS) -> DataFrame:
