@@ -81,10 +81,10 @@ def outliers(t: np.ndarray, y: np.ndarray, critical: float = CRITICAL, side: int
             n = (~np.isnan(yy)).sum(1)
             z = deseasonalise(tt, yy)
             before, after = _side_medians(z, n, side)
-            k = np.arange(z.shape[1])[None, :]
-            few_before, few_after = k < 3, (n[:, None] - 1 - k) < 3
-            before = np.where(few_before & ~np.isnan(after), after, before)
-            after = np.where(few_after & ~np.isnan(before), before, after)
+            # the first and the last reading have one side only; there the neighbour tells whether the change lasts
+            before[:, :1] = np.where(np.isnan(before[:, :1]), z[:, 1:2], before[:, :1])
+            last = (np.arange(len(z)), np.maximum(n - 1, 0))
+            after[last] = z[last[0], np.maximum(n - 2, 0)]
             lo, hi = np.fmin(before, after), np.fmax(before, after)
             beyond = z - np.clip(z, lo, hi)
             middle = (before + after) / 2
@@ -188,8 +188,8 @@ def implausible_readings(series: DataFrame, bands: tuple[str, ...] = BANDS, crit
     kind is 'impossible', 'stuck' or 'spike'; idx is the position in the stored array. Null, NaN and -9999 are absent
     and never cases. Dates that are null or outside the years count as unknown. Null arrays, bands that the map lacks
     and empty rows give nothing; arrays longer than ``dates`` are read as far as the dates go. A row that comes twice
-    is judged twice. Fewer than LEAST readings are judged for range and runs only. A shift in the last two readings
-    cannot be told from a spike and counts as one.
+    is judged twice. Fewer than LEAST readings are judged for range and runs only. A single last reading that stands out is
+    a spike; a change that two or more readings hold up to the end counts as lasting.
     """
     arrays = [F.col("ts")[b].alias(f"b{i}") for i, b in enumerate(bands)]
     days = F.transform("dates", lambda d: F.when(F.year(d).between(first_year, last_year), F.datediff(d, F.lit("2015-01-01"))))

@@ -80,6 +80,16 @@ def test_planted_spikes_are_found_and_shifts_kept(seed):
     assert set(np.nonzero(verdict(t, y))[0]) == {5, 6, 10, 25, 26, 27, 60, 79}
 
 
+@pytest.mark.parametrize("tail", [2, 3, 4])
+def test_a_change_up_to_the_end_lasts(tail):
+    t, y = wave(60, 4)
+    y[-tail:] -= 0.3
+    assert not verdict(t, y).any()
+    y = wave(60, 4)[1]
+    y[:tail] -= 0.3
+    assert not verdict(t, y).any()
+
+
 def test_stuck_runs_skip_absent_values():
     t, y = wave(60)
     y[20:28] = 0.31
