@@ -60,7 +60,7 @@ def inhabited_scale(vectors: DataFrame, wanted: int) -> float:
 
     def first_of(steps: list[float]) -> float | None:
         cell = lambda s: F.xxhash64(*[F.floor(F.col(c) / s) for c in ("ux", "uy", "uz")])
-        row = vectors.agg(*[F.approx_count_distinct(cell(s), 0.02).alias(f"n{i}") for i, s in enumerate(steps)]).first()
+        row = vectors.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(cell(s), 12)).alias(f"n{i}") for i, s in enumerate(steps)]).first()
         return next((s for i, s in enumerate(steps) if row[f"n{i}"] >= wanted), None)
 
     s = first_of([2.0**-k for k in range(0, 26)]) or 2.0**-25
