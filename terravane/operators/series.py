@@ -20,7 +20,7 @@ def observations(raw: DataFrame, bands: list[str] = BANDS) -> DataFrame:
 
     A row whose first band is masked is dropped, and only the first band decides; other bands' masks become null."""
     parts = F.split("imageid", "_")
-    r = raw.where(F.coalesce(F.col(bands[0]) != MASKED, F.lit(True)))
+    r = raw.where(F.col(bands[0]).isNull() | (F.col(bands[0]) != MASKED))
     date = F.to_date(F.try_element_at(parts, F.lit(-1)), "yyyyMMdd")
     return r.select("point_id", "imageid", date.alias("date"), F.try_element_at(parts, F.lit(-2)).alias("path_row"), *[clean(F.col(b)).alias(b) for b in bands], "x", "y", "ingested_at")
 
@@ -29,13 +29,15 @@ def assemble(obs: DataFrame, bands: list[str] = BANDS) -> DataFrame:
     """One reading per point and date, of the point's path/row with most images.
 
     Most images: counted after repeated dates of a path/row count once; ties go to the smaller path/row. Of several
-    readings of one date the first by (ingested_at, imageid, bands) stays. Both windows share one exchange on the point:
-    dates are first reduced per (point, path/row, date) on the map side.
+    readings of one date the first by (ingested_at, imageid, bands) stays. Repeats are reduced per (point, path/row,
+    date) on the map side; both windows then share one exchange on the point, with one row a day and path/row.
     """
     first = F.min(F.struct("ingested_at", "imageid", *bands)).alias("r")
-    daily = obs.where("point_id is not null and date is not null").groupBy("point_id", "path_row", "date").agg(first)
-    best = daily.groupBy("point_id", "path_row").count().groupBy("point_id").agg(F.min_by("path_row", F.struct(-F.col("count"), F.col("path_row"))).alias("best"))
-    return daily.join(best, "point_id").where(F.col("path_row").eqNullSafe(F.col("best"))).select("point_id", "path_row", "date", *[F.col(f"r.{b}").alias(b) for b in bands])
+    daily = obs.where("point_id is not null and date is not null").groupBy("point_id", "path_row", "date").agg(first).repartition("point_id")
+    n = F.count("*").over(Window.partitionBy("point_id", "path_row"))
+    best = F.min(F.struct(-F.col("_n"), F.col("path_row"))).over(Window.partitionBy("point_id"))
+    kept = daily.withColumn("_n", n).withColumn("_b", best).where(F.col("path_row").eqNullSafe(F.col("_b.path_row")))
+    return kept.select("point_id", "path_row", "date", *[F.col(f"r.{b}").alias(b) for b in bands])
 
 
 def nested(obs: DataFrame, bands: list[str] = BANDS) -> DataFrame:
