@@ -596,9 +596,21 @@ def _kernel(name: str):
     return f
 
 
-for _name, _q in (("cusum", "cusum_confidence"), ("slope", "bootstrap_slope"), ("timescan", "kernel_timescan"), ("bfast", "bfast_monitor"), ("nrt", "nrt_charts"), ("ccdc", "ccdc"), ("landtrendr", "landtrendr")):
+for _name, _q in (("cusum", "cusum_confidence"), ("slope", "bootstrap_slope"), ("bfast", "bfast_monitor"), ("nrt", "nrt_charts"), ("ccdc", "ccdc"), ("landtrendr", "landtrendr")):
     QUERIES[_q] = _kernel(_name)
 
+
+
+@query(f"""WITH z AS (SELECT series_id, unnest(dates) AS d, unnest(ts['ndfi']) AS v FROM series), u AS (
+  SELECT series_id, v, year(d) + round(dayofyear(d) / 365.0, 3) BETWEEN 2020 AND 2023 AS monitored FROM z WHERE year(d) BETWEEN 2015 AND 2022 AND v IS NOT NULL AND NOT contains(CAST(v AS VARCHAR), 'nan') AND v <> -9999
+), g AS (
+  SELECT series_id, count(*) AS images, count(*) FILTER (WHERE monitored) AS mon_images, avg(v) FILTER (WHERE monitored) AS m, stddev_pop(v) FILTER (WHERE monitored) AS s, min(v) FILTER (WHERE monitored) AS lo, max(v) FILTER (WHERE monitored) AS hi FROM u GROUP BY series_id
+) SELECT s.series_id, coalesce(g.images, 0)::int AS images, coalesce(g.mon_images, 0)::int AS mon_images, {sr('coalesce(m, -1)', 5)} AS ts_mean, {sr('coalesce(s, -1)', 5)} AS ts_sd, coalesce(lo, -1) AS ts_min, coalesce(hi, -1) AS ts_max FROM series s LEFT JOIN g USING (series_id)""".replace("coalesce(s, -1)", "coalesce(g.s, -1)"))
+def kernel_timescan(spark, d):
+    k = change.features(table(spark, d, "series"), change.ChangeConfig(enabled=("timescan",)))
+    return k.select("series_id", "images", "mon_images", r("ts_mean", 5).alias("ts_mean"), r("ts_sd", 5).alias("ts_sd"), "ts_min", "ts_max")
+
+
 PREDICTORS = ["images", "ndfi_mean", "ndfi_sd", "ndfi_min", "ndfi_max", "bfast_magnitude", "cusum_confidence", "cusum_magnitude", "bs_slope_mean", "ccdc_magnitude", "gfc_tc00", "elevation", "slope"]
 
 
