@@ -255,10 +255,11 @@ def purified(sample: list[tuple[int, list[list[str]]]], rounds: int = TRAIN_ROUN
         keep = bits.argmin(1) == label
 
 
-def segments(docs: DataFrame, trees: Trees, switch: float = SWITCH_BITS, prose_bits: float = PROSE_BITS) -> DataFrame:
-    """``doc_id, code, language, words, sentences, confidence``: one row for each language of a document's prose.
+def segments(docs: DataFrame, trees: Trees, switch: float = SWITCH_BITS, prose_bits: float = PROSE_BITS, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``doc_id, code, language, words, sentences, confidence, languages``: one row for each language of a document's prose.
 
-    code is the document's own label (null if absent). words counts the words of the prose sentences in that language;
+    code is the document's own label (null if absent); languages says how many languages of the document have at least
+    ``least_words`` words. words counts the words of the prose sentences in that language;
     confidence is the share of the best language in the likelihood of those sentences, from their exact code lengths,
     evened out to one sentence's weight. Null, empty and markup-only texts and gibberish have no rows; a row that comes
     twice is judged twice."""
@@ -277,25 +278,22 @@ def segments(docs: DataFrame, trees: Trees, switch: float = SWITCH_BITS, prose_b
                 edges = np.flatnonzero(np.diff(doc, prepend=-1))
                 for a, z in zip(edges, np.append(edges[1:], len(doc))):
                     lang = path(bits[a:z], switch)
-                    for k in np.unique(lang):
+                    words = np.bincount(lang, n[a:z], len(LANGUAGES))
+                    several = int((words >= least_words).sum())
+                    for k in np.nonzero(words)[0]:
                         own = lang == k
                         mean = bits[a:z][own].mean(0)
                         share = 1 / np.exp2(np.clip(mean[k] - mean, -60, 60)).sum()
-                        out.append((ids[doc[a]], codes[doc[a]], LANGUAGES[k], int(n[a:z][own].sum()), int(own.sum()), float(min(1.0, share))))
-                yield pd.DataFrame(out, columns=["doc_id", "code", "language", "words", "sentences", "confidence"])
+                        out.append((ids[doc[a]], codes[doc[a]], LANGUAGES[k], int(words[k]), int(own.sum()), float(min(1.0, share)), several))
+                yield pd.DataFrame(out, columns=["doc_id", "code", "language", "words", "sentences", "confidence", "languages"])
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", label_code(F.col("lang")).alias("code"), "text").where("text <> ''")
-    return rows.mapInPandas(find, f"doc_id {kind}, code string, language string, words long, sentences long, confidence double")
+    return rows.mapInPandas(find, f"doc_id {kind}, code string, language string, words long, sentences long, confidence double, languages int")
 
 
 def label_faults(found: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Rows of ``segments`` with enough words, of documents whose label is absent, names another language than their
-    prose, or whose prose is in several languages. A document's rows are few (one a language)."""
-    from pyspark.sql.window import Window
-
-    enough = found.where(F.col("words") >= least_words)
-    w = Window.partitionBy("doc_id")
-    several = F.count("*").over(w) > 1
+    prose, or whose prose is in several languages. No exchange: a row of ``segments`` says how many there are."""
     right = F.coalesce(F.col("code") == F.col("language"), F.lit(False))
-    return enough.withColumn("fault", several | ~right).where("fault").drop("fault")
+    return found.where((F.col("words") >= least_words) & ((F.col("languages") > 1) | ~right))

@@ -167,8 +167,9 @@ def test_labels_and_mixed_texts(spark, trees):
         (7, speak("en", 5, 7) + speak("fr", 4, 8), "en"), (8, speak("en", 5, 9) + speak("fr", 1, 8), "en"), (9, table + speak("en", 5, 10), "eng"), (10, "{{box|" + speak("de", 5, 1) + "}}", None),
         (11, speak("en", 6, 11)[::-1], None), (12, None, None), (13, "", "n/a"), (14, "qx zj " * 20_000, "en"), (15, speak("en", 6, 12), "sco"), (16, speak("en", 6, 13), "de"), (16, speak("en", 6, 13), "de"),
     ]
-    got = found(spark, trees, docs[:-1])
-    assert got == [(4, "en"), (5, "de"), (6, "ru"), (7, "en"), (7, "fr"), (15, "en"), (16, "en")]
+    got = found(spark, trees, docs)
+    assert got == [(4, "en"), (5, "de"), (6, "ru"), (7, "en"), (7, "fr"), (15, "en"), (16, "en"), (16, "en")]
+    assert found(spark, trees, [docs[0], docs[0]]) == []
     assert found(spark, trees, docs[:0]) == []
 
 
