@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.operators import fill, measured, proximity, regular_grid, spikes
-from terravane.session import table
+from terravane.session import spread_table, table
 
 PAIR_METRES = 250.0
 PRODUCT_FIELDS = ["gfc_tc00", "potapov_tree_height", "dw_tree_prob_mean"]
@@ -30,7 +30,7 @@ def p1_filled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return spikes.implausible_readings(table(spark, d, "series")).select("series_id", "band", "idx")
+    return spikes.implausible_readings(spread_table(spark, d, "series", "series_id")).select("series_id", "band", "idx")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ from terravane import pipeline
 from terravane.config import ProjectConfig
 from terravane.functions import estimation, geometry
 from terravane.operators import change, labels, ml, proximity, raster, relational, series, subsample
-from terravane.session import table
+from terravane.session import spread_table, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -591,7 +591,7 @@ _KERNELS = change.ChangeConfig()
 
 def _kernel(name: str):
     def f(spark, d):
-        return change.features(table(spark, d, "series"), change.ChangeConfig(enabled=(name,)))
+        return change.features(spread_table(spark, d, "series", "series_id"), change.ChangeConfig(enabled=(name,)))
 
     return f
 
@@ -607,7 +607,7 @@ for _name, _q in (("cusum", "cusum_confidence"), ("slope", "bootstrap_slope"), (
   SELECT series_id, count(*) AS images, count(*) FILTER (WHERE monitored) AS mon_images, avg(v) FILTER (WHERE monitored) AS m, stddev_pop(v) FILTER (WHERE monitored) AS s, min(v) FILTER (WHERE monitored) AS lo, max(v) FILTER (WHERE monitored) AS hi FROM u GROUP BY series_id
 ) SELECT s.series_id, coalesce(g.images, 0)::int AS images, coalesce(g.mon_images, 0)::int AS mon_images, {sr('coalesce(m, -1)', 5)} AS ts_mean, {sr('coalesce(s, -1)', 5)} AS ts_sd, coalesce(lo, -1) AS ts_min, coalesce(hi, -1) AS ts_max FROM series s LEFT JOIN g USING (series_id)""".replace("coalesce(s, -1)", "coalesce(g.s, -1)"))
 def kernel_timescan(spark, d):
-    k = change.features(table(spark, d, "series"), change.ChangeConfig(enabled=("timescan",)))
+    k = change.features(spread_table(spark, d, "series", "series_id"), change.ChangeConfig(enabled=("timescan",)))
     return k.select("series_id", "images", "mon_images", r("ts_mean", 5).alias("ts_mean"), r("ts_sd", 5).alias("ts_sd"), "ts_min", "ts_max")
 
 

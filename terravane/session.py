@@ -48,6 +48,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table for work that is heavy per row: one that is read in fewer than half as many partitions as there are cores
+    (a single small file) is spread over the cores by its key; any other is read as it lies, without an exchange."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
     """A function that gives the value in any task: broadcast once, with the code of its classes, unpacked once a task.
 
