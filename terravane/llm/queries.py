@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terravane.llm import language, leakage, packing, pivot_clusters, rank_walk, varied_subset
 from terravane.operators import measured, proximity
-from terravane.session import table
+from terravane.session import spread_table, table
 
 MAGNITUDES = ["bfast_magnitude", "ccdc_magnitude", "cusum_magnitude", "ewma_jrc_magnitude"]
 LIKENESS = ["ndfi_mean", "bfast_magnitude", "bs_slope_mean", "gfc_tc00"]
@@ -48,7 +48,7 @@ def p4_subset(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(packing.pieces(packing.token_counts(table(spark, d, "documents"))))
+    return packing.pack(packing.pieces(packing.token_counts(spread_table(spark, d, "documents", "doc_id"))))
 
 
 def p8_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -56,12 +56,12 @@ def p8_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leakage.leaks(spread_table(spark, d, "documents", "doc_id"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return language.segments(docs, language.train(docs)).withColumn("confidence", F.round("confidence", 4))
+    docs = spread_table(spark, d, "documents", "doc_id")
+    return language.segments(docs, language.train(table(spark, d, "documents"))).withColumn("confidence", F.round("confidence", 4))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
