@@ -117,6 +117,27 @@ def test_numbers_are_dense(spark):
     assert relational.numbered(df.limit(0), ["v", "id"]).count() == 0
 
 
+def test_a_hot_group_is_sampled_like_any(spark):
+    data = [(k, 0 if k % 3 else k % 50) for k in range(3000)]
+    df = spark.createDataFrame(data, "id long, g int")
+    h = lambda k: (k % 2**30 + 5) * 2654435761 % 2**32
+    want = {k for g in {g for _, g in data} for k in sorted((k for k, x in data if x == g), key=lambda k: (h(k), k))[:7]}
+    assert {r.id for r in relational.sample_per_group(df, "g", "id", 7, 5).collect()} == want
+
+
+def test_first_of_a_hot_key(spark):
+    df = spark.createDataFrame([(1 if k % 3 else k, 5000 - k, None if k % 2 else k) for k in range(3000)], "key long, t long, v long")
+    got = {r["key"]: (r.t, r.v) for r in relational.keep_first(df, ["key"], ["t"]).collect()}
+    assert got[1] == (2001, None) and got[2997] == (2003, None) and len(got) == 1001
+    assert relational.keep_first(df.limit(0), ["key"], ["t"]).count() == 0
+
+
+def test_trailing_means_by_day(spark):
+    df = spark.createDataFrame([(1, D(2024, 1, d), float(v)) for d, v in ((1, 1), (1, 3), (7, 5), (8, 7))] + [(2, D(2024, 1, 1), None)], "u long, date date, v double")
+    got = sorted((r.u, r.date.day, r["mean"]) for r in series.rolling_mean_by_day(df, "v", 7, "u").collect())
+    assert got == [(1, 1, 2.0), (1, 7, 3.0), (1, 8, 6.0), (2, 1, None)]
+
+
 def test_votes(spark):
     df = spark.createDataFrame([(9.0, 9.0, 50.0, 16, 0), (1.0, 1.0, 1.0, 15, 0), (9.0, 1.0, None, 0, 1)], "lang_tree_height double, potapov_tree_height double, gfc_tc00 double, gfc_lossyear int, gfc_gain int")
     df = df.withColumns({"tmf_defyear": F.lit(None).cast("int"), "tmf_degyear": F.lit(0)})
