@@ -389,6 +389,13 @@ def simple_places(spark, d):
     return p.groupBy("point_id").agg(r(F.min(F.pmod("x", F.lit(360.0)))).alias("x"), r(F.min("y")).alias("y"))
 
 
+def training_places(spark, d):
+    """Training samples that have a place, at lon, lat or else at their geometry; longitudes in [0, 360)."""
+    lon, lat = (F.coalesce(proximity.real(F.col(c)), g(F.col("geometry"))) for c, g in (("lon", proximity.geometry_lon), ("lat", proximity.geometry_lat)))
+    t = table(spark, d, "training").select("sample_id", F.pmod(lon, F.lit(360.0)).alias("x"), lat.alias("y"), "change_label")
+    return t.where("x is not null and y is not null")
+
+
 @query(f"WITH p AS ({_XY}) SELECT CAST(floor(x / 0.25) AS BIGINT) AS cell_x, CAST(floor(y / 0.25) AS BIGINT) AS cell_y, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) < 100")
 def chunk_counts(spark, d):
     return raster.cell_counts(simple_places(spark, d), 0.25, 100)
@@ -503,7 +510,7 @@ def random_points(spark, d):
 
 @query()
 def simulated_error(spark, d):
-    p = simple_places(spark, d).join(table(spark, d, "products").groupBy("point_id").agg(F.max((F.col("gfc_lossyear") > 0).cast("double")).alias("value")), "point_id").where("value is not null")
+    p = places(spark, d).join(table(spark, d, "products").groupBy("point_id").agg(F.max((F.col("gfc_lossyear") > 0).cast("double")).alias("value")), "point_id").where("value is not null")
     pixels = p.groupBy(raster.cell(F.col("x"), 0.02).alias("cell_x"), raster.cell(F.col("y"), 0.02).alias("cell_y")).agg(F.max("value").alias("value"))
     return pipeline.SampleSize(ProjectConfig("simulation")).simulated_error(pixels, [2.0, 4.0, 8.0], 10)
 
@@ -516,7 +523,7 @@ def hex_grid(spark, d):
 
 @query()
 def hilbert_order(spark, d):
-    p = simple_places(spark, d)
+    p = places(spark, d)
     b = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     key = geometry.hilbert_key(geometry.scaled(F.col("x"), b[0], b[1]), geometry.scaled(F.col("y"), b[2], b[3]))
     return relational.numbered(p.withColumn("hilbert", key), ["hilbert", "point_id"], "position")
@@ -616,8 +623,7 @@ PREDICTORS = ["images", "ndfi_mean", "ndfi_sd", "ndfi_min", "ndfi_max", "bfast_m
 
 def _labelled(spark, d):
     f = first_features(spark, d).drop("row_id", "chunk_id", "pathrow").join(first_products(spark, d).drop("row_id", "chunk_id", "pathrow"), "point_id")
-    t = table(spark, d, "training").where("lon is not null and lat is not null").select("sample_id", F.pmod("lon", F.lit(360.0)).alias("x"), F.col("lat").alias("y"), "change_label")
-    near = raster.nearest(t, simple_places(spark, d), 0.001, "point_id").groupBy(F.col("near_point_id").alias("point_id")).agg(F.max("change_label").alias("label"))
+    near = raster.nearest(training_places(spark, d), places(spark, d), 0.001, "point_id").groupBy(F.col("near_point_id").alias("point_id")).agg(F.max("change_label").alias("label"))
     return f.join(near, "point_id", "left").select("point_id", "label", *[F.when(F.abs(c) <= 9000, F.col(c)).alias(c) if c in ("bfast_magnitude", "gfc_tc00") else F.col(c) for c in PREDICTORS])
 
 
