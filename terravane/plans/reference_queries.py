@@ -11,7 +11,7 @@ from terravane import pipeline
 from terravane.config import ProjectConfig
 from terravane.functions import estimation, geometry
 from terravane.operators import change, labels, ml, proximity, raster, relational, series, subsample
-from terravane.session import spread_table, table
+from terravane.session import cut_lineage, spread_table, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -622,14 +622,20 @@ PREDICTORS = ["images", "ndfi_mean", "ndfi_sd", "ndfi_min", "ndfi_max", "bfast_m
 
 
 def _labelled(spark, d):
+    """Points with their predictors and as label that of the nearest sample within 0.001 degrees; a point at which several
+    samples are equally near comes once per sample."""
     f = first_features(spark, d).drop("row_id", "chunk_id", "pathrow").join(first_products(spark, d).drop("row_id", "chunk_id", "pathrow"), "point_id")
-    near = raster.nearest(training_places(spark, d), places(spark, d), 0.001, "point_id").groupBy(F.col("near_point_id").alias("point_id")).agg(F.max("change_label").alias("label"))
-    return f.join(near, "point_id", "left").select("point_id", "label", *[F.when(F.abs(c) <= 9000, F.col(c)).alias(c) if c in ("bfast_magnitude", "gfc_tc00") else F.col(c) for c in PREDICTORS])
+    f = f.select("point_id", *[F.when(F.abs(c) <= 9000, F.col(c)).alias(c) if c in ("bfast_magnitude", "gfc_tc00") else F.col(c) for c in PREDICTORS])
+    at = proximity.point_locations(table(spark, d, "points")).withColumnsRenamed({"lon": "x", "lat": "y"})
+    stage = pipeline.EnsembleClassification(ProjectConfig("classification"))
+    t = stage.training_table(f.join(at, "point_id", "left"), training_places(spark, d), "change_label")
+    return cut_lineage(t.select("point_id", F.col("change_label").alias("label"), *PREDICTORS))
 
 
 @query()
 def rf_probability(spark, d):
-    return ml.change_probability(_labelled(spark, d), PREDICTORS, "label", trees=60)[0].select("point_id", F.round("chg_probability", 6).alias("chg_probability"))
+    p = ml.change_probability(_labelled(spark, d), PREDICTORS, "label", trees=60)[0].dropDuplicates(["point_id"])
+    return p.select("point_id", F.round("chg_probability", 6).alias("chg_probability"))
 
 
 @query()

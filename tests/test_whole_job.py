@@ -44,3 +44,9 @@ def test_samples_with_only_a_geometry_label_points_with_only_a_geometry(spark, t
     points = [(1, "POINT (-171.5 0.5)", None, None), (2, None, 172.0, 0.5)]
     training = [(10, None, None, "POINT(188.5001 0.5)", 1), (11, 172.0001, 0.5, None, 0)]
     assert labels(spark, labelled_folder(spark, tmp_path, points, training)) == [(1, 1), (2, 0)]
+
+
+def test_every_point_near_a_sample_takes_the_label_of_its_nearest(spark, tmp_path):
+    points = [(1, None, 170.0, 0.5), (2, None, 170.0004, 0.5), (3, None, 170.0012, 0.5), (4, None, 171.0, 0.5)]
+    training = [(10, 170.0, 0.5, None, 1), (11, 170.0005, 0.5, None, 0), (12, 171.0002, 0.5, None, 1), (13, 170.9998, 0.5, None, 0)]
+    assert labels(spark, labelled_folder(spark, tmp_path, points, training)) == [(1, 1), (2, 0), (3, 0), (4, 0), (4, 1)]
