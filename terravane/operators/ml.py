@@ -138,6 +138,14 @@ def require_two_classes(df: DataFrame, target: str) -> None:
         raise ValueError(f"the target must have two classes, it has {'more' if n > 2 else n}")
 
 
+def training_rows(df: DataFrame, predictors: list[str], target: str, outlier_share: float = 0.0, seed: int = 42) -> DataFrame:
+    """The labelled rows that a forest is fitted on: missing predictors take the mean of all rows, labelled or not; then the
+    share of isolated rows is left out."""
+    columns = candidate_columns(df, predictors)
+    training = imputed(df, columns).where(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("double"))
+    return without_outliers(training, columns, outlier_share, seed=seed) if outlier_share else training
+
+
 def change_probability(df: DataFrame, predictors: list[str], target: str, trees: int = 100, seed: int = 42, outlier_share: float = 0.0, search: int = 0, neural: bool = False) -> tuple[DataFrame, object]:
     """(df with ``chg_probability``, model): a random forest with balanced class weights on the labelled rows.
 
@@ -145,10 +153,8 @@ def change_probability(df: DataFrame, predictors: list[str], target: str, trees:
     so many random draws of the forest's parameters by 5-fold cross-validation; ``neural`` takes a perceptron instead."""
     columns = candidate_columns(df, predictors)
     ready = imputed(df, columns)
-    training = ready.where(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("double"))
+    training = training_rows(df, predictors, target, outlier_share, seed)
     require_two_classes(training, target)
-    if outlier_share:
-        training = without_outliers(training, columns, outlier_share, seed=seed)
     weights = labels.class_weights(training, target).select(target, "weight")
     training = training.join(F.broadcast(weights), target)  # two rows
     assembler = VectorAssembler(inputCols=columns, outputCol="_v")
@@ -170,19 +176,22 @@ def change_probability(df: DataFrame, predictors: list[str], target: str, trees:
 def permutation_importance(model, df: DataFrame, columns: list[str], target: str, repeats: int = 5, seed: int = 42) -> DataFrame:
     """``feature, importance, sd``: the mean loss of accuracy over ``repeats`` shuffles of each column.
 
-    A shuffle pairs each row with the value of the row that follows it in a seeded hash order, by numbered joins."""
+    A shuffle pairs each row with the value of the row before it in a seeded hash order; all shuffles of all columns are
+    numbered, joined and scored in one plan."""
     d = imputed(df.where(F.col(target).isNotNull()), columns).withColumn("_id", F.monotonically_increasing_id())
     d = relational.cut_lineage(d)
-    hit = lambda x: model.transform(x).agg(F.avg((F.col("prediction") == F.col(target)).cast("double"))).first()[0] or 0.0
-    base = hit(d)
+    spark = df.sparkSession
+    hit = F.avg((F.col("prediction") == F.col(target)).cast("double")).alias("hit")
+    base = model.transform(d).agg(hit).first()[0] or 0.0
     n = d.count()
-    rows = []
-    for c in columns:
-        drops = []
-        for k in range(repeats):
-            order = relational.numbered(d.select("_id", c), [F.xxhash64("_id", F.lit(seed * 1000 + k)), "_id"], "_k")
-            moved = order.select(((F.col("_k") + 1) % n).alias("_k"), F.col(c).alias("_c"))
-            given = order.select("_id", "_k").join(moved, "_k").select("_id", "_c")
-            drops.append(base - hit(d.join(given, "_id").withColumn(c, F.col("_c")).drop("_c")))
-        rows.append((c, float(np.mean(drops)), float(np.std(drops))))
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double, sd double").orderBy(F.desc("importance"), "feature")
+    tries = d.select("_id", target, F.struct(*columns).alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r"))
+    order = relational.numbered(tries, ["_r", F.xxhash64("_id", F.lit(seed * 1000) + F.col("_r")), "_id"], "_k").withColumn("_k", F.col("_k") - F.col("_r") * n)
+    moved = order.select("_r", ((F.col("_k") + 1) % n).alias("_k"), F.col("_own").alias("_other"))
+    # scoring is heavy: spread over the cores, whatever the size
+    given = order.join(moved, ["_r", "_k"]).repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "_r", "_k")
+    one = lambda c: F.struct(F.lit(c).alias("feature"), *[F.col(f"{'_other' if x == c else '_own'}.{x}").alias(x) for x in columns])
+    shuffled = given.select(target, "_r", F.explode(F.array(*[one(c) for c in columns])).alias("_s")).select(target, "_r", "_s.*")
+    hits = {(x["feature"], x["_r"]): x["hit"] for x in model.transform(shuffled).groupBy("feature", "_r").agg(hit).collect()}
+    drops = {c: [base - (hits.get((c, k)) or 0.0) for k in range(repeats)] for c in columns}
+    rows = [(c, float(np.mean(x)), float(np.std(x))) for c, x in drops.items()]
+    return spark.createDataFrame(rows, "feature string, importance double, sd double").orderBy(F.desc("importance"), "feature")

@@ -619,22 +619,27 @@ def kernel_timescan(spark, d):
 
 
 PREDICTORS = ["images", "ndfi_mean", "ndfi_sd", "ndfi_min", "ndfi_max", "bfast_magnitude", "cusum_confidence", "cusum_magnitude", "bs_slope_mean", "ccdc_magnitude", "gfc_tc00", "elevation", "slope"]
+#: Counts of the reference: trees of the forest, shuffles of a predictor, share of isolated training rows.
+TREES, REPEATS, OUTLIER_SHARE = 1500, 25, 0.1
+
+
+def _predictors(spark, d):
+    f = first_features(spark, d).drop("row_id", "chunk_id", "pathrow").join(first_products(spark, d).drop("row_id", "chunk_id", "pathrow"), "point_id")
+    return f.select("point_id", *[F.when(F.abs(c) <= 9000, F.col(c)).alias(c) if c in ("bfast_magnitude", "gfc_tc00") else F.col(c) for c in PREDICTORS])
 
 
 def _labelled(spark, d):
     """Points with their predictors and as label that of the nearest sample within 0.001 degrees; a point at which several
     samples are equally near comes once per sample."""
-    f = first_features(spark, d).drop("row_id", "chunk_id", "pathrow").join(first_products(spark, d).drop("row_id", "chunk_id", "pathrow"), "point_id")
-    f = f.select("point_id", *[F.when(F.abs(c) <= 9000, F.col(c)).alias(c) if c in ("bfast_magnitude", "gfc_tc00") else F.col(c) for c in PREDICTORS])
     at = proximity.point_locations(table(spark, d, "points")).withColumnsRenamed({"lon": "x", "lat": "y"})
     stage = pipeline.EnsembleClassification(ProjectConfig("classification"))
-    t = stage.training_table(f.join(at, "point_id", "left"), training_places(spark, d), "change_label")
+    t = stage.training_table(_predictors(spark, d).join(at, "point_id", "left"), training_places(spark, d), "change_label")
     return cut_lineage(t.select("point_id", F.col("change_label").alias("label"), *PREDICTORS))
 
 
 @query()
 def rf_probability(spark, d):
-    p = ml.change_probability(_labelled(spark, d), PREDICTORS, "label", trees=60)[0].dropDuplicates(["point_id"])
+    p = ml.change_probability(_labelled(spark, d), PREDICTORS, "label", trees=TREES, outlier_share=OUTLIER_SHARE)[0].dropDuplicates(["point_id"])
     return p.select("point_id", F.round("chg_probability", 6).alias("chg_probability"))
 
 
@@ -659,11 +664,12 @@ def kmeans_stratifier(spark, d):
 
 @query()
 def isolation_reject(spark, d):
-    return ml.without_outliers(first_features(spark, d).select("point_id", *PREDICTORS[1:5]), PREDICTORS[1:5]).select("point_id")
+    return ml.without_outliers(_predictors(spark, d), PREDICTORS, OUTLIER_SHARE).select("point_id")
 
 
 @query()
 def permutation_importance(spark, d):
     df = _labelled(spark, d)
-    _, model = ml.change_probability(df, PREDICTORS[:4], "label", trees=20)
-    return ml.permutation_importance(model, df.select("point_id", "label", *PREDICTORS[:4]), PREDICTORS[:4], "label", 2)
+    _, model = ml.change_probability(df, PREDICTORS, "label", trees=TREES, outlier_share=OUTLIER_SHARE)
+    rows = ml.training_rows(df, PREDICTORS, "label", OUTLIER_SHARE)
+    return ml.permutation_importance(model, rows.select("point_id", "label", *PREDICTORS), PREDICTORS, "label", REPEATS)

@@ -1,5 +1,10 @@
 """Small inputs on which queries that do less than their whole job give other rows."""
 
+import os
+
+import pytest
+
+from terravane.operators import ml
 from terravane.plans import reference_queries as q
 
 
@@ -13,11 +18,11 @@ POINTS = "point_id long, geometry string, x double, y double"
 TRAINING = "sample_id long, lon double, lat double, geometry string, change_label int"
 
 
-def labelled_folder(spark, path, points, training):
-    """Tables for the training queries; predictors that a table has are all 1."""
+def labelled_folder(spark, path, points, training, steep=()):
+    """Tables for the training queries; predictors that a table has are all 1, but the slope of the points ``steep``."""
     both = [c for c in q.PREDICTORS if c not in ("gfc_tc00", "elevation", "slope")]
     features = [(p[0], p[0], 1, "a", p[0], *[1] * (len(both))) for p in points]
-    products = [(p[0], p[0], 1, "a", p[0], 1, 1, 1) for p in points]
+    products = [(p[0], p[0], 1, "a", p[0], 1, 1, 1000 if p[0] in steep else 1) for p in points]
     return folder(
         spark,
         path,
@@ -50,3 +55,19 @@ def test_every_point_near_a_sample_takes_the_label_of_its_nearest(spark, tmp_pat
     points = [(1, None, 170.0, 0.5), (2, None, 170.0004, 0.5), (3, None, 170.0012, 0.5), (4, None, 171.0, 0.5)]
     training = [(10, 170.0, 0.5, None, 1), (11, 170.0005, 0.5, None, 0), (12, 171.0002, 0.5, None, 1), (13, 170.9998, 0.5, None, 0)]
     assert labels(spark, labelled_folder(spark, tmp_path, points, training)) == [(1, 1), (2, 0), (3, 0), (4, 0), (4, 1)]
+
+
+def test_isolation_sees_all_predictors(spark, tmp_path):
+    points = [(k, None, 170.0 + k, 0.5) for k in range(20)]
+    d = labelled_folder(spark, tmp_path, points, [(10, 170.0, 0.5, None, 1)], steep=(7,))
+    assert {r.point_id for r in q.isolation_reject(spark, d).collect()} == set(range(20)) - {7}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_importance_is_of_the_reference_size(spark, monkeypatch):
+    real, forests, shuffles = ml.change_probability, [], []
+    monkeypatch.setattr(ml, "change_probability", lambda df, columns, target, **o: forests.append((columns, o["trees"], o["outlier_share"])) or real(df, columns, target, **o))
+    shuffled = ml.permutation_importance
+    monkeypatch.setattr(ml, "permutation_importance", lambda m, df, columns, target, repeats: shuffles.append(repeats) or shuffled(m, df, columns, target, repeats))
+    assert {r.feature for r in q.permutation_importance(spark, "/root/testdata/sf0.01").collect()} == set(q.PREDICTORS)
+    assert forests == [(q.PREDICTORS, 1500, 0.1)] and shuffles == [25]
