@@ -256,13 +256,18 @@ def purified(sample: list[tuple[int, list[list[str]]]], rounds: int = TRAIN_ROUN
 
 
 def segments(docs: DataFrame, trees: Trees, switch: float = SWITCH_BITS, prose_bits: float = PROSE_BITS, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id, code, language, words, sentences, confidence, languages``: one row for each language of a document's prose.
+    """``doc_id, code, segment, language, first, last, words, sentences, confidence, languages, language_words, again``: for
+    each document one row with segment 0 for the whole, and from segment 1 on one for each run of a language along its
+    sentences.
 
     code is the document's own label (null if absent); languages says how many languages of the document have at least
-    ``least_words`` words. words counts the words of the prose sentences in that language;
-    confidence is the share of the best language in the likelihood of those sentences, from their exact code lengths,
-    evened out to one sentence's weight. Null, empty and markup-only texts and gibberish have no rows; a row that comes
-    twice is judged twice."""
+    ``least_words`` words in all, language_words how many words the row's language has in the document, and again whether an
+    earlier run has this language. first and last number the run's sentences in ``sentences(text)`` from 0, where those that
+    are not prose count and can lie within a run; words and sentences count the prose only. The whole has the language
+    with most words, its first and last prose sentence, and all its prose sentences. confidence is the share of the language
+    in the likelihood of those sentences, from their exact code lengths, evened out to one sentence's weight. Null, empty and
+    markup-only texts and gibberish have just the row of the whole, with a null language; a row that comes twice is judged
+    twice."""
     shared = share(docs.sparkSession, trees)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,29 +276,40 @@ def segments(docs: DataFrame, trees: Trees, switch: float = SWITCH_BITS, prose_b
             for first in range(0, len(whole), 500):
                 b = whole.iloc[first : first + 500]
                 doc, n, letters, bits = coder.sentence_costs([sentences(t) for t in b["text"]])
+                place = np.arange(len(doc)) - np.searchsorted(doc, doc)
                 good = bits.min(1) <= prose_bits * letters if len(bits) else np.empty(0, bool)
-                doc, n, bits = doc[good], n[good], bits[good]
+                doc, n, bits, place = doc[good], n[good], bits[good], place[good]
                 out = []
-                ids, codes = b["doc_id"].tolist(), b["code"].tolist()
-                edges = np.flatnonzero(np.diff(doc, prepend=-1))
-                for a, z in zip(edges, np.append(edges[1:], len(doc))):
+                starts = np.searchsorted(doc, np.arange(len(b) + 1))
+                for id_, code, a, z in zip(b["doc_id"].tolist(), b["code"].tolist(), starts[:-1], starts[1:]):
+                    if a == z:
+                        out.append((id_, code, 0, None, None, None, 0, 0, None, 0, 0, False))
+                        continue
                     lang = path(bits[a:z], switch)
                     words = np.bincount(lang, n[a:z], len(LANGUAGES))
                     several = int((words >= least_words).sum())
-                    for k in np.nonzero(words)[0]:
-                        own = lang == k
-                        mean = bits[a:z][own].mean(0)
+                    cuts = np.flatnonzero(np.diff(lang)) + 1
+                    runs = list(zip([0, *cuts], [*cuts, z - a]))
+                    had = set()
+                    for segment, (u, v) in enumerate([(0, z - a), *runs]):
+                        k = lang[u] if segment else int(words.argmax())
+                        mean = bits[a + u : a + v].mean(0)
                         share = 1 / np.exp2(np.clip(mean[k] - mean, -60, 60)).sum()
-                        out.append((ids[doc[a]], codes[doc[a]], LANGUAGES[k], int(words[k]), int(own.sum()), float(min(1.0, share)), several))
-                yield pd.DataFrame(out, columns=["doc_id", "code", "language", "words", "sentences", "confidence", "languages"])
+                        out.append((id_, code, segment, LANGUAGES[k], place[a + u], place[a + v - 1], int(n[a + u : a + v].sum()), int(v - u), float(min(1.0, share)), several, int(words[k]), bool(segment) and k in had))
+                        if segment:
+                            had.add(k)
+                f = pd.DataFrame(out, columns=["doc_id", "code", "segment", "language", "first", "last", "words", "sentences", "confidence", "languages", "language_words", "again"])
+                yield f.astype({"first": "Int64", "last": "Int64", "confidence": "float64"})
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", label_code(F.col("lang")).alias("code"), "text").where("text <> ''")
-    return rows.mapInPandas(find, f"doc_id {kind}, code string, language string, words long, sentences long, confidence double, languages int")
+    rows = docs.select("doc_id", label_code(F.col("lang")).alias("code"), "text")
+    return rows.mapInPandas(find, f"doc_id {kind}, code string, segment int, language string, first long, last long, words long, sentences long, confidence double, languages int, language_words long, again boolean")
 
 
 def label_faults(found: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Rows of ``segments`` with enough words, of documents whose label is absent, names another language than their
-    prose, or whose prose is in several languages. No exchange: a row of ``segments`` says how many there are."""
+    """The first run in ``segments`` of each language with enough words in all its runs, of documents whose label is absent,
+    names another language than their prose, or whose prose is in several languages. No exchange: a row of ``segments``
+    says how many languages and words there are."""
     right = F.coalesce(F.col("code") == F.col("language"), F.lit(False))
-    return found.where((F.col("words") >= least_words) & ((F.col("languages") > 1) | ~right))
+    runs = found.where((F.col("segment") > 0) & ~F.col("again"))
+    return runs.where((F.col("language_words") >= least_words) & ((F.col("languages") > 1) | ~right))
