@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,18 +15,22 @@ PRODUCT_FIELDS = ["gfc_tc00", "potapov_tree_height", "dw_tree_prob_mean"]
 PRODUCT_COLUMNS = ["row_id", "point_id", "chunk_id", "pathrow", "esa_lc21", "tmf_main", *PRODUCT_FIELDS]
 
 
+def _sets(*columns: str) -> list[tuple[str, ...]]:
+    """All sets of one to three of the columns, as candidates of a dependency."""
+    return [c for n in (1, 2, 3) for c in combinations(columns, n)]
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    products = measured.measured_products(table(spark, d, "products"), ["row_id", "chunk_id", *PRODUCT_FIELDS])
-    features = measured.measured_features(table(spark, d, "features"), ["row_id", "bfast_magnitude"])
-    return fill.missing_cells(products, PRODUCT_FIELDS).unionByName(fill.missing_cells(features, ["bfast_magnitude"]))
+    """The cells of p1_filled whose value is not measured, be they filled or not."""
+    return p1_filled(spark, d).where(~F.col("value_from").eqNullSafe("measured")).select("row_id", "field_name")
 
 
 def p1_filled(spark: SparkSession, d: str) -> DataFrame:
     """Each row of products and features with its field filled: one row per row and field."""
     products = measured.measured_products(table(spark, d, "products"), PRODUCT_COLUMNS)
-    products = fill.fill_from_similar(products, PRODUCT_FIELDS, [("point_id",), ("chunk_id", "esa_lc21", "tmf_main")], [("chunk_id", "esa_lc21"), ("pathrow", "esa_lc21"), ("esa_lc21",), ("chunk_id",)])
+    products = fill.fill_from_similar(products, PRODUCT_FIELDS, [("point_id",), *_sets("chunk_id", "pathrow", "esa_lc21", "tmf_main")], [("chunk_id", "esa_lc21"), ("pathrow", "esa_lc21"), ("esa_lc21",), ("chunk_id",)])
     features = measured.measured_features(table(spark, d, "features"), ["row_id", "point_id", "pathrow", "bfast_magnitude"])
-    features = fill.fill_from_similar(features, ["bfast_magnitude"], [("point_id",), ("chunk_id", "pathrow")], [("chunk_id",), ("pathrow",)])
+    features = fill.fill_from_similar(features, ["bfast_magnitude"], [("point_id",), *_sets("chunk_id", "pathrow")], [("chunk_id",), ("pathrow",)])
     long = lambda df, name, fields: df.select("row_id", "point_id", F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value"), F.col(f"{f}_filled").alias("filled"), F.col(f"{f}_from").alias("value_from")) for f in fields]))).withColumn("table_name", F.lit(name))
     return long(products, "products", PRODUCT_FIELDS).unionByName(long(features, "features", ["bfast_magnitude"]))
 

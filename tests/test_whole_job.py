@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-from terravane.operators import ml
+from terravane.operators import fill, ml
+from terravane.plans import core_queries
 from terravane.plans import reference_queries as q
 
 
@@ -71,3 +72,12 @@ def test_importance_is_of_the_reference_size(spark, monkeypatch):
     monkeypatch.setattr(ml, "permutation_importance", lambda m, df, columns, target, repeats: shuffles.append(repeats) or shuffled(m, df, columns, target, repeats))
     assert {r.feature for r in q.permutation_importance(spark, "/root/testdata/sf0.01").collect()} == set(q.PREDICTORS)
     assert forests == [(q.PREDICTORS, 1500, 0.1)] and shuffles == [25]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_found_cells_go_through_mining(spark, monkeypatch):
+    real, tried = fill.mine_dependencies, []
+    monkeypatch.setattr(fill, "mine_dependencies", lambda df, fields, candidates, *a: tried.append(set(candidates)) or real(df, fields, candidates, *a))
+    d = "/root/testdata/sf0.001"
+    found = {(r.row_id, r.field_name) for r in core_queries.p1_found(spark, d).collect()}
+    assert found and len(tried) == 2 and {("esa_lc21",), ("pathrow", "tmf_main")} <= tried[0] and {("chunk_id",), ("pathrow",)} <= tried[1]
