@@ -7,7 +7,8 @@
    the sketch, stacked with the items' own passages at equal weight, are the latent space (a randomised SVD).
 3. Windows of every document are compared with the windows of the items by cosine in the latent space. A document's
    window that has none of the words in which nearly all of an item window's length lies cannot reach the threshold
-   with it (Cauchy-Schwarz), so that pair is passed over.
+   with it in the full cosine (Cauchy-Schwarz), so that pair is passed over. The cosine in the latent space can be
+   higher than the full one; pairs that only the latent space would bring together are not looked at.
 4. For each candidate the longest common subsequence of matching runs is found. It is cut into pieces where either side
    has a gap; short pieces, and pieces of less than LONG_WORDS words without a rare word, are shared phrases and don't
    count. A document gives an item
