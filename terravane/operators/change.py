@@ -52,8 +52,8 @@ def fraction_years(days: np.ndarray) -> np.ndarray:
 
 def cusum(t: np.ndarray, y: np.ndarray, bootstraps: int, rng: np.random.Generator) -> tuple[float, float, float]:
     """Date, confidence and magnitude; (-1, -1, -1) for an empty series. Magnitude is the range of the cumulative sum of
-    residuals; confidence the share of permutations with a smaller one, times the drop of their mean from it
-    (no less than 0)."""
+    residuals; confidence the share of permutations with a smaller one, times the drop of their mean from it, which
+    is negative where the permutations' mean is larger."""
     if not len(y):
         return -1.0, -1.0, -1.0
     r = y - y.mean()
@@ -64,7 +64,7 @@ def cusum(t: np.ndarray, y: np.ndarray, bootstraps: int, rng: np.random.Generato
         return date, 0.0, 0.0
     p = rng.permuted(np.broadcast_to(r, (bootstraps, len(r))), axis=1).cumsum(1)
     sizes = p.max(1) - p.min(1)
-    return date, float((size > sizes).mean() * max(0.0, 1 - sizes.mean() / size)), float(size)
+    return date, float((size > sizes).mean() * (1 - sizes.mean() / size)), float(size)
 
 
 def bootstrap_slope(t: np.ndarray, y: np.ndarray, bootstraps: int, share: float, rng: np.random.Generator) -> tuple[float, float, float, float]:
@@ -131,41 +131,82 @@ def bfast_monitor(t: np.ndarray, y: np.ndarray, c: ChangeConfig, critical: float
     return float(t[order[n + hit[0]]]), float(np.median(r[n:])), float(mo.mean())
 
 
-def monitoring_charts(t: np.ndarray, y: np.ndarray, c: ChangeConfig, critical: float) -> list[float]:
-    """EWMA, MOSUM and CUSUM charts: date, change (0/1) and last process value of each; zeros if nothing can be said."""
-    past, now = t < c.start_monitor, (t >= c.start_monitor) & (t <= c.end_monitor)
-    p = 2 + 2 * c.harmonics
-    keep = np.nonzero(past)[0]
-    beta = None
-    for _ in range(20):  # screening: refit without readings far from the fit
-        if len(keep) <= p + 1:
-            return [0.0] * 9
-        beta, *_ = np.linalg.lstsq(design(t[keep], c.harmonics), y[keep], rcond=None)
-        r = y[keep] - design(t[keep], c.harmonics) @ beta
-        sigma = math.sqrt((r**2).sum() / (len(keep) - p))
-        good = np.abs(r) <= c.shewhart * sigma
+#: Fixed value: 5 % critical value of the recursive CUSUM test (Brown, Durbin and Evans 1975).
+RECURSIVE_CUSUM_5 = 0.9479
+
+
+def stable_history(x: np.ndarray, y: np.ndarray, critical: float = RECURSIVE_CUSUM_5) -> int:
+    """Where the stable history starts, by the reverse-ordered CUSUM test (Pesaran and Timmermann 2002): recursive residuals
+    are added up from the last reading backwards; readings before the first crossing of critical * (1 + 2 t) are left out."""
+    n, p = x.shape
+    if n <= p + 1:
+        return 0
+    xr, yr = x[::-1], y[::-1]
+    inverse = np.linalg.pinv(xr[:p].T @ xr[:p])
+    beta = inverse @ xr[:p].T @ yr[:p]
+    w = np.empty(n - p)
+    for k in range(p, n):
+        v = xr[k]
+        gain = inverse @ v
+        f = 1 + v @ gain
+        e = yr[k] - v @ beta
+        w[k - p] = e / math.sqrt(f)
+        beta = beta + gain * (e / f)
+        inverse = inverse - np.outer(gain, gain) / f
+    sd = w.std(ddof=1) if len(w) > 1 else 0.0
+    if sd <= 1e-12:
+        return 0
+    t = np.arange(1, n - p + 1) / (n - p)
+    out = np.nonzero(np.abs(w.cumsum() / (sd * math.sqrt(n - p))) > critical * (1 + 2 * t))[0]
+    return n - p - int(out[0]) if len(out) else 0
+
+
+def screened_fit(x: np.ndarray, y: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, float, np.ndarray] | None:
+    """Least squares without readings beyond ``limit`` deviations of the fit, which is repeated until none is left (a round
+    drops one at least, so it ends): (kept, coefficients, deviation, residuals), None if too few readings stay."""
+    keep = np.arange(len(y))
+    while True:
+        if len(keep) <= x.shape[1] + 1:
+            return None
+        beta, *_ = np.linalg.lstsq(x[keep], y[keep], rcond=None)
+        r = y[keep] - x[keep] @ beta
+        sigma = math.sqrt((r**2).sum() / (len(keep) - x.shape[1]))
+        good = np.abs(r) <= limit * sigma + 1e-12
         if good.all():
-            break
+            return keep, beta, sigma, r
         keep = keep[good]
-    n = len(keep)
-    if sigma <= 1e-12 or not now.any():
+
+
+def monitoring_charts(t: np.ndarray, y: np.ndarray, c: ChangeConfig, critical: float) -> list[float]:
+    """EWMA, MOSUM and CUSUM charts: date, change (0/1) and last process value of each; zeros if nothing can be said.
+
+    The history's model is harmonic without a trend; the CUSUM chart takes the stable end of the history only."""
+    past, now = t < c.start_monitor, (t >= c.start_monitor) & (t <= c.end_monitor)
+    x, xn = design(t[past], c.harmonics, trend=False), design(t[now], c.harmonics, trend=False)
+    fit = screened_fit(x, y[past], c.shewhart)
+    if fit is None or fit[2] <= 1e-12 or not now.any():
         return [0.0] * 9
-    m = y[now] - design(t[now], c.harmonics) @ beta
-    dates, k = t[now], np.arange(1, int(now.sum()) + 1)
+    keep, beta, sigma, r = fit
+    n, m, dates, k = len(keep), y[now] - xn @ beta, t[now], np.arange(1, int(now.sum()) + 1)
     lam = c.ewma_lambda
     ewma = np.empty(len(m))
     state = 0.0
     for i, v in enumerate(m):
         state = ewma[i] = (1 - lam) * state + lam * v
     limit = c.ewma_limit * sigma * np.sqrt(lam / (2 - lam) * (1 - (1 - lam) ** (2 * k)))
-    whole = np.concatenate([r, m])
-    s = np.concatenate([[0], whole.cumsum()])
+    s = np.concatenate([[0], np.concatenate([r, m]).cumsum()])
     h = max(1, int(c.h_share * n))
     mosum = (s[n + 1 :] - s[n + 1 - h : len(s) - h]) / (sigma * math.sqrt(n))
-    x = (n + k) / n
-    mosum_limit = critical * np.sqrt(np.where(x > math.e, np.log(x), 1.0))
-    total = m.cumsum() / (sigma * math.sqrt(n))
-    cusum_limit = np.sqrt(x * (x - 1) * (7.78 + np.log(x / (x - 1))))
+    late = (n + k) / n
+    mosum_limit = critical * np.sqrt(np.where(late > math.e, np.log(late), 1.0))
+    first = stable_history(x[keep], y[past][keep])
+    recent = screened_fit(x[keep[first:]], y[past][keep[first:]], c.shewhart) or fit
+    if recent[2] <= 1e-12:
+        recent = fit
+    size = len(recent[0])
+    late = (size + k) / size
+    total = (y[now] - xn @ recent[1]).cumsum() / (recent[2] * math.sqrt(size))
+    cusum_limit = np.sqrt(late * (late - 1) * (7.78 + np.log(late / (late - 1))))
     out: list[float] = []
     for process, edge in ((ewma, limit), (mosum, mosum_limit), (total, cusum_limit)):
         hit = np.nonzero(np.abs(process) > edge)[0]
@@ -175,25 +216,33 @@ def monitoring_charts(t: np.ndarray, y: np.ndarray, c: ChangeConfig, critical: f
 
 def ccdc_segments(t: np.ndarray, ys: np.ndarray, run: int = 6, least: int = 12) -> list[tuple[float, np.ndarray]]:
     """Breaks as (date, magnitude by band): a break is where ``run`` readings in a row depart from the harmonic model of
-    the segment so far; the model is fitted anew after it."""
+    the segment so far; the model is fitted anew after it. The models of all ends of a segment come from running sums of
+    the normal equations, solved in one batch."""
     out, start, n = [], 0, len(t)
+    if n < least + run:
+        return out
     bands = ys.shape[1]
     cut = CHI2_99.get(bands, bands + 2.33 * math.sqrt(2 * bands))
+    x = design(t, 1)
+    x[:, 1] -= x[:, 1].mean()
+    p = x.shape[1]
+    sums = lambda v: np.concatenate([np.zeros((1, *v.shape[1:])), v.cumsum(0)])
+    xx, xy, yy = sums(x[:, :, None] * x[:, None, :]), sums(x[:, :, None] * ys[:, None, :]), sums(ys * ys)
+    ahead = np.arange(run)
     while start + least + run <= n:
-        end = start + least
-        found = False
-        while end + run <= n:
-            x = design(t[start:end], 1)
-            beta, *_ = np.linalg.lstsq(x, ys[start:end], rcond=None)
-            rmse = np.maximum(np.sqrt(((ys[start:end] - x @ beta) ** 2).sum(0) / max(1, end - start - x.shape[1])), 1e-4)
-            r = ys[end : end + run] - design(t[end : end + run], 1) @ beta
-            if (((r / rmse) ** 2).sum(1) > cut).all():
-                out.append((float(t[end]), np.median(r, axis=0)))
-                start, found = end, True
-                break
-            end += 1
-        if not found:
+        ends = np.arange(start + least, n - run + 1)
+        gram, mixed = xx[ends] - xx[start], xy[ends] - xy[start]
+        gram = gram + 1e-9 * np.eye(p)
+        beta = np.linalg.solve(gram, mixed)
+        rest = np.maximum(yy[ends] - yy[start] - (beta * mixed).sum(1), 0)
+        rmse = np.maximum(np.sqrt(rest / np.maximum(1, ends - start - p)[:, None]), 1e-4)
+        r = ys[ends[:, None] + ahead] - x[ends[:, None] + ahead] @ beta
+        broken = np.nonzero((((r / rmse[:, None, :]) ** 2).sum(2) > cut).all(1))[0]
+        if not len(broken):
             break
+        k = int(broken[0])
+        out.append((float(t[ends[k]]), np.median(r[k], axis=0)))
+        start = int(ends[k])
     return out
 
 
@@ -250,7 +299,7 @@ def landtrendr(years: np.ndarray, v: np.ndarray, most: int = 6, share: float = 0
 OUTPUT = {
     "cusum": ["cusum_change_date", "cusum_confidence", "cusum_magnitude"],
     "slope": ["bs_slope_mean", "bs_slope_sd", "bs_slope_max", "bs_slope_min"],
-    "timescan": ["ts_mean", "ts_sd", "ts_min", "ts_max"],
+    "timescan": [],  # four columns for each band
     "bfast": ["bfast_change_date", "bfast_magnitude", "bfast_means"],
     "nrt": [f"{k}_jrc_{v}" for k in ("ewma", "mosum", "cusum") for v in ("date", "change", "magnitude")],
     "ccdc": ["ccdc_change_date", "ccdc_magnitude"],
@@ -258,6 +307,18 @@ OUTPUT = {
 }
 
 
+STATISTICS = ("mean", "sd", "min", "max")
+
+
+def output_columns(c: ChangeConfig) -> list[str]:
+    """The columns of the enabled kernels, in order."""
+    return [n for k in c.enabled for n in ([f"{b}_{s}" for b in statistic_bands(c) for s in STATISTICS] if k == "timescan" else OUTPUT[k])]
+
+
+def statistic_bands(c: ChangeConfig) -> list[str]:
+    return list(dict.fromkeys([*c.bands, c.band]))
+
+
 def series_features(days: np.ndarray, ts: dict[str, np.ndarray], id_: int, c: ChangeConfig, critical: float) -> dict[str, float]:
     """All enabled features of one series (readings of any order; NaN is absent)."""
     order = np.argsort(days, kind="stable")
@@ -276,7 +337,13 @@ def series_features(days: np.ndarray, ts: dict[str, np.ndarray], id_: int, c: Ch
         elif name == "slope":
             values = bootstrap_slope(tm, vm, c.bootstraps, c.slope_share, rng)
         elif name == "timescan":
-            values = (vm.mean(), vm.std(), vm.min(), vm.max()) if len(vm) else (-1.0,) * 4
+            years = fraction_years(days_.astype(int))
+            inside = (years >= c.start_monitor) & (years <= c.end_monitor)
+            for b in statistic_bands(c):
+                x = ts[b][order][inside]
+                x = x[~np.isnan(x)]
+                out.update(zip([f"{b}_{k}" for k in STATISTICS], map(float, (x.mean(), x.std(), x.min(), x.max()) if len(x) else (-1.0,) * 4)))
+            continue
         elif name == "bfast":
             values = bfast_monitor(t, v, c, critical)
         elif name == "nrt":
@@ -300,9 +367,9 @@ def features(series: DataFrame, config: ChangeConfig = ChangeConfig(), id_: str
     """``id, images, mon_images`` and the enabled features of nested series, one row for each row of ``series``.
 
     Absent values (null, NaN, -9999) and dates outside the years are passed over. An empty series gives -1 for the
-    cumulative sum, slope and statistics, -2 for the break monitor and 0 for the charts, segments and trajectory."""
-    bands = list(dict.fromkeys([config.band, *(config.bands if "ccdc" in config.enabled else ())]))
-    names = [n for k in config.enabled for n in OUTPUT[k]]
+    cumulative sum, slope and every band's statistics, -2 for the break monitor and 0 for the charts, segments and trajectory."""
+    bands = list(dict.fromkeys([config.band, *(config.bands if {"ccdc", "timescan"} & set(config.enabled) else ())]))
+    names = output_columns(config)
     days = F.transform("dates", lambda d: F.when(F.year(d).between(first_year, last_year), F.unix_date(d.cast("date"))))
     rows = series.select(F.col(id_), days.alias("days"), *[F.col("ts")[b].alias(b) for b in bands])
     critical = mosum_critical(config.h_share, config.level)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terravane.functions.estimation import above
 
 # What makes each product say forest. Above a number, or one of these classes.
 FOREST_ABOVE = {"lang_tree_height": 5, "potapov_tree_height": 5, "gfc_tc00": 10, "dw_tree_prob__min": 50}
@@ -12,8 +13,8 @@ FOREST_CLASSES = {"tmf_main": (10,), "esa_lc20": (10, 95), "esa_lc21": (10, 95),
 
 
 def forest_votes(columns: list[str]) -> list[Column]:
-    """What each product that is there says about forest; a null value says no."""
-    votes = [F.col(c) > v for c, v in FOREST_ABOVE.items() if c in columns] + [F.col(c).isin(*v) for c, v in FOREST_CLASSES.items() if c in columns]
+    """What each product that is there says about forest; a null or NaN value says no."""
+    votes = [above(c, v) for c, v in FOREST_ABOVE.items() if c in columns] + [F.col(c).isin(*v) for c, v in FOREST_CLASSES.items() if c in columns]
     return [F.coalesce(v, F.lit(False)) for v in votes]
 
 

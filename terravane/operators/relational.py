@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terravane.functions.estimation import number_or_null
 from terravane.session import cut_lineage
 
 
@@ -21,6 +22,18 @@ def missing(universe: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return universe.select(key).distinct().join(done.select(key).distinct(), key, "left_anti")
 
 
+def merged(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The inner join on a key, with NaN as null on both sides; of columns that both have the left's stay."""
+    right = right.drop(*[c for c in right.columns if c in left.columns and c != key])
+    return number_columns(left).join(number_columns(right), key)
+
+
+def number_columns(df: DataFrame) -> DataFrame:
+    """df with NaN and infinities of its floating-point columns as null."""
+    real = [c for c, k in df.dtypes if k in ("double", "float")]
+    return df.withColumns({c: number_or_null(F.col(c)) for c in real}) if real else df
+
+
 def union_first(parts: list[DataFrame], key: list[str], order: list[str]) -> DataFrame:
     """Union by name, missing columns null, then the first row of each key."""
     whole = parts[0]
@@ -40,6 +53,95 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "n") -> DataF
     return part.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_o") + F.col("_i") - F.col("_f")).drop("_part", "_i", "_o", "_f")
 
 
+def top_rows(df: DataFrame, value: str, k: int, ties: list[Column | str], accuracy: int = 100_000) -> DataFrame:
+    """The k rows with the largest ``value`` (a number), ties in the order ``ties``, which must be total; null counts last.
+
+    A quantile sketch brackets the boundary: what lies above the bracket is taken whole, and only the rows inside it are
+    put in order, by range partitions, so no task ever holds the k rows. df is read three times; cut its lineage before."""
+    n = df.count()
+    if k >= n:
+        return df
+    v = F.coalesce(F.col(value).cast("double"), F.lit(float("-inf")))
+    near = 2.0 / accuracy + 1 / n
+    lo, hi = df.agg(F.percentile_approx(v, [max(0.0, 1 - k / n - near), min(1.0, 1 - k / n + near)], accuracy)).first()[0]
+    sure = df.where(v > hi)
+    left = k - sure.count()
+    if left <= 0:  # the sketch missed; rank all rows
+        sure, left, lo = df.where("false"), k, float("-inf")
+    edge = df.where((v <= hi) & (v >= lo)) if lo != float("-inf") else df.where(v <= (hi if left < k else F.lit(float("inf"))))
+    return sure.unionByName(numbered(edge, [v.desc(), *ties], "_k").where(F.col("_k") < left).drop("_k"))
+
+
+def exact_percentiles(df: DataFrame, columns: dict[str, Column], p: float, few: int = 10_000, accuracy: int = 1_000) -> dict[str, float | None]:
+    """The exact, linear percentile (p in 0 to 1) of each column over the rows where it is not null; None without any.
+
+    Sketches narrow a bracket around the two order statistics until at most ``few`` rows or one value lie inside; these
+    rows go to the driver. A pass reads all rows for all columns at once, and narrows by some hundred times; where a
+    bracket narrows no more (many rows of few values), its values are counted instead."""
+    names = [f"_p{i}" for i in range(len(columns))]
+    rows = cut_lineage(df.select(*[c.cast("double").alias(a) for a, c in zip(names, columns.values())]))
+    total = rows.agg(*[F.count(c).alias(c) for c in names], *[F.min(c).alias(f"l{c}") for c in names], *[F.max(c).alias(f"h{c}") for c in names]).first()
+    at = {c: p * (total[c] - 1) for c in names}
+    want = {c: (int(at[c]), min(int(at[c]) + 1, total[c] - 1)) for c in names}
+    box = {c: (total[f"l{c}"], total[f"h{c}"], 0, total[c]) for c in names if total[c]}  # lowest, highest, rows below, rows inside
+    inside = lambda c: (F.col(c) >= box[c][0]) & (F.col(c) <= box[c][1])
+    wide = [c for c in box if box[c][3] > few]
+    while wide:
+        share = lambda c, k: min(1.0, max(0.0, (k - box[c][2]) / box[c][3]))
+        cuts = rows.agg(*[F.percentile_approx(F.when(inside(c), F.col(c)), [max(0.0, share(c, want[c][0]) - 2 / accuracy), min(1.0, share(c, want[c][1] + 1) + 2 / accuracy)], accuracy).alias(c) for c in wide]).first()
+        counts = rows.agg(*[F.count_if(F.col(c) < cuts[c][0]).alias(f"b{c}") for c in wide], *[F.count_if(F.col(c).between(*cuts[c])).alias(f"n{c}") for c in wide]).first()
+        again = []
+        for c in wide:
+            below, n = counts[f"b{c}"], counts[f"n{c}"]
+            if below <= want[c][0] and want[c][1] < below + n and n < box[c][3]:
+                box[c] = (*cuts[c], below, n)
+                if n > few and cuts[c][0] < cuts[c][1]:
+                    again.append(c)
+        wide = again
+    one = [F.when(inside(c), F.struct(F.lit(c).alias("c"), F.col(c).alias("v"))) for c in box]
+    values: dict[str, list] = {c: [] for c in box}
+    if box:
+        for r in rows.select(F.explode(F.array_compact(F.array(*one))).alias("e")).groupBy("e.c", "e.v").agg(F.count("*").alias("n")).collect():
+            values[r["c"]].append((r["v"], r["n"]))
+    out: dict[str, float | None] = {}
+    for name, c in zip(columns, names):
+        if c not in box:
+            out[name] = None
+            continue
+        found, seen = [], box[c][2]
+        for v, n in sorted(values[c]):
+            found += [v for k in want[c] if seen <= k < seen + n]
+            seen += n
+        out[name] = found[0] + (at[c] - want[c][0]) * (found[-1] - found[0])
+    return out
+
+
+def percentiles_by_group(df: DataFrame, group: str, value: Column, wanted: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """``group`` and the exact, linear percentiles ``wanted`` (name: 0 to 1) of a value over the rows where it is not null.
+
+    Per group and percentile a sketch brackets the two order statistics; what lies below is counted and only the values
+    inside the bracket, some 4 / accuracy of the group, are put in order. A null group is a group; one without values has
+    no row."""
+    v = df.select(F.col(group).alias("_g"), value.cast("double").alias("_v")).where("_v is not null")
+    near = 2 / accuracy
+    ends = {n: F.percentile_approx("_v", [max(0.0, p - near), min(1.0, p + near)], accuracy) for n, p in wanted.items()}
+    cuts = cut_lineage(v.groupBy("_g").agg(F.count("*").alias("_n"), *[e.alias(f"_e{i}") for i, e in enumerate(ends.values())]))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.col(f"_e{i}").alias("e")) for i, p in enumerate(wanted.values())])).alias("x")
+    boxes = cuts.select("_g", "_n", each).select("_g", "x.i", (F.col("x.p") * (F.col("_n") - 1)).alias("at"), F.get("x.e", F.lit(0)).alias("lo"), F.greatest(F.get("x.e", F.lit(0)), F.get("x.e", F.lit(1))).alias("hi"))
+    j = v.withColumnRenamed("_g", "_h").join(boxes, F.col("_h").eqNullSafe(F.col("_g")))
+    # values below a bracket are one row a task and group with the largest, those above one with the smallest; those inside
+    # are one row a value. The sketch's error is half the bracket's margin, so only the next value outside can be wanted.
+    place = F.when(F.col("_v") < F.col("lo"), F.lit(None).cast("double")).when(F.col("_v") <= F.col("hi"), F.col("_v")).otherwise(F.lit(float("inf")))
+    seen = j.groupBy("_g", "i", "at", place.alias("_k")).agg(F.count("*").alias("_c"), F.when(place.isNull(), F.max("_v")).otherwise(F.min("_v")).alias("_v"))
+    w = Window.partitionBy("_g", "i").orderBy(F.col("_k").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = seen.withColumn("_l", F.sum("_c").over(w))
+    low = F.min(F.when(F.col("_l") > F.floor("at"), F.col("_v")))
+    high = F.min(F.when(F.col("_l") > F.floor("at") + 1, F.col("_v")))
+    found = seen.groupBy("_g", "i", "at").agg(low.alias("a"), F.coalesce(high, low).alias("b"))
+    found = found.select(F.col("_g").alias(group), "i", (F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))).alias("x"))
+    return found.groupBy(group).agg(*[F.max(F.when(F.col("i") == i, F.col("x"))).alias(n) for i, n in enumerate(wanted)])
+
+
 def pages(df: DataFrame, order: list[Column | str], size: int = 25_000) -> DataFrame:
     return numbered(df, order, "_k").withColumn("page", F.floor(F.col("_k") / size)).drop("_k")
 

@@ -25,6 +25,11 @@ def observations(raw: DataFrame, bands: list[str] = BANDS) -> DataFrame:
     return r.select("point_id", "imageid", date.alias("date"), F.try_element_at(parts, F.lit(-2)).alias("path_row"), *[clean(F.col(b)).alias(b) for b in bands], "x", "y", "ingested_at")
 
 
+def with_default(df: DataFrame, columns: list[str], default: float = MASKED) -> DataFrame:
+    """df with the default in place of each null and NaN of the columns."""
+    return df.withColumns({c: F.coalesce(F.nanvl(F.col(c), F.lit(None).cast("double")), F.lit(default)) for c in columns})
+
+
 def assemble(obs: DataFrame, bands: list[str] = BANDS) -> DataFrame:
     """One reading per point and date, of the point's path/row with most images.
 

@@ -22,9 +22,9 @@ class SampleSize:
     config: ProjectConfig
 
     def forest_areas(self, pixels: DataFrame, pixel_area_m2: float = 900.0) -> tuple[DataFrame, DataFrame]:
-        """(areas, loss by year) in km2 from pixels with gfc_tc00 and gfc_lossyear (0: none)."""
+        """(areas, loss by year) in km2 from pixels with gfc_tc00 and gfc_lossyear (0: none); a null or NaN cover is no forest."""
         c = self.config
-        p = pixels.withColumn("f", (F.col("gfc_tc00") > c.tree_cover).cast("int"))
+        p = pixels.withColumn("f", estimation.above("gfc_tc00", c.tree_cover).cast("int"))
         start, end = int(c.monitor_start[2:4]), int(c.monitor_end[2:4])
         lost = lambda a, b: F.sum(F.when(F.col("gfc_lossyear").between(a, b), F.col("f")).otherwise(0))
         km2 = lambda x: F.round(x * pixel_area_m2 / 1e6, 2)

@@ -59,13 +59,13 @@ def p7_grid(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_filled": p1_filled, "p5_found": p5_found, "p6_found": p6_found, "p6_region": p6_region, "p7_found": p7_found, "p7_grid": p7_grid}
 
-_NUMBER = "([-+]?[0-9]*[.]?[0-9]+(?:[eE][-+]?[0-9]+)?)"
-_LON = f"try_cast(nullif(regexp_extract(geometry, '(?i)point[^-+0-9.]*{_NUMBER}\\s+{_NUMBER}', 1), '') AS double)"
-_LAT = f"try_cast(nullif(regexp_extract(geometry, '(?i)point[^-+0-9.]*{_NUMBER}\\s+{_NUMBER}', 2), '') AS double)"
-_PLACES = f"""
+NUMBER = "([-+]?[0-9]*[.]?[0-9]+(?:[eE][-+]?[0-9]+)?)"
+LON = f"try_cast(nullif(regexp_extract(geometry, '(?i)point[^-+0-9.]*{NUMBER}\\s+{NUMBER}', 1), '') AS double)"
+LAT = f"try_cast(nullif(regexp_extract(geometry, '(?i)point[^-+0-9.]*{NUMBER}\\s+{NUMBER}', 2), '') AS double)"
+PLACES = f"""
 places AS (
   SELECT point_id, min(coalesce(glon, CASE WHEN NOT contains(CAST(x AS VARCHAR), 'nan') THEN x - 360 * floor(x / 360) END)) AS lon, min(coalesce(glat, CASE WHEN NOT contains(CAST(y AS VARCHAR), 'nan') THEN y END)) AS lat
-  FROM (SELECT point_id, x, y, {_LON} - 360 * floor({_LON} / 360) AS glon, {_LAT} AS glat, max({_LON}) OVER (PARTITION BY point_id) AS any_g FROM points)
+  FROM (SELECT point_id, x, y, {LON} - 360 * floor({LON} / 360) AS glon, {LAT} AS glat, max({LON}) OVER (PARTITION BY point_id) AS any_g FROM points)
   WHERE any_g IS NULL OR glon IS NOT NULL
   GROUP BY point_id
 )"""
@@ -93,12 +93,12 @@ r AS (
 
 ORACLE = {
     "p1_found": f"WITH {_MEASURED_P} SELECT row_id, f AS field_name FROM m WHERE v IS NULL OR (chunk_id IS NOT NULL AND n >= 20 AND lo = hi AND hi <> 0)",
-    "p6_found": f"""WITH {_PLACES}, u AS (
+    "p6_found": f"""WITH {PLACES}, u AS (
   SELECT point_id, cos(radians(lat)) * cos(radians(lon)) AS ux, cos(radians(lat)) * sin(radians(lon)) AS uy, sin(radians(lat)) AS uz FROM places WHERE lon IS NOT NULL AND lat IS NOT NULL
 ) SELECT a.point_id AS point_id_a, b.point_id AS point_id_b FROM u a JOIN u b ON a.point_id < b.point_id
   AND abs(a.ux - b.ux) < 0.0001 AND abs(a.uy - b.uy) < 0.0001
 WHERE 2 * 6371008.8 * asin(sqrt((a.ux - b.ux) ** 2 + (a.uy - b.uy) ** 2 + (a.uz - b.uz) ** 2) / 2) <= 250""",
-    "p6_region": f"""WITH {_PLACES}, e AS (
+    "p6_region": f"""WITH {PLACES}, e AS (
   SELECT a.poly_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM aoi a JOIN aoi b ON a.poly_id = b.poly_id AND a.ring = b.ring AND b.i = a.i + 1
 ), w AS (SELECT min(x) AS west FROM aoi), p AS (
   SELECT point_id, lon - west - 360 * floor((lon - west) / 360) + west AS px, lat AS py FROM places, w

@@ -11,6 +11,7 @@ from terravane import pipeline
 from terravane.config import ProjectConfig
 from terravane.functions import estimation, geometry
 from terravane.operators import change, labels, ml, proximity, raster, relational, series, subsample
+from terravane.plans.core_queries import LAT, LON, PLACES
 from terravane.session import cut_lineage, spread_table, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +47,7 @@ def assembled(spark: SparkSession, d: str) -> DataFrame:
 
 
 _B = series.BANDS
+_REAL = "CASE WHEN NOT contains(CAST({c} AS VARCHAR), 'nan') AND abs({c}) <> 'inf'::double THEN {c} END"
 _CLEAN = ", ".join(f"CASE WHEN NOT contains(CAST({b} AS VARCHAR), 'nan') AND {b} <> -9999 THEN {b} END AS {b}" for b in _B)
 _OBS = f"""o AS (
   SELECT point_id, imageid, CAST(try_strptime(split_part(imageid, '_', 3), '%Y%m%d') AS DATE) AS date, split_part(imageid, '_', 2) AS path_row, {_CLEAN}, x, y, ingested_at
@@ -68,9 +70,9 @@ def obs_masked(spark, d):
     return obs(spark, d).groupBy("path_row").agg(F.count("*").alias("n"), F.count("ndfi").alias("n_ndfi"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-@query("SELECT point_id, imageid, coalesce(green, -9999) AS green, coalesce(ndfi, -9999) AS ndfi FROM obs")
+@query("SELECT point_id, imageid, " + ", ".join(f"CASE WHEN {b} IS NULL OR contains(CAST({b} AS VARCHAR), 'nan') THEN -9999 ELSE {b} END AS {b}" for b in ("green", "ndfi")) + " FROM obs")
 def obs_default_values(spark, d):
-    return table(spark, d, "obs").select("point_id", "imageid", F.coalesce("green", F.lit(-9999.0)).alias("green"), F.coalesce("ndfi", F.lit(-9999.0)).alias("ndfi"))
+    return series.with_default(table(spark, d, "obs").select("point_id", "imageid", "green", "ndfi"), ["green", "ndfi"])
 
 
 @query(f"WITH {_A1} SELECT point_id, path_row, count(*) AS images, min(date) AS first_date, max(date) AS last_date, {sr('sum(ndfi)', 4)} AS ndfi_sum FROM a GROUP BY point_id, path_row")
@@ -158,11 +160,11 @@ def dedup_keep_first(spark, d):
     return first_features(spark, d).select("point_id", "row_id", "chunk_id", "images")
 
 
-@query(f"WITH {_FIRST_F}, {_FIRST_P} SELECT point_id, ff.row_id AS feature_row, pp.row_id AS product_row, ff.images, gfc_tc00, esa_lc20, cusum_magnitude FROM ff JOIN pp USING (point_id)")
+@query(f"WITH {_FIRST_F}, {_FIRST_P} SELECT point_id, ff.row_id AS feature_row, pp.row_id AS product_row, ff.images, {_REAL.format(c='gfc_tc00')} AS gfc_tc00, esa_lc20, {_REAL.format(c='cusum_magnitude')} AS cusum_magnitude FROM ff JOIN pp USING (point_id)")
 def feature_merge(spark, d):
     f = first_features(spark, d).withColumnRenamed("row_id", "feature_row")
-    p = first_products(spark, d).withColumnRenamed("row_id", "product_row").drop("chunk_id", "pathrow")
-    return f.join(p, "point_id").select("point_id", "feature_row", "product_row", "images", "gfc_tc00", "esa_lc20", "cusum_magnitude")
+    p = first_products(spark, d).withColumnRenamed("row_id", "product_row")
+    return relational.merged(f, p, "point_id").select("point_id", "feature_row", "product_row", "images", "gfc_tc00", "esa_lc20", "cusum_magnitude")
 
 
 @query("SELECT row_id, point_id FROM features WHERE point_id IN (SELECT point_id FROM series WHERE point_id IS NOT NULL)")
@@ -251,8 +253,8 @@ def events_trailing7d(spark, d):
 
 @query(f"SELECT pathrow, {sr('quantile_cont(abs(ccdc_magnitude), 0.95)')} AS p95, {sr('quantile_cont(abs(ccdc_magnitude), 0.5)')} AS p50 FROM features WHERE NOT contains(CAST(ccdc_magnitude AS VARCHAR), 'nan') GROUP BY pathrow")
 def percentile_by_group(spark, d):
-    f = table(spark, d, "features").where(F.col("ccdc_magnitude").isNotNull() & ~F.isnan("ccdc_magnitude"))
-    return f.groupBy("pathrow").agg(r(F.percentile(F.abs("ccdc_magnitude"), 0.95)).alias("p95"), r(F.percentile(F.abs("ccdc_magnitude"), 0.5)).alias("p50"))
+    g = relational.percentiles_by_group(table(spark, d, "features"), "pathrow", F.abs(estimation.nan_to_null("ccdc_magnitude")), {"p95": 0.95, "p50": 0.5})
+    return g.select("pathrow", r("p95").alias("p95"), r("p50").alias("p50"))
 
 
 _MAG = subsample.ABSOLUTE
@@ -268,8 +270,7 @@ SELECT point_id FROM j, q WHERE
   OR coalesce(gfc_lossyear BETWEEN 15 AND 22, false) OR coalesce(tmf_defyear BETWEEN 2015 AND 2022, false) OR coalesce(tmf_degyear BETWEEN 2015 AND 2022, false)""")
 def threshold_filter(spark, d):
     j = first_features(spark, d).drop("row_id", "chunk_id", "pathrow").join(first_products(spark, d), "point_id")
-    number = lambda c: F.when(~F.isnan(c) & (F.col(c) > -9000), F.col(c))
-    j = j.withColumns({c: number(c) for c in [*_MAG, "bs_slope_mean", "gfc_tc00", "potapov_tree_height"]})
+    j = j.withColumns({c: F.when(F.col(c) > -9000, F.col(c)) for c in [*_MAG, "bs_slope_mean", "gfc_tc00", "potapov_tree_height"]})  # the mask
     return subsample.over_thresholds(j).select("point_id")
 
 
@@ -280,8 +281,7 @@ def threshold_filter(spark, d):
   greatest(coalesce(gfc_lossyear > 15 AND gfc_lossyear < 22, false)::int, coalesce(gfc_gain <> 0, false)::int, coalesce(tmf_defyear > 2015 AND tmf_defyear < 2022, false)::int, coalesce(tmf_degyear > 2015 AND tmf_degyear < 2022, false)::int) AS cnc FROM products)
 SELECT row_id, CASE WHEN list_bool_and(votes) THEN 1 WHEN NOT list_bool_or(votes) THEN 0 END AS fnf, cnc FROM v""")
 def fnf_cnc_labels(spark, d):
-    p = table(spark, d, "products").withColumns({c: estimation.number_or_null(F.col(c)) for c in ("gfc_tc00", "potapov_tree_height", "lang_tree_height", "dw_tree_prob__min")})
-    return labels.product_labels(p, 2015, 2022).select("row_id", "fnf", "cnc")
+    return labels.product_labels(table(spark, d, "products"), 2015, 2022).select("row_id", "fnf", "cnc")
 
 
 @query("SELECT row_id, CASE WHEN esa_lc20 IN (10, 20) THEN 1 ELSE 0 END AS fnf, CASE WHEN tmf_main IN (41, 42, 43) THEN 1 ELSE 0 END AS cnc FROM products")
@@ -308,10 +308,10 @@ def stratum_bounds(spark, d):
     return relational.stratum_bounds(table(spark, d, "products").where("esa_lc20 is not null"), "esa_lc20", "slope").select(F.col("k").cast("long").alias("k"), "bound")
 
 
-@query(f"SELECT row_id, {sr('cusum_confidence * 0.8 / (cusum_confidence * 0.8 + (1 - cusum_confidence) * 0.1)')} AS posterior, {sr('pow(cusum_confidence * ((images % 100) / 100.0::double), 0.5)')} AS combined FROM features")
+@query(f"SELECT row_id, {sr('cusum_confidence * 0.8 / (cusum_confidence * 0.8 + (1 - cusum_confidence) * (1 - 0.8::double))')} AS posterior, {sr('pow(cusum_confidence * ((images % 100) / 100.0::double), 0.5)')} AS combined FROM features")
 def bayes_combine(spark, d):
     p = F.col("cusum_confidence")
-    return table(spark, d, "features").select("row_id", r(estimation.bayes_update(p, F.lit(0.8), F.lit(0.1))).alias("posterior"), r(estimation.combined_probability(p, (F.col("images") % 100) / 100.0)).alias("combined"))
+    return table(spark, d, "features").select("row_id", r(estimation.bayes_update(p, F.lit(0.8))).alias("posterior"), r(estimation.combined_probability(p, (F.col("images") % 100) / 100.0)).alias("combined"))
 
 
 _Z = estimation.z_value(0.95)
@@ -320,7 +320,7 @@ _SHARES = "s AS (SELECT avg(CASE WHEN gfc_tc00 BETWEEN 10 AND 100 AND NOT contai
 
 def _shares(spark, d):
     p = table(spark, d, "products")
-    return p.agg(F.avg(F.when(F.col("gfc_tc00").between(10, 100), 1.0).otherwise(0.0)).alias("forest"), F.avg(F.when(F.col("gfc_lossyear") > 0, 1.0).otherwise(0.0)).alias("change"))
+    return p.agg(F.avg(F.when(estimation.nan_to_null("gfc_tc00").between(10, 100), 1.0).otherwise(0.0)).alias("forest"), F.avg(F.when(F.col("gfc_lossyear") > 0, 1.0).otherwise(0.0)).alias("change"))
 
 
 def _sweep(spark, d):
@@ -345,8 +345,7 @@ def minimum_sample(spark, d):
 @query(f"WITH {_SHARES} SELECT e, CAST(ceil(pow({_Z!r}, 2) * change * (1 - change) / pow(e * change, 2)) AS BIGINT) AS n FROM s, (SELECT unnest([0.05::double, 0.1::double, 0.2::double]) AS e)")
 def cochran_size(spark, d):
     e = spark.createDataFrame([(0.05,), (0.1,), (0.2,)], "e double").crossJoin(_shares(spark, d))
-    z = e.select("e", F.ceil(estimation.z_value(0.95) ** 2 * F.col("change") * (1 - F.col("change")) / F.pow(F.col("e") * F.col("change"), 2)).alias("n"))
-    return z
+    return e.select("e", estimation.sample_size(F.col("change"), F.col("e")).alias("n"))
 
 
 @query(f"""WITH c AS (SELECT chunk_id, avg(CASE WHEN gfc_lossyear > 0 THEN 1.0 ELSE 0.0 END) AS x FROM products GROUP BY 1), a AS (SELECT avg(CASE WHEN gfc_lossyear > 0 THEN 1.0 ELSE 0.0 END) AS actual FROM products)
@@ -378,78 +377,74 @@ def forest_areas(spark, d):
 
 def places(spark, d):
     p = proximity.point_locations(table(spark, d, "points"))
-    return p.select("point_id", F.round("lon", 6).alias("x"), F.round("lat", 6).alias("y"))
+    return p.select("point_id", r("lon").alias("x"), r("lat").alias("y"))
 
 
-_XY = "SELECT point_id, round(min(x - 360 * floor(x / 360)) + 1e-10, 6) AS x, round(min(y) + 1e-10, 6) AS y FROM points WHERE x IS NOT NULL AND NOT contains(CAST(x AS VARCHAR), 'nan') AND y IS NOT NULL AND NOT contains(CAST(y AS VARCHAR), 'nan') GROUP BY point_id"
-
-
-def simple_places(spark, d):
-    p = table(spark, d, "points").where("x is not null and not isnan(x) and y is not null and not isnan(y)")
-    return p.groupBy("point_id").agg(r(F.min(F.pmod("x", F.lit(360.0)))).alias("x"), r(F.min("y")).alias("y"))
+_P = f"{PLACES}, p AS (SELECT point_id, round(lon + 1e-10, 6) AS x, round(lat + 1e-10, 6) AS y FROM places WHERE lon IS NOT NULL AND lat IS NOT NULL)"
+_T = f"""t AS (
+  SELECT sample_id, change_label, round(lon - 360 * floor(lon / 360) + 1e-10, 6) AS x, round(lat + 1e-10, 6) AS y
+  FROM (SELECT sample_id, change_label, coalesce({_REAL.format(c='lon')}, {LON}) AS lon, coalesce({_REAL.format(c='lat')}, {LAT}) AS lat FROM training) WHERE lon IS NOT NULL AND lat IS NOT NULL
+)"""
 
 
 def training_places(spark, d):
     """Training samples that have a place, at lon, lat or else at their geometry; longitudes in [0, 360)."""
     lon, lat = (F.coalesce(proximity.real(F.col(c)), g(F.col("geometry"))) for c, g in (("lon", proximity.geometry_lon), ("lat", proximity.geometry_lat)))
-    t = table(spark, d, "training").select("sample_id", F.pmod(lon, F.lit(360.0)).alias("x"), lat.alias("y"), "change_label")
+    t = table(spark, d, "training").select("sample_id", r(F.pmod(lon, F.lit(360.0))).alias("x"), r(lat).alias("y"), "change_label")
     return t.where("x is not null and y is not null")
 
 
-@query(f"WITH p AS ({_XY}) SELECT CAST(floor(x / 0.25) AS BIGINT) AS cell_x, CAST(floor(y / 0.25) AS BIGINT) AS cell_y, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) < 100")
+@query(f"WITH {_P} SELECT CAST(floor(x / 0.25) AS BIGINT) AS cell_x, CAST(floor(y / 0.25) AS BIGINT) AS cell_y, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) < 100")
 def chunk_counts(spark, d):
-    return raster.cell_counts(simple_places(spark, d), 0.25, 100)
+    return raster.cell_counts(places(spark, d), 0.25, 100)
 
 
 _RASTER = "px AS (SELECT CAST(floor(x / 0.05) AS BIGINT) AS cell_x, CAST(floor(y / 0.05) AS BIGINT) AS cell_y, avg(elevation) AS value FROM p JOIN products USING (point_id) WHERE elevation IS NOT NULL GROUP BY 1, 2)"
 
 
 def elevation_raster(spark, d):
-    p = simple_places(spark, d).join(table(spark, d, "products").select("point_id", "elevation"), "point_id").where("elevation is not null")
+    p = places(spark, d).join(table(spark, d, "products").select("point_id", "elevation"), "point_id").where("elevation is not null")
     return p.groupBy(raster.cell(F.col("x"), 0.05).alias("cell_x"), raster.cell(F.col("y"), 0.05).alias("cell_y")).agg(F.avg("elevation").alias("value"))
 
 
-@query(f"WITH p AS ({_XY}), {_RASTER} SELECT sample_id, {sr('value', 4)} AS value FROM (SELECT sample_id, CAST(floor((lon - 360 * floor(lon / 360)) / 0.05) AS BIGINT) AS cell_x, CAST(floor(lat / 0.05) AS BIGINT) AS cell_y FROM training WHERE lon IS NOT NULL AND lat IS NOT NULL) t LEFT JOIN px USING (cell_x, cell_y)")
+@query(f"WITH {_P}, {_RASTER}, {_T} SELECT sample_id, {sr('value', 4)} AS value FROM (SELECT sample_id, CAST(floor(x / 0.05) AS BIGINT) AS cell_x, CAST(floor(y / 0.05) AS BIGINT) AS cell_y FROM t) t LEFT JOIN px USING (cell_x, cell_y)")
 def raster_sample(spark, d):
-    t = table(spark, d, "training").where("lon is not null and lat is not null").select("sample_id", F.pmod("lon", F.lit(360.0)).alias("x"), F.col("lat").alias("y"))
-    return raster.at_points(t, elevation_raster(spark, d), 0.05).select("sample_id", r("value", 4).alias("value"))
+    return raster.at_points(training_places(spark, d), elevation_raster(spark, d), 0.05).select("sample_id", r("value", 4).alias("value"))
 
 
-@query(f"""WITH p AS ({_XY}), {_RASTER}, t AS (SELECT sample_id, lon - 360 * floor(lon / 360) AS x, lat AS y FROM training WHERE lon IS NOT NULL AND lat IS NOT NULL)
+@query(f"""WITH {_P}, {_RASTER}, {_T}
 SELECT sample_id, {sr('avg(value)', 4)} AS mean, count(value) AS cells FROM t JOIN px ON cell_x BETWEEN floor((x - 0.06) / 0.05) AND floor((x + 0.06) / 0.05) AND cell_y BETWEEN floor((y - 0.06) / 0.05) AND floor((y + 0.06) / 0.05) GROUP BY sample_id""")
 def buffer_mean(spark, d):
-    t = table(spark, d, "training").where("lon is not null and lat is not null").select("sample_id", F.pmod("lon", F.lit(360.0)).alias("x"), F.col("lat").alias("y"))
-    return raster.buffer_mean(t, elevation_raster(spark, d), 0.05, 0.06, "sample_id").select("sample_id", r("mean", 4).alias("mean"), "cells")
+    return raster.buffer_mean(training_places(spark, d), elevation_raster(spark, d), 0.05, 0.06, "sample_id").select("sample_id", r("mean", 4).alias("mean"), "cells")
 
 
-@query(f"WITH p AS ({_XY}), {_RASTER} SELECT CAST(floor(cell_x / 4.0::double) AS BIGINT) AS cell_x, CAST(floor(cell_y / 4.0::double) AS BIGINT) AS cell_y, CASE WHEN avg(CASE WHEN value > 400 THEN 1.0 ELSE 0.0 END) > 0.5 THEN 1 ELSE 0 END AS value FROM px GROUP BY 1, 2")
+@query(f"WITH {_P}, {_RASTER} SELECT CAST(floor(cell_x / 4.0::double) AS BIGINT) AS cell_x, CAST(floor(cell_y / 4.0::double) AS BIGINT) AS cell_y, CASE WHEN avg(CASE WHEN value > 400 THEN 1.0 ELSE 0.0 END) > 0.5 THEN 1 ELSE 0 END AS value FROM px GROUP BY 1, 2")
 def block_mean(spark, d):
     flags = elevation_raster(spark, d).withColumn("value", F.when(F.col("value") > 400, 1.0).otherwise(0.0))
     return raster.block_majority(flags, 4)
 
 
-@query(f"""WITH RECURSIVE p AS ({_XY}), c AS (SELECT DISTINCT CAST(floor(x / 0.02) AS BIGINT) AS cx, CAST(floor(y / 0.02) AS BIGINT) AS cy FROM p), walk AS (
+@query(f"""WITH RECURSIVE {_P}, c AS (SELECT DISTINCT CAST(floor(x / 0.02) AS BIGINT) AS cx, CAST(floor(y / 0.02) AS BIGINT) AS cy FROM p), walk AS (
   SELECT cx, cy, cx AS rx, cy AS ry FROM c UNION SELECT c.cx, c.cy, w.rx, w.ry FROM walk w JOIN c ON abs(c.cx - w.cx) <= 1 AND abs(c.cy - w.cy) <= 1
 ), root AS (SELECT cx, cy, min((rx, ry)) AS root FROM walk GROUP BY cx, cy)
 SELECT cx AS cell_x, cy AS cell_y, count(*) OVER (PARTITION BY root) AS size FROM root""")
 def component_sizes(spark, d):
-    p = simple_places(spark, d).select(raster.cell(F.col("x"), 0.02).alias("cell_x"), raster.cell(F.col("y"), 0.02).alias("cell_y"))
+    p = places(spark, d).select(raster.cell(F.col("x"), 0.02).alias("cell_x"), raster.cell(F.col("y"), 0.02).alias("cell_y"))
     return raster.components(p).select("cell_x", "cell_y", "size")
 
 
-@query(f"""WITH p AS ({_XY}) SELECT CAST(floor(x / 0.25) AS BIGINT) AS cell_x, CAST(floor(y / 0.25) AS BIGINT) AS cell_y, arg_max(point_id, ((point_id % 1073741824 + 3) * 2654435761) % 4294967296) AS point_id FROM p GROUP BY 1, 2""")
+@query(f"""WITH {_P} SELECT CAST(floor(x / 0.25) AS BIGINT) AS cell_x, CAST(floor(y / 0.25) AS BIGINT) AS cell_y, arg_max(point_id, ((point_id % 1073741824 + 3) * 2654435761) % 4294967296) AS point_id FROM p GROUP BY 1, 2""")
 def random_point_per_cell(spark, d):
-    p = simple_places(spark, d)
+    p = places(spark, d)
     return p.groupBy(raster.cell(F.col("x"), 0.25).alias("cell_x"), raster.cell(F.col("y"), 0.25).alias("cell_y")).agg(F.max_by("point_id", relational.arithmetic_hash(F.col("point_id"), 3)).alias("point_id"))
 
 
-@query(f"""WITH p AS ({_XY}), t AS (SELECT sample_id, lon - 360 * floor(lon / 360) AS x, lat AS y FROM training WHERE lon IS NOT NULL AND lat IS NOT NULL), n AS (
+@query(f"""WITH {_P}, {_T}, n AS (
   SELECT sample_id, point_id, sqrt((t.x - p.x) ** 2 + (t.y - p.y) ** 2) AS distance FROM t JOIN p ON abs(t.x - p.x) <= 0.001 AND abs(t.y - p.y) <= 0.001)
-, b AS (SELECT * FROM n WHERE distance <= 0.001 QUALIFY round(distance, 12) = min(round(distance, 12)) OVER (PARTITION BY sample_id))
-SELECT t.sample_id, b.point_id AS near_point_id FROM t LEFT JOIN b USING (sample_id)""")
+, b AS (SELECT * FROM n WHERE distance <= 0.001 QUALIFY round(distance, 12) = min(round(distance, 12)) OVER (PARTITION BY point_id))
+SELECT p.point_id, b.sample_id AS near_sample_id FROM p LEFT JOIN b USING (point_id)""")
 def nearest_training(spark, d):
-    t = table(spark, d, "training").where("lon is not null and lat is not null").select("sample_id", F.pmod("lon", F.lit(360.0)).alias("x"), F.col("lat").alias("y"))
-    return raster.nearest(t, simple_places(spark, d), 0.001, "point_id").select("sample_id", "near_point_id")
+    return raster.nearest(places(spark, d), training_places(spark, d), 0.001, "sample_id").select("point_id", "near_sample_id")
 
 
 @query("SELECT sample_id, round(coalesce(lon, try_cast(regexp_extract(geometry, '\\(\\s*([-0-9.]+)', 1) AS double)), 6) AS lon, round(coalesce(lat, try_cast(regexp_extract(geometry, '\\(\\s*[-0-9.]+\\s+([-0-9.]+)', 1) AS double)), 6) AS lat FROM training")
@@ -463,9 +458,9 @@ _BX = f"{geometry.SEMI_MAJOR}::double * {_K0!r}::double * radians(x)"
 _BY = f"{geometry.SEMI_MAJOR}::double * ({1 - _E2!r}::double * (sin(radians(y)) / (1 - {_E2!r}::double * sin(radians(y)) ** 2) - ln((1 - {_E1!r}::double * sin(radians(y))) / (1 + {_E1!r}::double * sin(radians(y)))) / (2 * {_E1!r}::double))) / (2 * {_K0!r}::double)"
 
 
-@query(f"WITH p AS ({_XY}) SELECT point_id, round({_BX}, 2) AS bx, round({_BY}, 2) AS by, round(x, 6) AS lon, round(y, 6) AS lat FROM p")
+@query(f"WITH {_P} SELECT point_id, round({_BX}, 2) AS bx, round({_BY}, 2) AS by, round(x, 6) AS lon, round(y, 6) AS lat FROM p")
 def behrmann_xy(spark, d):
-    p = simple_places(spark, d).select("*", geometry.behrmann_x(F.col("x")).alias("bx"), geometry.behrmann_y(F.col("y")).alias("by"))
+    p = places(spark, d).select("*", geometry.behrmann_x(F.col("x")).alias("bx"), geometry.behrmann_y(F.col("y")).alias("by"))
     return p.select("point_id", F.round("bx", 2).alias("bx"), F.round("by", 2).alias("by"), F.round(geometry.behrmann_lon(F.col("bx")), 6).alias("lon"), F.round(geometry.behrmann_lat(F.col("by")), 6).alias("lat"))
 
 

@@ -30,11 +30,18 @@ def build(app: str = "terravane", master: str | None = None, **conf: str) -> Spa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the cluster names, else (tests) a temporary one."""
+    """The folder for checkpoints: the one that spark.checkpoint.dir names.
+
+    Where that is unset, a session in one process (master local, as in tests) gets a folder of its own; on a cluster it is
+    an error, as executors share no local folder."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="terravane-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="terravane-checkpoint-")
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 

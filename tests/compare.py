@@ -5,52 +5,55 @@ import time
 from pathlib import Path
 
 import duckdb
-import pandas as pd
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
-def oracle(sf_dir: str, sql: str) -> pd.DataFrame:
+def oracle(sf_dir: str, sql: str) -> tuple[list[str], list[tuple]]:
     con = duckdb.connect()
     for p in Path(sf_dir).glob("*.parquet"):
         files = f"{p}/*.parquet" if p.is_dir() else str(p)
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{files}')")
-    return con.execute(sql).df()
+    found = con.execute(sql)
+    return [c[0] for c in found.description], found.fetchall()
 
 
-def rows(df: pd.DataFrame) -> list[tuple]:
-    """Sorted rows with columns in order of their names; numbers to 6 places, dates as text."""
-    df = df[sorted(df.columns)]
+def plain(v) -> str:
+    """Numbers to 6 places, dates as text; null and NaN are told apart."""
+    if v is None:
+        return "null"
+    if isinstance(v, (bool, str)):
+        return str(v)
+    if hasattr(v, "isoformat"):
+        return v.isoformat()[:19].replace("T00:00:00", "")
+    try:
+        return f"{float(v):.6f}".replace("-0.000000", "0.000000")
+    except (TypeError, ValueError):
+        return str([plain(x) for x in v]) if hasattr(v, "__len__") else str(v)
 
-    def plain(v):
-        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
-            return "null"
-        if isinstance(v, bool):
-            return str(v)
-        if hasattr(v, "isoformat"):
-            return v.isoformat()[:19].replace("T00:00:00", "")
-        try:
-            return f"{float(v):.6f}".replace("-0.000000", "0.000000")
-        except (TypeError, ValueError):
-            return str(list(v)) if hasattr(v, "__len__") and not isinstance(v, str) else str(v)
 
-    return sorted(tuple(plain(v) for v in r) for r in df.itertuples(index=False))
+def rows(names: list[str], found: list[tuple]) -> list[tuple]:
+    """Sorted rows with columns in order of their names."""
+    order = sorted(range(len(names)), key=lambda k: names[k])
+    return sorted(tuple(plain(r[k]) for k in order) for r in found)
 
 
 def compare(name: str, query, sql: str | None, spark, sf_dir: str) -> str:
     t = time.time()
-    mine = query(spark, sf_dir).toPandas()
+    df = query(spark, sf_dir)
+    mine = df.collect()
     took = time.time() - t
     if sql is None:
         return f"rows {len(mine)} {took:.1f}s"
-    theirs = oracle(sf_dir, sql)
-    if sorted(mine.columns) != sorted(theirs.columns):
-        return f"COLUMNS {sorted(mine.columns)} {sorted(theirs.columns)}"
-    a, b = rows(mine), rows(theirs)
+    names, theirs = oracle(sf_dir, sql)
+    if sorted(df.columns) != sorted(names):
+        return f"COLUMNS {sorted(df.columns)} {sorted(names)}"
+    a, b = rows(df.columns, mine), rows(names, theirs)
     if a == b:
         return f"match {len(a)} {took:.1f}s"
-    only = [x for x in a if x not in set(b)][:3], [x for x in b if x not in set(a)][:3]
-    return f"DIFFER {len(a)} {len(b)} {only}"
+    in_a, in_b = set(a), set(b)
+    only = [x for x in a if x not in in_b], [x for x in b if x not in in_a]
+    return f"DIFFER {len(a)} {len(b)} {len(only[0])} {len(only[1])} {only[0][:3]} {only[1][:3]}"
 
 
 if __name__ == "__main__":
