@@ -55,8 +55,15 @@ def p8_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.summary(p8_containers(spark, d))
 
 
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Copies and paraphrases, with what decided."""
+    found = leakage.leaks(spread_table(spark, d, "documents", "doc_id"), table(spark, d, "eval_items"))
+    return found.select("doc_id", "item_id", *[F.round(c, 4).alias(c) for c in ("held", "covered", "tail_held")], "kind")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(spread_table(spark, d, "documents", "doc_id"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    """The copies: documents that hold at least half of an item's words."""
+    return p9_leaks(spark, d).where("kind = 'copy'").select("doc_id", "item_id")
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -68,5 +75,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return language.label_faults(p10_segments(spark, d)).select("doc_id", F.col("language").alias("found_lang"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_segments": p10_segments, "p8_containers": p8_containers, "p8_summary": p8_summary, "p9_found": p9_found, "p2_found": p2_found, "p2_order": p2_order, "p3_found": p3_found, "p3_typical": p3_typical, "p4_subset": p4_subset}
+QUERIES = {"p10_found": p10_found, "p10_segments": p10_segments, "p8_containers": p8_containers, "p8_summary": p8_summary, "p9_found": p9_found, "p9_leaks": p9_leaks, "p2_found": p2_found, "p2_order": p2_order, "p3_found": p3_found, "p3_typical": p3_typical, "p4_subset": p4_subset}
 ORACLE: dict[str, str] = {}
