@@ -9,21 +9,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravane.session import share
+from terravane.session import cut_lineage, share
 
 EARTH_RADIUS_M = 6_371_008.8
-#: Locations in one cell, about; locations fetched to place the splits, at most.
-CELL_ROWS = 20_000
+#: Spots in one cell, about; spots fetched to place the splits, at most.
+CELL_ROWS = 10_000
 SAMPLE_ROWS = 40_000
 LEAF_ROWS = 48
 #: Polygon edges that are sent to all tasks, at most; beyond that edges are joined on slabs of longitude.
 BROADCAST_EDGES = 500_000
+#: Beyond that, edges in a slab and points in one of its groups, about.
+SLAB_EDGES, SLAB_POINTS = 20_000, 500_000
+#: Points of a crowded spot that one task puts together with others.
+SPOT_BLOCK = 1_000
 
 _NUMBER = r"([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)"
 _POINT = r"(?i)point[^-+0-9.]*" + _NUMBER + r"\s+" + _NUMBER
@@ -57,9 +62,10 @@ def point_locations(points: DataFrame) -> DataFrame:
     return p.select("point_id", F.col("at.lon").alias("lon"), F.col("at.lat").alias("lat"))
 
 
-def unit_vectors(places: DataFrame) -> DataFrame:
+def unit_vectors(places: DataFrame, *keep: str) -> DataFrame:
+    """``point_id``, the columns to keep, and ``ux, uy, uz``."""
     lon, lat = F.radians("lon"), F.radians("lat")
-    return places.select("point_id", (F.cos(lat) * F.cos(lon)).alias("ux"), (F.cos(lat) * F.sin(lon)).alias("uy"), F.sin(lat).alias("uz"))
+    return places.select("point_id", *keep, (F.cos(lat) * F.cos(lon)).alias("ux"), (F.cos(lat) * F.sin(lon)).alias("uy"), F.sin(lat).alias("uz"))
 
 
 def fit_splits(sample: np.ndarray, cells: int) -> list[tuple[int, float]]:
@@ -136,45 +142,62 @@ def local_pairs(xyz: np.ndarray, chord: float, leaf_rows: int = LEAF_ROWS) -> It
         yield mine[i[keep]], others[j[keep]]
 
 
-def pairs_within(places: DataFrame, metres: float, radius_m: float = EARTH_RADIUS_M, cell_rows: int = CELL_ROWS) -> DataFrame:
+def pairs_within(places: DataFrame, metres: float, radius_m: float = EARTH_RADIUS_M, cell_rows: int = CELL_ROWS, block: int = SPOT_BLOCK) -> DataFrame:
     """``point_id_a, point_id_b``: pairs of different points at most ``metres`` apart on the sphere, smaller id first.
 
-    ``places`` has one row per point (``point_id, lon, lat``). Each pair comes once, from the cell in which the point
-    of smaller id is at home. Points at one place are pairs like any others. The splits rest on at most SAMPLE_ROWS
-    locations of least hash; the cells themselves hold every location.
+    ``places`` has one row per point (``point_id, lon, lat``) and is read once. Points at one place are one spot here;
+    pairs of spots come once, from the cell in which the spot of smaller id is at home. The pairs of points that stand for
+    a pair of spots, or for one spot, are put together from blocks of at most about ``block`` points, so that no task
+    meets all points of a crowded spot. The splits rest on at most SAMPLE_ROWS spots of least hash; the cells themselves
+    hold every spot.
     """
     spark = places.sparkSession
-    vectors = unit_vectors(places)
+    at = ["ux", "uy", "uz"]
+    vectors = cut_lineage(unit_vectors(places))
+    spots = cut_lineage(vectors.groupBy(*at).agg(F.min("point_id").alias("spot"), F.count("*").alias("m")))
     chord = 2 * math.sin(min(math.pi, metres / radius_m) / 2) * (1 + 1e-12)
-    count = vectors.count()
-    cells = math.ceil(count / cell_rows)
+    size = spots.agg(F.count("*"), F.max("m")).first()
+    cells = math.ceil(size[0] / cell_rows)
+    nodes = [(-1, 0.0), (-1, 0.0)]
     if cells > 1:
-        picked = vectors.orderBy(F.xxhash64("point_id"), "point_id").limit(SAMPLE_ROWS).select("ux", "uy", "uz").toPandas()
+        picked = spots.orderBy(F.xxhash64("spot"), "spot").limit(SAMPLE_ROWS).select(*at).toPandas()
         nodes = fit_splits(picked.to_numpy(float), cells)
-    else:
-        nodes = [(-1, 0.0), (-1, 0.0)]
     shared = share(spark, nodes)  # at most twice as many entries as cells
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            xyz = b[["ux", "uy", "uz"]].to_numpy(float)
-            row, cell, home = route(xyz, shared(), chord * 1.000001)
+            row, cell, home = route(b[at].to_numpy(float), shared(), chord * 1.000001)
             out = b.iloc[row].reset_index(drop=True)
             out["cell"], out["home"] = cell, home
             yield out
 
-    def meet(b: pd.DataFrame) -> pd.DataFrame:
-        ids, home = b["point_id"].to_numpy(), b["home"].to_numpy()
-        found = list(local_pairs(b[["ux", "uy", "uz"]].to_numpy(float), chord))
-        i = np.concatenate([x for x, _ in found]) if found else np.empty(0, int)
-        j = np.concatenate([y for _, y in found]) if found else np.empty(0, int)
-        first = np.where(ids[i] < ids[j], i, j)
-        keep = home[first]
-        a, b2 = ids[i[keep]], ids[j[keep]]
-        return pd.DataFrame({"point_id_a": np.minimum(a, b2), "point_id_b": np.maximum(a, b2)})
-
-    spreaded = vectors.mapInPandas(spread, "point_id long, ux double, uy double, uz double, cell long, home boolean")
-    return spreaded.groupBy("cell").applyInPandas(meet, "point_id_a long, point_id_b long")
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b = pd.concat(list(batches))
+        ids, home, m = b["spot"].to_numpy(), b["home"].to_numpy(), b["m"].to_numpy()
+        for i, j in local_pairs(b[at].to_numpy(float), chord):
+            turn = ids[i] > ids[j]
+            i, j = np.where(turn, j, i), np.where(turn, i, j)
+            keep = home[i]
+            i, j = i[keep], j[keep]
+            yield pd.DataFrame({"a": ids[i], "b": ids[j], "ma": m[i], "mb": m[j]})
+
+    met = spots.mapInPandas(spread, "ux double, uy double, uz double, spot long, m long, cell long, home boolean")
+    pairs = met.groupBy("cell").applyInPandas(meet, "a long, b long, ma long, mb long")
+    single = lambda p: p.select(F.col("a").alias("point_id_a"), F.col("b").alias("point_id_b"))
+    if (size[1] or 0) <= 1:
+        return single(pairs)
+    pairs = cut_lineage(pairs)
+    crowded = spots.where("m > 1")
+    # members of crowded spots by block; a spot alone is a block of its own
+    members = vectors.join(crowded, at).select("spot", F.pmod(F.xxhash64("point_id"), F.ceil(F.col("m") / block)).alias("k"), "point_id")
+    members = members.unionByName(spots.where("m = 1").select("spot", F.lit(0).cast("long").alias("k"), F.col("spot").alias("point_id")))
+    blocks = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(m) / block) - 1))
+    several = pairs.where("ma > 1 or mb > 1").unionByName(crowded.select(F.col("spot").alias("a"), F.col("spot").alias("b"), F.col("m").alias("ma"), F.col("m").alias("mb")))
+    several = several.withColumn("ka", blocks("ma")).withColumn("kb", blocks("mb")).where("a <> b or ka <= kb")
+    first, second = (members.select(F.col("spot").alias(x), F.col("k").alias(f"k{x}"), F.col("point_id").alias(f"p{x}")) for x in "ab")
+    grown = several.join(first, ["a", "ka"]).join(second, ["b", "kb"]).where("pa <> pb and (a <> b or ka < kb or pa < pb)")
+    grown = grown.select(F.least("pa", "pb").alias("point_id_a"), F.greatest("pa", "pb").alias("point_id_b"))
+    return single(pairs.where("ma = 1 and mb = 1")).unionByName(grown)
 
 
 def polygon_edges(aoi: DataFrame) -> DataFrame:
@@ -185,42 +208,78 @@ def polygon_edges(aoi: DataFrame) -> DataFrame:
     return e.where("x1 <> x2")
 
 
-def sweep(x: np.ndarray, y: np.ndarray, edges: pd.DataFrame) -> np.ndarray:
-    """For each point the polygon that contains it, -1 for none: the sweep goes along x, and each edge turns over the
-    points below it in its half-open stretch of x."""
-    order = np.argsort(x, kind="stable")
-    xs, ys = x[order], y[order]
-    lo, hi = np.minimum(edges.x1, edges.x2).to_numpy(), np.maximum(edges.x1, edges.x2).to_numpy()
-    start, stop = np.searchsorted(xs, lo, "left"), np.searchsorted(xs, hi, "left")
-    found = np.full(len(xs), -1, dtype=np.int64)
-    slope = ((edges.y2 - edges.y1) / (edges.x2 - edges.x1)).to_numpy()
-    x1, y1, poly = edges.x1.to_numpy(), edges.y1.to_numpy(), edges.poly_id.to_numpy()
-    for p in np.unique(poly[stop > start]):
-        odd = np.zeros(len(xs), bool)
-        for k in np.nonzero((poly == p) & (stop > start))[0]:
-            s = slice(start[k], stop[k])
-            odd[s] ^= ys[s] < y1[k] + slope[k] * (xs[s] - x1[k])
-        found[odd & (found < 0)] = p
-    out = np.empty_like(found)
-    out[order] = found
-    return out
-
-
-def containing_region(places: DataFrame, aoi: DataFrame, broadcast_edges: int = BROADCAST_EDGES, slab: float = 0.25) -> DataFrame:
+@dataclass
+class Columns:
+    """The edges of polygons by columns of x: what a sweep along x has open in each column."""
+
+    west: float
+    width: float
+    first: np.ndarray  # first entry of each column in ``edge``, and the end
+    edge: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    x1: np.ndarray
+    y1: np.ndarray
+    slope: np.ndarray
+    poly: np.ndarray  # number of the edge's polygon in ``ids``
+    ids: np.ndarray
+
+
+def edge_columns(edges: pd.DataFrame) -> Columns:
+    """About as many columns as a quarter of the edges, so that few edges are open in one."""
+    x1, y1, x2, y2 = (edges[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2"))
+    lo, hi = np.minimum(x1, x2), np.maximum(x1, x2)
+    ids, poly = np.unique(edges["poly_id"].to_numpy(), return_inverse=True)
+    west, count = (lo.min(), max(1, len(edges) // 4)) if len(edges) else (0.0, 1)
+    width = max((hi.max() - west) / count if len(edges) else 1.0, 1e-12)
+    a, b = ((np.clip((v - west) // width, 0, count - 1)).astype(int) for v in (lo, hi))
+    span = b - a + 1
+    edge = np.repeat(np.arange(len(edges)), span)
+    column = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span) + np.repeat(a, span)
+    order = np.argsort(column, kind="stable")
+    return Columns(west, width, np.searchsorted(column[order], np.arange(count + 1)), edge[order], lo, hi, x1, y1, (y2 - y1) / (x2 - x1), poly, ids)
+
+
+def sweep(x: np.ndarray, y: np.ndarray, c: Columns, most: int = 2_000_000) -> np.ndarray:
+    """For each point the smallest polygon that contains it, -1 for none: the points of a column meet the edges that are
+    open there, each half-open in x, and a point is inside where it lies below an odd number of a polygon's edges. About
+    ``most`` pairs are held at once."""
+    found = np.full(len(x), -1, np.int64)
+    column = np.floor((x - c.west) / c.width)
+    ok = np.nonzero((column >= 0) & (column < len(c.first)))[0]
+    if not len(ok) or not len(c.edge):
+        return found
+    column = np.minimum(column[ok].astype(int), len(c.first) - 2)
+    count = c.first[column + 1] - c.first[column]
+    part = np.cumsum(count) // most
+    for k in np.unique(part):
+        at, n, col = ok[part == k], count[part == k], column[part == k]
+        row = np.repeat(np.arange(len(at)), n)
+        e = c.edge[np.repeat(c.first[col], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        px, py = x[at][row], y[at][row]
+        under = (px >= c.lo[e]) & (px < c.hi[e]) & (py < c.y1[e] + c.slope[e] * (px - c.x1[e]))
+        key, times = np.unique(row[under] * len(c.ids) + c.poly[e[under]], return_counts=True)
+        key = key[times % 2 == 1][::-1]  # the smallest polygon is written last
+        found[at[key // len(c.ids)]] = c.ids[key % len(c.ids)]
+    return found
+
+
+def containing_region(places: DataFrame, aoi: DataFrame, broadcast_edges: int = BROADCAST_EDGES, slab_edges: int = SLAB_EDGES, slab_points: int = SLAB_POINTS) -> DataFrame:
     """``point_id, poly_id`` for each point that a polygon contains; a point in a hole or a gap has no row.
 
     Polygons are closed rings by (poly_id, ring, i); longitudes on either side are taken modulo 360 from the polygons'
     own western end. Of polygons that overlap the smallest id counts. Up to ``broadcast_edges`` edges are sent to every
-    task, which sweeps its batch; more are joined on slabs of longitude and counted there.
+    task, which sweeps its batch. More are cut into slabs of longitude of some ``slab_edges`` edges; the points of a slab are
+    salted into groups of some ``slab_points``, each of which gets the slab's edges and is swept in the same way.
     """
-    west = aoi.agg(F.min("x")).first()[0]
+    west, east = aoi.agg(F.min("x"), F.max("x")).first()
     if west is None:
         return places.select("point_id", F.lit(None).cast("int").alias("poly_id")).where("false")
     p = places.select("point_id", (F.pmod(F.col("lon") - west, F.lit(360.0)) + west).alias("px"), F.col("lat").alias("py"))
     edges = polygon_edges(aoi)
     few = edges.limit(broadcast_edges + 1).toPandas()
     if len(few) <= broadcast_edges:
-        shared = share(places.sparkSession, few.sort_values(["poly_id", "x1"]))
+        shared = share(places.sparkSession, edge_columns(few))
 
         def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -228,9 +287,17 @@ def containing_region(places: DataFrame, aoi: DataFrame, broadcast_edges: int =
                 yield pd.DataFrame({"point_id": b["point_id"], "poly_id": found})[found >= 0]
 
         return p.mapInPandas(locate, "point_id long, poly_id int")
-    lo, hi = F.least("x1", "x2"), F.greatest("x1", "x2")
-    e = edges.select("*", lo.alias("lo"), hi.alias("hi")).withColumn("slab", F.explode(F.sequence(F.floor(F.col("lo") / slab), F.floor(F.col("hi") / slab))))
-    j = p.withColumn("slab", F.floor(F.col("px") / slab)).join(e, "slab").where("px >= lo and px < hi")
-    j = j.where("py < y1 + (y2 - y1) / (x2 - x1) * (px - x1)")
-    odd = j.groupBy("point_id", "poly_id").count().where("count % 2 = 1")
-    return odd.groupBy("point_id").agg(F.min("poly_id").alias("poly_id"))
+    edges, p = cut_lineage(edges), cut_lineage(p.where(F.col("px") <= east))
+    slab = (east - west) / max(1, edges.count() // slab_edges) + 1e-9
+    of = lambda c: F.floor((F.col(c) - west) / slab)
+    p = p.withColumn("slab", of("px"))
+    salts = F.broadcast(p.groupBy("slab").agg(F.ceil(F.count("*") / slab_points).alias("salts")))  # one row a slab
+    p = p.join(salts, "slab").withColumn("salt", F.pmod(F.xxhash64("point_id"), F.col("salts"))).drop("salts")
+    e = edges.withColumns({"lo": F.least("x1", "x2"), "hi": F.greatest("x1", "x2")}).withColumn("slab", F.explode(F.sequence(of("lo"), of("hi"))))
+    e = e.join(salts, "slab").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+
+    def meet(b: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        found = sweep(b["px"].to_numpy(float), b["py"].to_numpy(float), edge_columns(own))
+        return pd.DataFrame({"point_id": b["point_id"], "poly_id": found})[found >= 0]
+
+    return p.groupBy("slab", "salt").cogroup(e.groupBy("slab", "salt")).applyInPandas(meet, "point_id long, poly_id int")

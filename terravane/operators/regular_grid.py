@@ -3,7 +3,8 @@
 Every source's time line is cut into shards of ``shard_months`` months. One shuffle brings the readings,
 already summed on the map side, to (source, shard); a shard then knows its first and last reading, and a prefix
 scan over the shards' summaries hands each one the last reading before it. After that the shards are filled
-independently of each other, so a source of any length is never one task's work.
+independently of each other. The scan sees one row per source and year, however many readings there are; the readings
+of a source, however many, are summed on the map side and by shard.
 """
 
 from __future__ import annotations
@@ -78,12 +79,3 @@ def monthly_grid(readings: DataFrame, shard_months: int = SHARD_MONTHS) -> DataF
         F.when(seen, F.col("l.n")).otherwise(F.lit(0)).alias("n_readings"),
         F.when(seen, F.lit("observed")).otherwise(F.lit("filled")).alias("status"),
     )
-
-
-def gap_months(readings: DataFrame, shard_months: int = SHARD_MONTHS) -> DataFrame:
-    """``source, month`` of the months that ``monthly_grid`` fills, without computing their values."""
-    s = shard_summaries(readings, shard_months)
-    own = F.transform("own", lambda x: x["m"])
-    first = F.coalesce(F.col("before.m") + 1, F.element_at("own", 1)["m"])
-    m = F.explode(F.array_except(F.sequence(first, F.element_at("own", -1)["m"]), own))
-    return s.select("source", m.alias("m")).select("source", month_text(F.col("m")).alias("month"))

@@ -2,11 +2,19 @@
 
 Per series and band, over the readings in order of their dates: a seasonal wave is fitted to the first differences by
 reweighted least squares, so that shifts and spikes, single large differences, don't bend it. What is left follows a
-robust first-order autoregression around a local level. A reading is an additive outlier if it lies outside the
-interval of the levels before and after it by ``critical`` noise scales; where only the two levels differ, it is a
-level shift, which lasts and is kept. Outliers are set aside and the tests run again until none is found. Stuck runs
-and values outside the physical range are found separately. Rows are handled a few thousand at a time in numpy; no
-shuffle is needed, since a series is one row.
+robust first-order autoregression around a local level. Two effects are tested at each reading:
+
+* level shift: the levels of the readings before and after it, in units of the long-run deviation of the difference of two
+  such levels. Where it is significant, the level changes there and the reading is measured from the nearer of the two;
+  elsewhere from both together.
+* additive outlier: the reading's distance from that level less what the autoregression expects of it from the reading
+  before and the one after, (phi / (1 + phi^2)) times the sum of their residuals, in units of its own deviation,
+  sigma / sqrt(1 + phi^2). Its distance from the nearer level must be as large in units of sigma, and what lies between the
+  readings on both sides is no outlier: on a steep stretch of a season that is no sine the wave is off, not the reading.
+
+An additive outlier beyond ``critical`` that is the largest around is set aside, and the wave, the autoregression and both
+tests are made again until none is found. A shift lasts and is kept. Stuck runs and values outside the physical range are
+found separately. Rows are handled a few hundred at a time in numpy; no shuffle is needed, since a series is one row.
 """
 
 from __future__ import annotations
@@ -24,6 +32,8 @@ BANDS = ("green", "red", "nir", "swir1", "swir2", "ndfi")
 RANGES = {b: (0.0, 1.0) for b in BANDS} | {"ndfi": (-1.0, 1.0)}
 MASKED = -9999.0
 CRITICAL = 6.0
+#: Deviations from which the levels on both sides of a reading count as two.
+SHIFT = 1.0
 STUCK_RUN = 5
 SIDE = 5
 LEAST = 10
@@ -66,42 +76,62 @@ def deseasonalise(t: np.ndarray, y: np.ndarray, rounds: int = 5) -> np.ndarray:
     return y - a * s - b * c
 
 
-def outliers(t: np.ndarray, y: np.ndarray, critical: float = CRITICAL, side: int = SIDE, rounds: int = 40) -> np.ndarray:
-    """True for the additive outliers of left-justified rows (NaN to the right of a row's readings)."""
-    found = np.zeros(y.shape, bool)
+def outliers(t: np.ndarray, y: np.ndarray, critical: float = CRITICAL, side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
+    """True for the additive outliers of left-justified rows (NaN to the right of a row's readings), and the deviation of
+    each row's innovations (NaN for rows of fewer than LEAST readings, which are not judged).
+
+    A round sets aside a reading in every row that goes on, so the rounds end."""
+    found, sigma = np.zeros(y.shape, bool), np.full(len(y), np.nan)
     todo = np.nonzero((~np.isnan(y)).sum(1) >= LEAST)[0]
     with warnings.catch_warnings():
         warnings.simplefilter("ignore", RuntimeWarning)
-        for _ in range(rounds):
-            if not len(todo):
-                break
+        while len(todo):
             yy = np.where(found[todo], np.nan, y[todo])
             order = np.argsort(np.isnan(yy), axis=1, kind="stable")
             tt, yy = np.take_along_axis(t[todo], order, 1), np.take_along_axis(yy, order, 1)
             n = (~np.isnan(yy)).sum(1)
             z = deseasonalise(tt, yy)
-            before, after = _side_medians(z, n, side)
-            # the first and the last reading have one side only; there the neighbour tells whether the change lasts
-            before[:, :1] = np.where(np.isnan(before[:, :1]), z[:, 1:2], before[:, :1])
-            last = (np.arange(len(z)), np.maximum(n - 1, 0))
-            after[last] = z[last[0], np.maximum(n - 2, 0)]
-            lo, hi = np.fmin(before, after), np.fmax(before, after)
-            beyond = z - np.clip(z, lo, hi)
-            middle = (before + after) / 2
-            rough = 1.4826 * np.nanmedian(np.abs(z - middle), axis=1, keepdims=True)
-            nearer = np.where(np.abs(z - before) < np.abs(z - after), before, after)
-            e = z - np.where(np.abs(before - after) > 3 * rough, nearer, middle)
-            phi = _autoregression(e)
-            noise = e[:, 1:] - phi[:, None] * e[:, :-1]
-            scale = 1.4826 * np.nanmedian(np.abs(noise), axis=1)
-            local = _local_scale(e)
-            scale = np.fmax(np.fmax(scale[:, None], local), 1e-4)
-            score = np.where(np.isnan(beyond), 0, np.abs(beyond) / scale)
+            score, sigma[todo] = additive_outliers(z, yy, n, side)
             hit = (score > critical) & (score == _neighbourhood_max(score, side))
             rows, cols = np.nonzero(hit)
             found[todo[rows], order[rows, cols]] = True
-            todo = todo[hit.any(1)]
-    return found
+            todo = todo[hit.any(1) & (n - hit.sum(1) >= LEAST)]
+    return found, sigma
+
+
+def additive_outliers(z: np.ndarray, y: np.ndarray, n: np.ndarray, side: int, shift: float = SHIFT) -> tuple[np.ndarray, np.ndarray]:
+    """The statistic of an additive outlier at each of the first n entries of rows, and the rows' sigma. y are the readings, z
+    the same without the season."""
+    rows, width = z.shape
+    before, after = _side_medians(z, n, side)
+    # the first and the last reading have one side only; there the neighbour tells whether the change lasts
+    before[:, :1] = np.where(np.isnan(before[:, :1]), z[:, 1:2], before[:, :1])
+    last = (np.arange(rows), np.maximum(n - 1, 0))
+    after[last] = z[last[0], np.maximum(n - 2, 0)]
+    place = np.arange(width)[None, :]
+    nb, na = np.clip(place, 1, side), np.clip(n[:, None] - 1 - place, 1, side)
+    middle = (before + after) / 2
+    rough = 1.4826 * np.nanmedian(np.abs(z - middle), axis=1, keepdims=True)
+    nearer = np.where(np.abs(z - before) < np.abs(z - after), before, after)
+    e = z - np.where(np.abs(before - after) > 3 * rough, nearer, middle)
+    phi = _autoregression(e)[:, None]
+    sigma = 1.4826 * np.nanmedian(np.abs(e[:, 1:] - phi * e[:, :-1]), axis=1)
+    scale = np.fmax(np.fmax(sigma[:, None], _local_scale(e)), 1e-4)
+    # medians vary 1.2533 times as much as means
+    step = np.abs(after - before) / (1.2533 * scale / (1 - phi) * np.sqrt(1 / nb + 1 / na))
+    apart = z - np.clip(z, np.fmin(before, after), np.fmax(before, after))
+    residual = np.where(step > shift, apart, z - (nb * before + na * after) / (nb + na))
+    near = np.clip(np.nan_to_num(e), -2 * scale, 2 * scale)
+    sides = np.zeros_like(near)
+    sides[:, 1:] += near[:, :-1]
+    sides[:, :-1] += near[:, 1:]
+    effect = residual - phi / (1 + phi * phi) * sides
+    score = np.fmin(np.abs(effect) * np.sqrt(1 + phi * phi), np.abs(apart)) / scale
+    beside = np.full((4, rows, width), np.nan)
+    for k, o in enumerate((-2, -1, 1, 2)):
+        beside[k, :, max(0, -o) : width - max(0, o)] = y[:, max(0, o) : width + min(0, o)]
+    between = (y > np.nanmin(beside, axis=0)) & (y < np.nanmax(beside, axis=0))
+    return np.where(np.isnan(score) | between, 0, score), np.fmax(sigma, 1e-4)
 
 
 def _neighbourhood_max(score: np.ndarray, side: int) -> np.ndarray:
@@ -148,7 +178,8 @@ def judge(dates: np.ndarray, values: np.ndarray, low: np.ndarray, high: np.ndarr
     """0 nothing, 1 impossible, 2 stuck, 3 spike, for each entry of ``values`` (rows x positions, NaN = absent).
 
     ``dates`` are days, NaN where none is known. A reading without a date takes the place it has in the stored order
-    if the row's other dates are in order there, and else is judged for range and runs only.
+    if the row's other dates are in order there; else no place is known, and it is a spike if it lies outside the range of
+    the row's dated and plausible readings by ``critical`` deviations.
     """
     verdict = np.zeros(values.shape, np.int8)
     there = ~np.isnan(values)
@@ -174,8 +205,16 @@ def judge(dates: np.ndarray, values: np.ndarray, low: np.ndarray, high: np.ndarr
         r, c = np.nonzero(stuck_runs(v, stuck))
         verdict[r, order[r, c]] = 2
     order, t, v = packed(dated & (verdict == 0), True)
-    r, c = np.nonzero(outliers(t, v, critical))
+    found, sigma = outliers(t, v, critical)
+    r, c = np.nonzero(found)
     verdict[r, order[r, c]] = 3
+    loose = usable & ~dated & (verdict == 0)
+    rows = np.nonzero(loose.any(1) & ~np.isnan(sigma))[0]
+    if len(rows):
+        kept = np.where(dated[rows] & (verdict[rows] == 0), values[rows], np.nan)
+        beyond = values[rows] - np.clip(values[rows], np.nanmin(kept, axis=1)[:, None], np.nanmax(kept, axis=1)[:, None])
+        r, c = np.nonzero(loose[rows] & (np.abs(np.nan_to_num(beyond)) > critical * sigma[rows, None]))
+        verdict[rows[r], c] = 3
     return verdict
 
 

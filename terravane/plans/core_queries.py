@@ -20,6 +20,13 @@ def _sets(*columns: str) -> list[tuple[str, ...]]:
     return [c for n in (1, 2, 3) for c in combinations(columns, n)]
 
 
+#: The candidates of a dependency and the groups of the fallback, narrowest first, by table.
+FILLING = {
+    "products": ([("point_id",), *_sets("chunk_id", "pathrow", "esa_lc21", "tmf_main")], [("chunk_id", "esa_lc21"), ("pathrow", "esa_lc21"), ("esa_lc21",), ("chunk_id",)]),
+    "features": ([("point_id",), *_sets("chunk_id", "pathrow")], [("chunk_id",), ("pathrow",)]),
+}
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """The cells of p1_filled whose value is not measured, be they filled or not."""
     return p1_filled(spark, d).where(~F.col("value_from").eqNullSafe("measured")).select("row_id", "field_name")
@@ -28,9 +35,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_filled(spark: SparkSession, d: str) -> DataFrame:
     """Each row of products and features with its field filled: one row per row and field."""
     products = measured.measured_products(table(spark, d, "products"), PRODUCT_COLUMNS)
-    products = fill.fill_from_similar(products, PRODUCT_FIELDS, [("point_id",), *_sets("chunk_id", "pathrow", "esa_lc21", "tmf_main")], [("chunk_id", "esa_lc21"), ("pathrow", "esa_lc21"), ("esa_lc21",), ("chunk_id",)])
+    products = fill.fill_from_similar(products, PRODUCT_FIELDS, *FILLING["products"])
     features = measured.measured_features(table(spark, d, "features"), ["row_id", "point_id", "pathrow", "bfast_magnitude"])
-    features = fill.fill_from_similar(features, ["bfast_magnitude"], [("point_id",), *_sets("chunk_id", "pathrow")], [("chunk_id",), ("pathrow",)])
+    features = fill.fill_from_similar(features, ["bfast_magnitude"], *FILLING["features"])
     long = lambda df, name, fields: df.select("row_id", "point_id", F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value"), F.col(f"{f}_filled").alias("filled"), F.col(f"{f}_from").alias("value_from")) for f in fields]))).withColumn("table_name", F.lit(name))
     return long(products, "products", PRODUCT_FIELDS).unionByName(long(features, "features", ["bfast_magnitude"]))
 
@@ -48,8 +55,8 @@ def p6_region(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    gaps = regular_grid.gap_months(regular_grid.nested_readings(table(spark, d, "series"), "ndfi"))
-    return gaps.select(F.col("source").alias("series_id"), F.col("month").alias("gap_month"))
+    """The months of p7_grid that hold no reading and are filled."""
+    return p7_grid(spark, d).where("status = 'filled'").select("series_id", F.col("month").alias("gap_month"))
 
 
 def p7_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -71,10 +78,10 @@ places AS (
 )"""
 _MEASURED_P = """
 mp AS (
-  SELECT row_id, chunk_id, f, CASE WHEN coalesce(esa_lc20, 1) <> 0 AND coalesce(esa_lc21, 1) <> 0 AND NOT contains(CAST(v AS VARCHAR), 'nan') AND v >= 0 AND v <= top THEN v END AS v
-  FROM (SELECT row_id, chunk_id, esa_lc20, esa_lc21, unnest(['gfc_tc00', 'potapov_tree_height', 'dw_tree_prob_mean']) AS f, unnest([gfc_tc00, potapov_tree_height, dw_tree_prob_mean]) AS v, unnest([100, 60, 100]) AS top FROM products)
+  SELECT row_id, point_id, chunk_id, pathrow, esa_lc21, tmf_main, f, CASE WHEN coalesce(esa_lc20, 1) <> 0 AND coalesce(esa_lc21, 1) <> 0 AND NOT contains(CAST(v AS VARCHAR), 'nan') AND v >= 0 AND v <= top THEN v END AS v
+  FROM (SELECT row_id, point_id, chunk_id, pathrow, esa_lc20, esa_lc21, tmf_main, unnest(['gfc_tc00', 'potapov_tree_height', 'dw_tree_prob_mean']) AS f, unnest([gfc_tc00, potapov_tree_height, dw_tree_prob_mean]) AS v, unnest([100, 60, 100]) AS top FROM products)
 ), mf AS (
-  SELECT row_id, chunk_id, 'bfast_magnitude' AS f, CASE WHEN coalesce(bfast_change_date, 0) <> -2 AND NOT contains(CAST(bfast_magnitude AS VARCHAR), 'nan') AND bfast_magnitude BETWEEN -1 AND 1 THEN bfast_magnitude END AS v FROM features
+  SELECT row_id, point_id, chunk_id, pathrow, NULL::int AS esa_lc21, NULL::int AS tmf_main, 'bfast_magnitude' AS f, CASE WHEN coalesce(bfast_change_date, 0) <> -2 AND NOT contains(CAST(bfast_magnitude AS VARCHAR), 'nan') AND bfast_magnitude BETWEEN -1 AND 1 THEN bfast_magnitude END AS v FROM features
 ), m AS (
   SELECT *, count(v) OVER w AS n, min(v) OVER w AS lo, max(v) OVER w AS hi
   FROM (SELECT 'products' AS t, * FROM mp UNION ALL SELECT 'features', * FROM mf) WINDOW w AS (PARTITION BY t, f, chunk_id)
@@ -91,7 +98,40 @@ r AS (
   SELECT series_id, unnest(generate_series(m::bigint, coalesce(m2 - 1, m)::bigint)) AS k, m, v, n, m2, v2 FROM o
 )"""
 
+
+
+def _filled_sql() -> str:
+    """Mining, dictionaries and medians in SQL, over keys written as texts."""
+    key = lambda s: "concat_ws('|', " + ", ".join(s) + ")" if s else "''"
+    there = lambda s: " AND ".join(f"{c} IS NOT NULL" for c in s) or "true"
+    dicts, groups, probes = [], [], []
+    for t, (candidates, fallback) in FILLING.items():
+        for i, s in enumerate(candidates):
+            order = sorted(candidates).index(s)
+            dicts.append(f"SELECT t, f, {i} AS c, {len(s)} AS width, {order} AS o, {key(s)} AS k, count(v) AS n, min(v) AS lo, max(v) AS hi FROM b WHERE t = '{t}' AND {there(s)} GROUP BY ALL")
+            probes.append(f"SELECT row_id, t, f, 'same:{'+'.join(s)}' AS origin, {i} AS c, {key(s)} AS k FROM b WHERE v IS NULL AND t = '{t}' AND {there(s)}")
+        for i, s in enumerate([*fallback, ()]):
+            name = f"group:{'+'.join(s)}" if s else "all"
+            groups.append(f"SELECT t, f, {100 + i} AS c, {key(s)} AS k, round(quantile_cont(round(v / 0.001) * 0.001, 0.5), 6) AS x FROM b WHERE t = '{t}' AND {there(s)} GROUP BY ALL HAVING count(v) >= {fill.GROUP_ROWS if s else 1}")
+            probes.append(f"SELECT row_id, t, f, '{name}' AS origin, {100 + i} AS c, {key(s)} AS k FROM b WHERE v IS NULL AND t = '{t}' AND {there(s)}")
+    union = " UNION ALL ".join
+    return f"""WITH {_MEASURED_P}, b AS (
+  SELECT t, row_id, point_id, chunk_id, pathrow, esa_lc21, tmf_main, f, CASE WHEN chunk_id IS NOT NULL AND n >= 20 AND lo = hi AND hi <> 0 THEN NULL ELSE v END AS v FROM m
+), d AS ({union(dicts)}), dep AS (
+  SELECT t, f, c, row_number() OVER (PARTITION BY t, f ORDER BY ok / total DESC, total DESC, width, o) AS place FROM (
+    SELECT t, f, c, width, o, sum(n) FILTER (WHERE n > 1) AS total, coalesce(sum(n) FILTER (WHERE n > 1 AND hi - lo <= 0), 0) AS ok FROM d GROUP BY ALL
+  ) WHERE total >= {fill.SUPPORT} AND ok >= {fill.CONFIDENCE} * total
+), known AS (
+  SELECT d.t, d.f, d.c, d.k, lo AS x, place FROM d JOIN dep USING (t, f, c) WHERE n > 0 AND hi - lo <= 0
+  UNION ALL SELECT t, f, c, k, x, 1000 + c FROM ({union(groups)})
+), filled AS (
+  SELECT p.t, p.row_id, p.f, arg_min(x, place) AS x, arg_min(origin, place) AS origin FROM ({union(probes)}) p JOIN known USING (t, f, c, k) WHERE x IS NOT NULL GROUP BY ALL
+) SELECT b.row_id, b.point_id, b.f AS field_name, coalesce(b.v, x) AS value, b.v IS NULL AND x IS NOT NULL AS filled, CASE WHEN b.v IS NOT NULL THEN 'measured' ELSE origin END AS value_from, b.t AS table_name
+FROM b LEFT JOIN filled USING (t, row_id, f)"""
+
+
 ORACLE = {
+    "p1_filled": _filled_sql(),
     "p1_found": f"WITH {_MEASURED_P} SELECT row_id, f AS field_name FROM m WHERE v IS NULL OR (chunk_id IS NOT NULL AND n >= 20 AND lo = hi AND hi <> 0)",
     "p6_found": f"""WITH {PLACES}, u AS (
   SELECT point_id, cos(radians(lat)) * cos(radians(lon)) AS ux, cos(radians(lat)) * sin(radians(lon)) AS uy, sin(radians(lat)) AS uz FROM places WHERE lon IS NOT NULL AND lat IS NOT NULL

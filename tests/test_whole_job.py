@@ -77,7 +77,7 @@ def test_importance_is_of_the_reference_size(spark, monkeypatch):
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_found_cells_go_through_mining(spark, monkeypatch):
     real, tried = fill.mine_dependencies, []
-    monkeypatch.setattr(fill, "mine_dependencies", lambda df, fields, candidates, *a: tried.append(set(candidates)) or real(df, fields, candidates, *a))
+    monkeypatch.setattr(fill, "mine_dependencies", lambda known, fields, candidates, *a: tried.append(set(candidates)) or real(known, fields, candidates, *a))
     d = "/root/testdata/sf0.001"
     found = {(r.row_id, r.field_name) for r in core_queries.p1_found(spark, d).collect()}
     assert found and len(tried) == 2 and {("esa_lc21",), ("pathrow", "tmf_main")} <= tried[0] and {("chunk_id",), ("pathrow",)} <= tried[1]
