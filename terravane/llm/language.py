@@ -23,12 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terravane.session import share
+from terravane.session import cut_lineage, share
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pl", "pt", "ru")
 ORDER = 5
 TRAIN_DOCS = 300
-TRAIN_CHARS = 60
+#: Texts of the sample have between these numbers of characters, which bounds what the driver reads of them.
+TRAIN_CHARS, TRAIN_MOST_CHARS = 60, 20_000
 TRAIN_ROUNDS = 2
 #: Words that a smaller share of a language's sampled texts hold (names, slips, vandalism) are left out of its tree.
 TRAIN_SUPPORT = 0.01
@@ -80,10 +81,9 @@ def prose(text: str) -> str:
         text = _TABLE.sub("\n", text)
         text = _INLINE.sub(r"\1", text)
         text = _PARAMETER.sub("", text)
-        for _ in range(20):
+        n = 1
+        while n:  # from the innermost outwards
             text, n = _TEMPLATE.subn("", text)
-            if not n:
-                break
     if "[" in text:
         text = _LINK.sub(r"\1", _SPECIAL.sub("", text))
     if "//" in text:
@@ -220,12 +220,14 @@ def path(bits: np.ndarray, switch: float = SWITCH_BITS) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, per_language: int = TRAIN_DOCS, least_chars: int = TRAIN_CHARS) -> Trees:
-    """Trees from about ``per_language`` labelled texts of each language, one of a page, those of least hash."""
+def train(docs: DataFrame, per_language: int = TRAIN_DOCS, least_chars: int = TRAIN_CHARS, most_chars: int = TRAIN_MOST_CHARS) -> Trees:
+    """Trees from about ``per_language`` labelled texts of each language of ``least_chars`` to ``most_chars`` characters, one
+    of a page, those of least hash. The pages are found in one scan without the texts, which a second one fetches."""
     code = label_code(F.col("lang"))
     h = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1_000_000))
-    fit = docs.select(code.alias("code"), F.coalesce("page_id", "doc_id").alias("page"), "doc_id", h.alias("h")).where(F.col("code").isin(*LANGUAGES) & (F.col("n_chars") >= least_chars))
+    fit = docs.select(code.alias("code"), F.coalesce("page_id", "doc_id").alias("page"), "doc_id", h.alias("h")).where(F.col("code").isin(*LANGUAGES) & F.col("n_chars").between(least_chars, most_chars))
     pages = fit.groupBy("page").agg(F.min(F.struct("h", "doc_id", "code")).alias("x")).select("x.*")
+    pages = cut_lineage(pages)
     total = {r["code"]: r["count"] for r in pages.groupBy("code").count().collect()}
     # hashes of the pages' first rows crowd near 0, so the share is taken of a second hash
     share = F.element_at(F.create_map(*[x for c, n in (total or {"": 1}).items() for x in (F.lit(c), F.lit(min(1.0, per_language / n)))]), F.col("code"))

@@ -54,6 +54,8 @@ RUN = 3
 PIECE_WORDS = 10
 LONG_WORDS = 24
 ITEM_GAP, DOC_GAP = 6, 20
+#: Up to so many runs, shared phrases are set aside before the chain is sought; the chain is exact for any number.
+PRUNED_RUNS = 3_000
 HELD = 0.5
 #: Items searched for in one pass over the encoded corpus, in characters; more take further passes over the encoded corpus.
 PASS_CHARS = 20_000_000
@@ -98,10 +100,13 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", tex
                 if len(seen) > 1_000_000:
                     seen = dict(v.number)
                 found = words(t)
-                for w in found:
-                    if w not in seen:
-                        seen[w] = v.known + 1 + zlib.crc32(w.encode("utf-8", "replace")) % v.others
-                codes.append(np.array([seen[w] for w in found], v.kind).tobytes())
+                numbers = list(map(seen.get, found))
+                if None in numbers:
+                    for w in found:
+                        if w not in seen:
+                            seen[w] = v.known + 1 + zlib.crc32(w.encode("utf-8", "replace")) % v.others
+                    numbers = [seen[w] for w in found]
+                codes.append(np.array(numbers, v.kind).tobytes())
             yield pd.DataFrame({"doc_id": b["doc_id"], "page": b["page"], "codes": codes})
 
     kind = dict(docs.dtypes)[doc_id]
@@ -193,7 +198,14 @@ def corpus_statistics(codes: DataFrame, v: Vocabulary, rows: int = RANK + SPARE,
 
 def projected(c: np.ndarray, basis: np.ndarray, step: int) -> np.ndarray:
     """The sums of the words' vectors over stretches of ``step`` words."""
-    return np.add.reduceat(basis[c], np.arange(0, len(c), step), axis=0)
+    whole = len(c) // step
+    out = np.empty((-(-len(c) // step), basis.shape[1]), basis.dtype)
+    for a in range(0, whole, 500):  # bounds the memory of a long text
+        b = min(whole, a + 500)
+        np.sum(basis[c[a * step : b * step]].reshape(b - a, step, -1), axis=1, out=out[a:b])
+    if len(out) > whole:
+        out[whole] = basis[c[whole * step :]].sum(0)
+    return out
 
 
 def leading(gram: np.ndarray, rank: int) -> np.ndarray:
@@ -325,7 +337,7 @@ def judged(c: np.ndarray, s: Search, held: float) -> Iterator[tuple]:
     for k in np.nonzero(near | (tail >= ANSWERED))[0].tolist():
         item, runs, got, own = s.items[k], s.runs[k], 0, s.own[k][s.own[k] >= 0]
         if near[k] and len(keys) and len(runs) and may_hold(keys[np.minimum(np.searchsorted(keys, runs), len(keys) - 1)] == runs, s.rare[item], held * len(item)):
-            got = sum(y - x for x, y in pieces(item, c, s.rare))
+            got = sum(y - x for x, y in pieces(item, c, s.rare, held * len(item)))
         copy = got >= held * len(item)
         if not copy and tail[k] < ANSWERED:
             continue
@@ -334,8 +346,9 @@ def judged(c: np.ndarray, s: Search, held: float) -> Iterator[tuple]:
             yield s.ids[k], got / len(item), covered, float(tail[k]), "copy" if copy else "paraphrase"
 
 
-def pieces(item: np.ndarray, doc: np.ndarray, rare: np.ndarray) -> list[tuple[int, int]]:
-    """Stretches [a, b) of the item that the document holds, in order, by chained runs of matching words.
+def pieces(item: np.ndarray, doc: np.ndarray, rare: np.ndarray, least: float = 0.0) -> list[tuple[int, int]]:
+    """Stretches [a, b) of the item that the document holds, in order, by chained runs of matching words; none if they can't
+    span ``least`` words.
 
     Runs are maximal diagonals of at least RUN matching words. The chain is the heaviest sequence of runs that rise in
     both texts; it is cut where more than ITEM_GAP words of the item or DOC_GAP of the document lie between two runs."""
@@ -362,6 +375,19 @@ def pieces(item: np.ndarray, doc: np.ndarray, rare: np.ndarray) -> list[tuple[in
     length = np.diff(np.append(start, len(ii))) + RUN - 1
     runs = sorted(zip(ii[start].tolist(), jj[start].tolist(), length.tolist()), key=lambda r: (r[1], r[0]))
     ri, rq, rl = (np.array(x) for x in zip(*runs))
+    if len(runs) <= PRUNED_RUNS:
+        # a short run that no other one can follow or precede within the gaps is a shared phrase, whatever the chain
+        step_i, step_q = ri[None, :] - (ri + rl)[:, None], rq[None, :] - (rq + rl)[:, None]
+        joined = (step_i <= ITEM_GAP) & (step_q <= DOC_GAP) & (step_i + rl > 0) & (step_q + rl > 0) & (step_i > -rl[:, None]) & (step_q > -rl[:, None])
+        keep = (rl >= PIECE_WORDS) | joined.any(0) | joined.any(1)
+        if not keep.all():
+            ri, rq, rl = ri[keep], rq[keep], rl[keep]
+            runs = [r for r, k in zip(runs, keep) if k]
+        hit = np.zeros(m - RUN + 1, bool)
+        for a, n_ in zip(ri.tolist(), rl.tolist()):
+            hit[a : a + n_ - RUN + 1] = True
+        if not may_hold(hit, rare[item], max(1.0, least)):
+            return []
     best, back = rl.astype(float), np.full(len(runs), -1)
     for k in range(1, len(runs)):
         gap_i, gap_q = ri[k] - ri[:k] - rl[:k], rq[k] - rq[:k] - rl[:k]

@@ -3,8 +3,8 @@
 Texts are counted in parallel; one longer than a container is cut into full containers and a rest. Pieces are spread
 over partitions by a hash of their id, each partition runs best-fit decreasing, and dual feasible functions give a
 lower bound on its containers. A partition that meets its bound is certified and done. The others exchange: their
-containers with unused space are emptied into one pool, which is spread anew and packed again, as long as that saves
-containers. Only ids and sizes are ever shuffled.
+containers with unused space are emptied into one pool, which is spread anew and packed again, for as long as that saves
+containers; a partition that still misses its bound is marked. Only ids and sizes are ever shuffled.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from terravane.session import cut_lineage, share
 
 CAPACITY = 2048
 PARTITION_PIECES = 20_000
-ROUNDS = 4
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -105,10 +104,11 @@ def lower_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, piece, start_token, size, container`` for each piece; no container holds more than ``capacity``.
+def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
+    """``doc_id, piece, start_token, size, container, certified`` for each piece; no container holds more than ``capacity``.
 
-    container is text, 'round-partition-number'. Rows that come twice are packed twice. No pieces give no rows."""
+    container is text, 'round-partition-number'; certified says that the pieces packed with it need no fewer containers.
+    The pieces are counted and written once, and read from there. Rows that come twice are packed twice. No pieces give no rows."""
     kind = dict(items.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start_token int, size int, container string, room int, gap int"
 
@@ -124,27 +124,30 @@ def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PAR
         spread = pool.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(stage)), F.lit(parts)).cast("int"))
         return cut_lineage(spread.groupBy("part").applyInPandas(fill, schema))
 
-    size = items.count()
-    done = packed(items, 0, max(1, math.ceil(size / partition_pieces)))
-    for stage in range(1, rounds):
+    items = cut_lineage(items)
+    done = packed(items, 0, max(1, math.ceil(items.count() / partition_pieces)))
+    stage = 0
+    while True:  # each round saves a container or is the last
+        stage += 1
         loose = done.where("gap > 0 and room > 0")
-        before = loose.select("container").distinct().count()
-        parts = math.ceil(loose.count() / partition_pieces)
-        if before < 2 or done.agg(F.count_distinct(F.when(F.col("gap") > 0, F.split("container", "-")[1]))).first()[0] < 2:
+        before, pieces_, parts = loose.agg(F.count_distinct("container"), F.count("*"), F.count_distinct(F.substring_index("container", "-", 2))).first()
+        if parts < 2:
             break
-        again = packed(loose.select("doc_id", "piece", "start_token", "size"), stage, parts)
+        again = packed(loose.select("doc_id", "piece", "start_token", "size"), stage, math.ceil(pieces_ / partition_pieces))
         if again.select("container").distinct().count() >= before:
             break
         done = cut_lineage(done.where("gap <= 0 or room = 0").unionByName(again))
-    return done.select("doc_id", "piece", "start_token", "size", "container")
+    return done.select("doc_id", "piece", "start_token", "size", "container", (F.col("gap") <= 0).alias("certified"))
 
 
 def summary(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: pieces, tokens, containers, the lower bound that holds for any packing of them, and the filled share.
+    """One row: pieces, tokens, containers, the lower bound that holds for any packing of them, the gap between the two, the
+    containers of partitions that miss their own bound, and the filled share.
 
     The bound needs the pieces' histogram by size only, at most ``capacity`` rows."""
     hist = packed.groupBy("size").count().toPandas()
     bound = lower_bound(hist["size"].to_numpy(np.int64), hist["count"].to_numpy(float), capacity)
-    return packed.agg(F.count("*").alias("pieces"), F.sum("size").alias("tokens"), F.count_distinct("container").alias("containers")).select(
-        "*", F.lit(bound).cast("long").alias("lower_bound"), F.round(F.col("tokens") / (F.col("containers") * capacity), 6).alias("filled")
+    counts = packed.agg(F.count("*").alias("pieces"), F.sum("size").alias("tokens"), F.count_distinct("container").alias("containers"), F.count_distinct(F.when(~F.col("certified"), F.col("container"))).alias("uncertified"))
+    return counts.select(
+        "*", F.lit(bound).cast("long").alias("lower_bound"), (F.col("containers") - bound).alias("gap"), F.round(F.col("tokens") / (F.col("containers") * capacity), 6).alias("filled")
     )

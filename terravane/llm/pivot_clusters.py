@@ -7,8 +7,10 @@ is similar to one of them is absorbed. This is the pivot clustering of the hash
 dissimilar, so their number is bounded by how many balls of the radius the fields' range holds, not by the records.
 
 Then members go to the closest pivot, each cluster's medoid becomes its pivot, pivots that have become similar merge,
-clusters of less than ``least_share`` of the records give their members to the others, and this repeats until no
-medoid changes.
+and this repeats until no medoid changes. What a pivot then stands for is told by where its members lie, whatever their
+number: a group has a core, stray records have none. A pivot is stray if fewer than CORE members lie within half the
+radius or if these are so few against those of the outer half as evenly spread records would be; its members go to the
+closest group and are marked by their distance.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ from terravane.session import cut_lineage
 
 RADIUS = 1.0
 BLOCK = 512
-LEAST_SHARE = 0.001
-ROUNDS = 50
+#: Records spread evenly in four dimensions are 1 in the inner half of the radius to 15 in the outer; from 1 to CONTRAST on
+#: they are a group, and from CORE in the inner half on.
+CORE, CONTRAST = 5, 4
+#: The means of all members move the pivots less from round to round; more rounds than this are an error.
+ROUNDS = 200
 
 
 def standardised(records: DataFrame, item: str, fields: list[str]) -> DataFrame:
@@ -86,33 +91,42 @@ def assigned(points: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
     return points.mapInPandas(assign, f"item {kinds['item']}, {', '.join(f'{z} double' for z in z_)}, cluster int, d2 double")
 
 
-def clusters(points: DataFrame, width: int, radius: float = RADIUS, least_share: float = LEAST_SHARE, rounds: int = ROUNDS) -> DataFrame:
+def merged(stats: pd.DataFrame, z_: list[str], radius: float) -> np.ndarray:
+    """The means of the clusters, largest first, without those similar to a larger one's."""
+    kept: list[np.ndarray] = []
+    for mean in stats.sort_values(["n", "cluster"], ascending=[False, True])[z_].to_numpy(float):
+        if all(((mean - q) ** 2).sum() > radius**2 for q in kept):
+            kept.append(mean)
+    return np.array(kept)
+
+
+def clusters(points: DataFrame, width: int, radius: float = RADIUS, core: int = CORE, contrast: float = CONTRAST) -> DataFrame:
     """``item, z0.., cluster, d2``: each point of ``standardised`` with its cluster and squared distance to the medoid.
 
-    Every point gets a cluster. Points that come twice count twice. No points give no rows."""
+    Every point gets a cluster; where d2 is beyond the squared radius the point is stray. Without any group the largest
+    pivot is the one. Points that come twice count twice. No points give no rows."""
     z_ = [f"z{i}" for i in range(width)]
     points = cut_lineage(points)
     pivots = hash_pivots(points, width, radius)
     if not len(pivots):
         return assigned(points, pivots, width)
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         a = assigned(points, pivots, width)
-        stats = a.groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(z).alias(z) for z in z_]).toPandas().sort_values(["n", "cluster"], ascending=[False, True])
-        total = stats["n"].sum()
-        kept: list[np.ndarray] = []
-        for n, *mean in stats[["n", *z_]].itertuples(index=False):
-            centre = np.array(mean, float)
-            if (n >= least_share * total or not kept) and all(((centre - q) ** 2).sum() > radius**2 for q in kept):
-                kept.append(centre)
+        stats = a.groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(z).alias(z) for z in z_]).toPandas()
         # the member closest to the mean has the least sum of squared distances to all members: the medoid
-        near = assigned(points, np.array(kept), width)
-        medoids = near.groupBy("cluster").agg(F.min_by(F.struct(*z_), F.struct("d2", "item")).alias("z")).orderBy("cluster").collect()
+        near = assigned(points, merged(stats, z_, radius), width)
+        inner, outer = F.count_if(F.col("d2") <= radius**2 / 4), F.count_if(F.col("d2").between(radius**2 / 4, radius**2))
+        medoids = near.groupBy("cluster").agg(F.min_by(F.struct(*z_), F.struct("d2", "item")).alias("z"), F.count("*").alias("n"), inner.alias("inner"), outer.alias("outer")).orderBy("cluster").collect()
         new = np.array([[r["z"][z] for z in z_] for r in medoids])
-        settled = new.shape == pivots.shape and np.allclose(new, pivots)
+        if new.shape == pivots.shape and np.allclose(new, pivots):
+            group = np.array([r["inner"] >= core and r["inner"] * contrast >= r["outer"] for r in medoids])
+            if not group.any():
+                group[int(np.argmax([r["n"] for r in medoids]))] = True
+            if group.all():
+                return assigned(points, new, width)
+            new = new[group]
         pivots = new
-        if settled:
-            break
-    return assigned(points, pivots, width)
+    raise RuntimeError("the medoids did not settle")
 
 
 def numbered(members: DataFrame, tie: str) -> DataFrame:

@@ -16,7 +16,7 @@ LIKENESS = ["ndfi_mean", "bfast_magnitude", "bs_slope_mean", "gfc_tc00"]
 def _strengths(spark: SparkSession, d: str) -> DataFrame:
     f = measured.measured_features(table(spark, d, "features"), ["point_id", *MAGNITUDES])
     items = f.where("point_id is not null").groupBy("point_id").agg(*[F.max(F.abs(m)).alias(m) for m in MAGNITUDES])
-    return rank_walk.strengths(items, MAGNITUDES).select("point_id", "n_scores", "strength")
+    return rank_walk.strengths(items, MAGNITUDES).select("point_id", "n_scores", "strength", "fine_level")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_order(spark: SparkSession, d: str) -> DataFrame:
-    return _strengths(spark, d).orderBy(F.desc("strength"), "point_id")
+    return _strengths(spark, d).orderBy(F.desc("strength"), F.desc("fine_level"), "point_id")
 
 
 def _clusters(spark: SparkSession, d: str) -> DataFrame:

@@ -4,25 +4,27 @@ From an item the walk picks one of the scores that the item has, each alike, and
 at least as high in that score; with probability 1 - damping it jumps to any item. The share of time spent at an item
 is its strength. Only ranks enter, so no scale and no tail decides.
 
-Ranks are read in ``levels`` steps of equal share. An item's stationary mass then depends on its levels alone, so the
-chain is run over the distinct level patterns with their counts: a round is one aggregate to (score, level) sums,
-summed on the map side, and prefix sums over the sorted levels. What a round brings to the driver is scores x levels
-numbers, whatever the number of items, and no state is carried from round to round in the data.
+Ranks are read in ``levels`` steps of equal share. An item's stationary mass then depends on its levels alone, so what
+leaves the items of a level is a sum over the levels that they have in the other scores: the chain needs the items only as
+the table of how often two levels meet, (scores x levels) squared numbers, which one aggregate gives, summed on the map
+side. The power iteration with its prefix sums over the sorted levels runs on that table, whatever the number of items.
+Items of one level pattern have one strength; ranks in ``finer`` steps within the levels put them in order.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terravane.operators.relational import top_rows
 from terravane.session import cut_lineage
 
-LEVELS = 50
+LEVELS, FINER = 50, 20
 DAMPING = 0.5
 TOLERANCE = 1e-6
-ROUNDS = 200
 ACCURACY = 100_000
 
 
@@ -38,84 +40,83 @@ def level_of(c: Column, cuts: list[float]) -> Column:
     return F.when(c.isNotNull(), tree(0, len(cuts)))
 
 
-def level_cuts(items: DataFrame, scores: list[str], levels: int) -> list[list[float]]:
-    """Per score the values at which a new level begins; equal values share a level."""
-    at = [k / levels for k in range(1, levels)]
+def level_cuts(items: DataFrame, scores: list[str], levels: int, finer: int) -> tuple[list[list[float]], list[list[list[float]]]]:
+    """Per score the values at which a new level begins, and per level those at which a finer step begins within it; equal
+    values share a level and a step."""
+    at = [k / (levels * finer) for k in range(1, levels * finer)]
     row = items.agg(*[F.percentile_approx(s, at, ACCURACY).alias(s) for s in scores]).first()
-    return [sorted(set(row[s] or [])) for s in scores]
+    cuts, inner = [], []
+    for s in scores:
+        found = row[s] or []
+        own = sorted(set(found[finer - 1 :: finer]))
+        ends = [float("-inf"), *own, float("inf")]
+        cuts.append(own)
+        inner.append([sorted({x for x in found if a < x < b}) for a, b in zip(ends[:-1], ends[1:])])
+    return cuts, inner
+
+
+def stationary_arrivals(counts: np.ndarray, meets: np.ndarray, first: list[int], total: float, damping: float, tolerance: float) -> np.ndarray:
+    """What arrives at one item of each level (of all scores, one after the other) through that score.
+
+    ``counts`` are the items of each level, ``meets`` the items of two levels, each item weighted by one over its number of
+    scores. Mass leaves a level in equal parts to all items at or above it in its score: a prefix sum over the levels."""
+    ends = [*first[1:], len(counts)]
+    above = np.concatenate([np.cumsum(counts[a:b][::-1])[::-1] for a, b in zip(first, ends)])
+    arrivals, base = np.zeros(len(counts)), 1 / total
+    # the change shrinks by the damping at least from round to round
+    for _ in range(int(np.ceil(np.log(tolerance) / np.log(damping))) + 100):
+        leaving = base * np.diag(meets) + damping * meets @ arrivals
+        each = np.divide(leaving, above, out=np.zeros_like(leaving), where=above > 0)
+        new = np.concatenate([np.cumsum(each[a:b]) for a, b in zip(first, ends)])
+        change = np.abs(new - arrivals).max()
+        arrivals, base = new, (1 - damping * leaving.sum()) / total
+        if change * total < tolerance:  # arrivals in units of the mean mass
+            return arrivals
+    raise RuntimeError("the walk did not settle")
 
 
-def strengths(items: DataFrame, scores: list[str], levels: int = LEVELS, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
-    """items with ``n_scores`` and ``strength``, larger for stronger items.
+def strengths(items: DataFrame, scores: list[str], levels: int = LEVELS, damping: float = DAMPING, tolerance: float = TOLERANCE, finer: int = FINER) -> DataFrame:
+    """items with ``n_scores``, ``strength``, larger for stronger items, and ``fine_level``, which orders equal strengths.
 
     Higher scores are stronger. A null or NaN score is not measured: it is never picked, and strength is the mass that
-    arrives per measured score, so that items with fewer scores rank by what they have. Without any score the strength
-    is 0. Items with equal levels have equal strength; repeated rows are items of their own; extra columns stay.
-    """
+    arrives per measured score, so that items with fewer scores rank by what they have; fine_level is their mean level with
+    its finer part. Without any score both are 0. Repeated rows are items of their own; extra columns stay."""
     s_ = [f"_s{i}" for i in range(len(scores))]
     clean = items.withColumns({a: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for a, c in zip(s_, scores)})
-    cuts = level_cuts(clean, s_, levels)
+    cuts, inner = level_cuts(clean, s_, levels, finer)
     level = [level_of(F.col(a), c) for a, c in zip(s_, cuts)]
     l_ = [f"_l{i}" for i in range(len(scores))]
     patterns = clean.groupBy(*[x.alias(n) for x, n in zip(level, l_)]).agg(F.count("*").alias("n"))
-    measured = reduce(lambda a, b: a + b, [F.col(n).isNotNull().cast("int") for n in l_])
-    patterns = cut_lineage(patterns.withColumn("m", measured))
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(n).alias("l")) for i, n in enumerate(l_)])).alias("e")
-
-    def sums(value: Column) -> list[list[float]]:
-        rows = patterns.select(value.alias("v"), each).where("e.l is not null").groupBy("e.s", "e.l").agg(F.sum("v").alias("v")).collect()
-        out = [[0.0] * (len(c) + 1) for c in cuts]
-        for r in rows:
-            out[r["s"]][r["l"]] = float(r["v"])
-        return out
-
-    total = float(patterns.agg(F.sum("n")).first()[0] or 0)
-    if total == 0:
-        return clean.drop(*s_).withColumns({"n_scores": F.lit(0), "strength": F.lit(0.0)})
-    at_or_above = [[sum(c[k:]) for k in range(len(c))] for c in sums(F.col("n").cast("double"))]
-    arrivals = [[0.0] * (len(c) + 1) for c in cuts]
-    base = 1 / total
-
-    def arriving(columns: list[Column]) -> Column:
-        return reduce(lambda a, b: a + b, [F.coalesce(F.get(F.array(*map(F.lit, v)), c), F.lit(0.0)) for c, v in zip(columns, arrivals)])
-
-    for _ in range(rounds):
-        # the mass of an item, from the arrivals of the last round; it leaves in equal parts by its measured scores
-        mass = F.lit(base) + damping * arriving([F.col(n) for n in l_])
-        leaving = sums(F.when(F.col("m") > 0, F.col("n") * mass / F.col("m")))
-        new = []
-        for g, above in zip(leaving, at_or_above):
-            run, row = 0.0, []
-            for x, a in zip(g, above):
-                run += x / a if a else 0.0
-                row.append(run)
-            new.append(row)
-        change = max((abs(x - y) for a, b in zip(new, arrivals) for x, y in zip(a, b)), default=0.0)
-        arrivals = new
-        kept = sum(map(sum, leaving))
-        base = (1 - damping * kept) / total
-        if change * total < tolerance:  # arrivals in units of the mean mass
-            break
+    first = np.cumsum([0, *[len(c) + 1 for c in cuts]]).tolist()
+    size = first.pop()
+    places = F.array_compact(F.array(*[F.col(n) + F.lit(f) for n, f in zip(l_, first)]))
+    pairs = patterns.select("n", places.alias("p")).where(F.size("p") > 0).select((F.col("n") / F.size("p")).alias("w"), "n", "p", F.explode("p").alias("a"))
+    table = pairs.select("w", "n", "a", F.explode("p").alias("b")).groupBy("a", "b").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect()
+    total = float(clean.count())
+    counts, meets = np.zeros(size), np.zeros((size, size))
+    for r in table:
+        meets[r["a"], r["b"]] = r["w"]
+        if r["a"] == r["b"]:
+            counts[r["a"]] = r["n"]
     n_scores = reduce(lambda a, b: a + b, [F.col(a).isNotNull().cast("int") for a in s_])
     out = clean.withColumn("n_scores", n_scores)
-    share = F.when(F.col("n_scores") > 0, arriving(level) * total / F.col("n_scores")).otherwise(F.lit(0.0))
-    return out.withColumn("strength", F.round(share, 9)).drop(*s_)
+    if not len(table):
+        return out.withColumns({"strength": F.lit(0.0), "fine_level": F.lit(0.0)}).drop(*s_)
+    arrivals = stationary_arrivals(counts, meets, first, total, damping, tolerance)
+    ends = [*first[1:], size]
+    mean = lambda parts: F.coalesce(F.try_divide(reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in parts]), F.col("n_scores")), F.lit(0.0))
+    arriving = [F.get(F.array(*map(F.lit, arrivals[a:b].tolist())), x) for x, a, b in zip(level, first, ends)]
 
+    def fine(value: Column, own: Column, steps: list[list[float]]) -> Column:
+        at = F.get(F.array(*[F.array(*map(F.lit, x)) if x else F.array().cast("array<double>") for x in steps]), own)
+        return own + F.size(F.filter(at, lambda c: c <= value)) / (F.size(at) + 1)
 
-def strongest(ranked: DataFrame, share: float, item: str) -> DataFrame:
-    """The first share of the items (rounded down, at least one) by strength, ties by id.
+    fines = [fine(F.col(a), x, steps) for a, x, steps in zip(s_, level, inner)]
+    return out.withColumns({"strength": F.round(mean(arriving) * total, 9), "fine_level": F.round(mean(fines), 9)}).drop(*s_)
 
-    Only items near the boundary are sorted: a quantile sketch brackets it, what lies above the bracket is taken whole,
-    and the rest is filled from inside the bracket.
-    """
+
+def strongest(ranked: DataFrame, share: float, item: str) -> DataFrame:
+    """The first share of the items (rounded down, at least one) by strength, then fine_level, ties by id."""
     ranked = cut_lineage(ranked)
     n = ranked.count()
-    if n == 0:
-        return ranked
-    k = max(1, int(share * n + 1e-9))
-    near = 2.0 / ACCURACY + 1 / n
-    lo, hi = ranked.agg(F.percentile_approx("strength", [max(0.0, 1 - k / n - near), min(1.0, 1 - k / n + near)], ACCURACY)).first()[0]
-    sure = ranked.where(F.col("strength") > hi)
-    left = k - sure.count()
-    edge = ranked.where((F.col("strength") <= hi) & (F.col("strength") >= lo))
-    return sure.unionByName(edge.orderBy(F.desc("strength"), item).limit(max(0, left)))
+    return top_rows(ranked, "strength", max(1, int(share * n + 1e-9)), [F.desc("fine_level"), item])
