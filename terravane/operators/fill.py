@@ -14,13 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terravane.operators.relational import looked_up
 from terravane.session import cut_lineage
 
 CONFIDENCE = 0.98
 SUPPORT = 20
 GROUP_ROWS = 5
-#: Rows of a dictionary that is sent to all tasks, at most; its values are a few numbers a row.
-BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -73,16 +72,6 @@ def mine_dependencies(known: DataFrame, fields: list[str], candidates: list[tupl
     return sorted(found, key=lambda d: (-d.agreement, -d.support, len(d.determinant), d.determinant))
 
 
-def looked_up(df: DataFrame, known: DataFrame, key: tuple[str, ...], rows: int, values: dict[str, Column]) -> DataFrame:
-    """df with the values of its key in ``known``, null where there is none. A dictionary of up to BROADCAST_ROWS rows is
-    sent to the tasks; a larger one is joined by an exchange of both sides."""
-    k = [f"_k{i}" for i in range(len(key))]
-    small = known.select(*[F.col(f"`{x}`").alias(a) for x, a in zip(key, k)], *[c.alias(n) for n, c in values.items()])
-    small = F.broadcast(small) if rows <= BROADCAST_ROWS else small
-    on = [F.col(f"`{x}`") == F.col(a) for x, a in zip(key, k)] or [F.lit(True)]
-    return df.join(small, on, "left").drop(*k)
-
-
 def fill_from_similar(
     df: DataFrame,
     fields: list[str],

@@ -146,6 +146,26 @@ def training_rows(df: DataFrame, predictors: list[str], target: str, outlier_sha
     return without_outliers(training, columns, outlier_share, seed=seed) if outlier_share else training
 
 
+#: Trees that are grown at once: a fit keeps a count for each of its trees with each row, and the driver their open nodes.
+TREES_AT_ONCE = 250
+
+
+class ForestParts:
+    """Forests with trees of their own as one: probabilities are means by trees, predictions follow from them."""
+
+    def __init__(self, models: list, trees: list[int]):
+        self.models, self.trees = models, trees
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        total, out = sum(self.trees), df
+        share = F.lit(0.0)
+        for k, (m, n) in enumerate(zip(self.models, self.trees)):
+            out = m.transform(out).withColumn(f"_p{k}", vector_to_array("probability")[1]).drop("_v", "rawPrediction", "probability", "prediction")
+            share = share + F.col(f"_p{k}") * n / total
+        out = out.withColumn("chg_probability", share).drop(*[f"_p{k}" for k in range(len(self.models))])
+        return out.withColumn("prediction", (F.col("chg_probability") > 0.5).cast("double"))
+
+
 def change_probability(df: DataFrame, predictors: list[str], target: str, trees: int = 100, seed: int = 42, outlier_share: float = 0.0, search: int = 0, neural: bool = False) -> tuple[DataFrame, object]:
     """(df with ``chg_probability``, model): a random forest with balanced class weights on the labelled rows.
 
@@ -156,15 +176,19 @@ def change_probability(df: DataFrame, predictors: list[str], target: str, trees:
     training = training_rows(df, predictors, target, outlier_share, seed)
     require_two_classes(training, target)
     weights = labels.class_weights(training, target).select(target, "weight")
-    training = training.join(F.broadcast(weights), target)  # two rows
+    training = relational.cut_lineage(training.join(F.broadcast(weights), target))  # two rows
     assembler = VectorAssembler(inputCols=columns, outputCol="_v")
     if neural:
         learner = MultilayerPerceptronClassifier(featuresCol="_v", labelCol=target, layers=[len(columns), 16, 2], seed=seed, maxIter=50)
         model = Pipeline(stages=[assembler, learner]).fit(training)
     else:
         forest = RandomForestClassifier(featuresCol="_v", labelCol=target, weightCol="weight", numTrees=trees, seed=seed)
-        model = Pipeline(stages=[assembler, forest]).fit(training)
-        if search:
+        if not search:
+            parts = [min(TREES_AT_ONCE, trees - k) for k in range(0, trees, TREES_AT_ONCE)]
+            grow = lambda k, n: Pipeline(stages=[assembler, forest.copy({forest.numTrees: n, forest.seed: seed + k})]).fit(training)
+            model = ForestParts([grow(k, n) for k, n in enumerate(parts)], parts)
+            return model.transform(ready).drop("prediction"), model
+        else:
             rng = np.random.default_rng(seed)
             draws = [{forest.numTrees: int(rng.choice([50, 100, 200])), forest.maxDepth: int(rng.integers(3, 11)), forest.minInstancesPerNode: int(rng.integers(1, 6))} for _ in range(search)]
             cv = CrossValidator(estimator=Pipeline(stages=[assembler, forest]), estimatorParamMaps=draws, evaluator=BinaryClassificationEvaluator(labelCol=target), numFolds=5, seed=seed)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terravane.functions import geometry
-from terravane.operators import proximity
+from terravane.functions.estimation import nan_to_null
+from terravane.operators import proximity, relational
 from terravane.session import cut_lineage
 
 
@@ -49,11 +50,11 @@ def mmu_pixels(hectares: float, pixel: float = 30.0) -> int:
     return math.floor(scale**2 / pixel**2)
 
 
-def components(raster: DataFrame, rounds: int = 60) -> DataFrame:
+def components(raster: DataFrame) -> DataFrame:
     """``cell_x, cell_y, component, size``: 8-connected components of the cells given (each cell once).
 
     Tiles of TILE x TILE cells are labelled locally; labels that meet across tile borders are then joined by repeated
-    smallest-label exchange with pointer jumping, over the labels only. Each round is checkpointed.
+    smallest-label exchange with pointer jumping, over the labels only, until no label changes. Each round is checkpointed.
     """
     tile = 256
     r = raster.select("cell_x", "cell_y").distinct().withColumns({"tx": F.floor(F.col("cell_x") / tile), "ty": F.floor(F.col("cell_y") / tile)})
@@ -85,17 +86,18 @@ def components(raster: DataFrame, rounds: int = 60) -> DataFrame:
     links = near.join(edge, ["cell_x", "cell_y"]).where("a <> label").select("a", F.col("label").alias("b"))
     links = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     names = cut_lineage(links.select(F.col("a").alias("label"), F.col("a").alias("root")).distinct())
-    for _ in range(rounds):
+    changed = 1
+    while changed:  # labels only fall, so this ends
         low = links.join(names, F.col("b") == F.col("label")).groupBy("a").agg(F.min("root").alias("low"))
         new = names.join(low, F.col("label") == F.col("a"), "left").select("label", F.least("root", F.coalesce("low", "root")).alias("root"), F.col("root").alias("was"))
         up = new.select(F.col("label").alias("l"), F.col("root").alias("r2"))
         new = cut_lineage(new.join(up, F.col("root") == F.col("l"), "left").select("label", F.least("root", F.coalesce("r2", "root")).alias("root"), "was"))
         changed = new.where("root <> was").limit(1).count()
         names = new.select("label", "root")
-        if not changed:
-            break
-    out = cells.join(names, "label", "left").select("cell_x", "cell_y", F.coalesce("root", "label").alias("component"))
-    return out.join(out.groupBy("component").agg(F.count("*").alias("size")), "component").select("cell_x", "cell_y", "component", "size")
+    out = relational.looked_up(cells, names, ("label",), names.count(), {"root": F.col("root")}).select("cell_x", "cell_y", F.coalesce("root", "label").alias("component"))
+    sizes = cut_lineage(out.groupBy("component").agg(F.count("*").alias("n")))
+    # a giant component is one key: up to some 200,000 components its size is sent to the tasks instead of its cells to one
+    return relational.looked_up(out, sizes, ("component",), sizes.count(), {"size": F.col("n")}).select("cell_x", "cell_y", "component", "size")
 
 
 def square_grid(spark, bounds: tuple[float, float, float, float], spacing: float) -> DataFrame:
@@ -128,9 +130,7 @@ def hex_grid(spark, bounds: tuple[float, float, float, float], area_km2: float)
     g = rows.select("r", q.alias("q")).select("q", "r", (width * (F.col("q") + F.col("r") / 2)).alias("x"), (height * F.col("r")).alias("y"))
     g = g.where((F.col("x").between(x0, x1)) & (F.col("y").between(y0, y1)))
     key = geometry.hilbert_key(geometry.scaled(F.col("x"), x0, x1), geometry.scaled(F.col("y"), y0, y1))
-    from terravane.operators.relational import numbered
-
-    g = numbered(g.withColumn("_h", key), ["_h", "q", "r"], "point_id")
+    g = relational.numbered(g.withColumn("_h", key), ["_h", "q", "r"], "point_id")
     return g.select("point_id", "q", "r", "x", "y", geometry.behrmann_lon(F.col("x")).alias("lon"), geometry.behrmann_lat(F.col("y")).alias("lat"))
 
 
@@ -182,19 +182,59 @@ def clipped_area(cells: DataFrame, aoi: DataFrame, bucket: float = 1.0) -> DataF
     return part.groupBy("point_id", "poly_id").agg(F.sum("area").alias("area")).where("area > 0")
 
 
-def random_points(aoi: DataFrame, per_polygon: int, seed: int = 42, rounds: int = 40) -> DataFrame:
+def random_points(aoi: DataFrame, per_polygon: int, seed: int = 42) -> DataFrame:
     """``poly_id, k, x, y``: the same number of random points in each polygon, by rejection within its bounds.
 
-    Draws are hashes of (polygon, number, round), so they do not depend on partitions."""
+    Draws are hashes of (polygon, number), so they do not depend on partitions. Polygons that fill little of their bounds
+    get more draws until they have enough; one that has none in a million draws for each point is an error."""
     shells = aoi.where("ring = 0").groupBy("poly_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    draw = shells.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(per_polygon * rounds - 1))))
-    u = lambda n: F.pmod(F.xxhash64("poly_id", "try", F.lit(seed + n)), F.lit(2**40)) / float(2**40)
-    draw = draw.select("poly_id", "try", (F.col("x0") + u(0) * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + u(1) * (F.col("y1") - F.col("y0"))).alias("y"))
-    ids = draw.withColumn("point_id", F.col("poly_id").cast("long") * per_polygon * rounds + F.col("try"))
-    hit = proximity.containing_region(ids.select("point_id", F.col("x").alias("lon"), F.col("y").alias("lat")), aoi).withColumnRenamed("poly_id", "_p")
-    good = ids.join(hit, "point_id").where("_p = poly_id")
-    w = Window.partitionBy("poly_id").orderBy("try")  # per_polygon * rounds rows at most
-    return good.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_polygon).select("poly_id", "k", "x", "y")
+    found, first, tries, left = None, 0, 8 * per_polygon, cut_lineage(shells)
+    w = Window.partitionBy("poly_id").orderBy("try")  # the points found in one polygon
+    while not left.isEmpty():
+        if first > 1_000_000 * per_polygon:
+            raise ValueError(f"no room for {per_polygon} points in the polygons {[r[0] for r in left.select('poly_id').limit(5).collect()]}")
+        draw = left.withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1))))
+        u = lambda n: F.pmod(F.xxhash64("poly_id", "try", F.lit(seed + n)), F.lit(2**40)) / float(2**40)
+        draw = draw.select("poly_id", "try", (F.col("x0") + u(0) * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + u(1) * (F.col("y1") - F.col("y0"))).alias("y"))
+        ids = cut_lineage(draw.withColumn("point_id", F.monotonically_increasing_id()))
+        hit = proximity.containing_region(ids.select("point_id", F.col("x").alias("lon"), F.col("y").alias("lat")), aoi).withColumnRenamed("poly_id", "_p")
+        good = ids.join(hit, "point_id").where("_p = poly_id").select("poly_id", "try", "x", "y")
+        good = good if found is None else found.unionByName(good)
+        found = cut_lineage(good.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_polygon).drop("k"))
+        full = found.groupBy("poly_id").count().where(F.col("count") >= per_polygon)
+        left = cut_lineage(shells.join(full, "poly_id", "left_anti"))
+        first, tries = first + tries, 2 * tries
+    if found is None:
+        return aoi.select("poly_id", F.lit(0).alias("k"), "x", "y").where("false")
+    return found.withColumn("k", F.row_number().over(w)).select("poly_id", "k", "x", "y")
+
+
+def zonal_stats(df: DataFrame, zone: list[str], bands: list[str]) -> DataFrame:
+    """Mean, minimum, maximum and deviation of each band in each zone, in one pass; null and NaN are passed over."""
+    stats = (("mean", F.avg), ("min", F.min), ("max", F.max), ("sd", F.stddev_pop))
+    return df.groupBy(*zone).agg(*[f(nan_to_null(b)).alias(f"{b}_{n}") for b in bands for n, f in stats])
+
+
+def year_bands(df: DataFrame, prefix: str, years: list[int], name: str, keep: list[str]) -> DataFrame:
+    """The columns ``<prefix><year>`` of the years given that df has, as ``<name>_<year>``, with the columns to keep."""
+    return df.select(*keep, *[F.col(f"{prefix}{y}").alias(f"{name}_{y}") for y in years if f"{prefix}{y}" in df.columns])
+
+
+def latest_valid(df: DataFrame, key: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Per key and value column the last value in an order that is not masked (null or NaN): a mosaic of pixels."""
+    last = lambda c: F.max_by(F.col(c), F.when(nan_to_null(c).isNotNull(), F.struct(*order)))
+    return df.groupBy(*key).agg(*[last(c).alias(c) for c in values])
+
+
+def sample_products(points: DataFrame, pixels: DataFrame, products: dict[str, float], key: str = "point_id") -> DataFrame:
+    """points with a column for each product of a catalogue (name: cell size), sampled at the cell that the point lies in.
+
+    ``pixels`` is the long form (product, cell_x, cell_y, value). A point's cells in all products are one equi-join on
+    (product, cell), and one aggregate per point puts the values side by side; points outside all cells keep nulls."""
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("product"), cell(F.col("x"), s).alias("cell_x"), cell(F.col("y"), s).alias("cell_y")) for n, s in products.items()]))
+    at = points.select(key, "x", "y").withColumn("_c", cells).select(key, "_c.*").join(pixels.where(F.col("product").isin(*products)), ["product", "cell_x", "cell_y"])
+    wide = at.groupBy(key).agg(*[F.max(F.when(F.col("product") == n, F.col("value"))).alias(n) for n in products])
+    return points.join(wide, key, "left")
 
 
 def tiles(spark, bounds: tuple[float, float, float, float], size: float) -> DataFrame:
@@ -206,6 +246,13 @@ def tiles(spark, bounds: tuple[float, float, float, float], size: float) -> Data
     return g.select("i", "j", (x0 + F.col("i") * size).alias("xmin"), (y0 + F.col("j") * size).alias("ymin"), (x0 + (F.col("i") + 1) * size).alias("xmax"), (y0 + (F.col("j") + 1) * size).alias("ymax"))
 
 
+def tiles_over(aoi: DataFrame, size: float, buffer: float = 1.0) -> DataFrame:
+    """``tiles`` over the bounds of the polygons, widened on all sides, of which only those stay that share area with one."""
+    x0, y0, x1, y1 = aoi.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    t = tiles(aoi.sparkSession, (x0 - buffer, y0 - buffer, x1 + buffer, y1 + buffer), size).withColumn("point_id", F.xxhash64("i", "j"))
+    return t.join(clipped_area(t, aoi, max(1.0, size)).select("point_id").distinct(), "point_id", "left_semi").drop("point_id")
+
+
 def nearest(left: DataFrame, right: DataFrame, distance: float, right_id: str) -> DataFrame:
     """left (x, y) with the nearest rows of right (x, y) within a planar distance: ties give several rows, none a null.
 

@@ -10,6 +10,20 @@ from terravane.functions.estimation import number_or_null
 from terravane.session import cut_lineage
 
 
+#: Rows of a dictionary that is sent to all tasks, at most; its values are a few numbers a row.
+BROADCAST_ROWS = 200_000
+
+
+def looked_up(df: DataFrame, known: DataFrame, key: tuple[str, ...], rows: int, values: dict[str, Column], own: tuple[str, ...] | None = None) -> DataFrame:
+    """df with the values of its key in ``known`` (its columns ``own`` if they are named otherwise), null where there is none. A dictionary of up to BROADCAST_ROWS rows is
+    sent to the tasks; a larger one is joined by an exchange of both sides."""
+    k = [f"_k{i}" for i in range(len(key))]
+    small = known.select(*[F.col(f"`{x}`").alias(a) for x, a in zip(key, k)], *[c.alias(n) for n, c in values.items()])
+    small = F.broadcast(small) if rows <= BROADCAST_ROWS else small
+    on = [F.col(f"`{x}`") == F.col(a) for x, a in zip(own or key, k)] or [F.lit(True)]
+    return df.join(small, on, "left").drop(*k)
+
+
 def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in a total order; aggregated before the exchange, so a hot key costs nothing."""
     rest = [c for c in df.columns if c not in key]
@@ -159,6 +173,18 @@ def systematic(df: DataFrame, order: list[Column | str], target: int, start: int
     return numbered(df, order, "_k").where((F.col("_k") >= start) & step).drop("_k")
 
 
+def systematic_by_group(df: DataFrame, group: str, order: list[Column | str], target: int) -> DataFrame:
+    """``target`` rows of each group, evenly along an order, all of a smaller group. Rows are numbered once over groups and
+    order, and each group's first number and size (one row a group) turn that into its own: no task sorts a group."""
+    d = numbered(df, [group, *order], "_k")
+    d = cut_lineage(d)
+    g = d.groupBy(F.col(group).alias("_k0")).agg(F.min("_k").alias("_f"), F.count("*").alias("_n"))
+    d = looked_up(d, g, ("_k0",), g.count(), {"_f": F.col("_f"), "_n": F.col("_n")}, own=(group,))
+    j, f = F.col("_k") - F.col("_f"), F.lit(float(target)) / F.col("_n")
+    step = (F.col("_n") <= target) | (F.ceil((j + 1) * f) != F.ceil(j * f))
+    return d.where(step).drop("_k", "_f", "_n")
+
+
 def arithmetic_hash(c: Column, seed: int = 0) -> Column:
     """A pseudo-random order key that any SQL engine can repeat: below 2^32."""
     return F.pmod((F.pmod(c.cast("long"), F.lit(2**30)) + seed) * F.lit(2654435761), F.lit(4294967296))

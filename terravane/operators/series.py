@@ -89,8 +89,13 @@ def drop_outliers(obs: DataFrame, bands: list[str], by: str, z: float = 3.0, key
     return obs.withColumns({"_m": mean, "_s": sd}).where((F.col("_s") == 0) | (F.abs(F.col(by) - F.col("_m")) <= z * F.col("_s"))).drop("_m", "_s").dropna(subset=bands)
 
 
-def timescan(obs: DataFrame, universe: DataFrame, bands: list[str], key: str = "point_id") -> DataFrame:
-    """``<band>_mean/_sd/_min/_max`` for each key of the universe; -1 throughout for a series without a reading."""
+def timescan(obs: DataFrame, universe: DataFrame, bands: list[str], key: str = "point_id", z: float | None = None) -> DataFrame:
+    """``<band>_mean/_sd/_min/_max`` for each key of the universe; -1 throughout for a series without a reading. With ``z``
+    a band's readings beyond so many deviations of its mean are passed over."""
+    if z is not None:
+        w = Window.partitionBy(key)
+        far = lambda b: F.abs(F.col(b) - F.avg(b).over(w)) > z * F.stddev_pop(b).over(w)
+        obs = obs.select(key, *[F.when(~far(b), F.col(b)).alias(b) for b in bands])
     stats = [f(b).alias(f"{b}_{n}") for b in bands for n, f in (("mean", F.avg), ("sd", F.stddev_pop), ("min", F.min), ("max", F.max))]
     g = obs.groupBy(key).agg(*stats)
     return universe.select(key).distinct().join(g, key, "left").select(key, *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in g.columns if c != key])
@@ -108,6 +113,24 @@ def yearly_wide(obs: DataFrame, bands: list[str], start: int, end: int, key: str
     return obs.groupBy(key).agg(*[f(when(b, y)).alias(f"{b}_{y}_{n}") for y in range(start, end) for b in bands for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
 
 
+def year_segments(obs: DataFrame, band: str, key: str = "point_id") -> DataFrame:
+    """``<key>, start, end, change``: from each year with readings to the next one that has any, the change of the mean."""
+    y = obs.where(F.col(band).isNotNull()).groupBy(key, F.year("date").alias("end")).agg(F.avg(band).alias("_m"))
+    w = Window.partitionBy(key).orderBy("end")  # one row a year
+    return y.select(key, F.lag("end").over(w).alias("start"), "end", (F.col("_m") - F.lag("_m").over(w)).alias("change")).where("start is not null")
+
+
+def strongest_segment(segments: DataFrame, start: int, end: int, loss: bool = False, key: str = "point_id") -> DataFrame:
+    """``<key>, start, end, magnitude``: of a series' segments (start, end, change) that end within [start, end] the one of
+    largest change by size, or with ``loss`` of largest loss; the first of equals. A series without one has 0 throughout."""
+    inside = F.col("end").between(start, end) & ((F.col("change") < 0) if loss else F.lit(True))
+    size = F.round(-F.col("change") if loss else F.abs("change"), 9)
+    best = F.max_by(F.struct("start", "end", "change"), F.when(inside, F.struct(size, -F.col("end"))))
+    g = segments.groupBy(key).agg(best.alias("b"), F.count_if(inside).alias("n"))
+    of = lambda c, zero: F.when(F.col("n") > 0, F.col(f"b.{c}")).otherwise(F.lit(zero))
+    return g.select(key, of("start", 0).alias("start"), of("end", 0).alias("end"), of("change", 0.0).alias("magnitude"))
+
+
 def cusum(obs: DataFrame, band: str, key: str = "point_id") -> DataFrame:
     """``<key>, date, magnitude``: range of the cumulative sum of residuals, and the date at which it is largest (the
     first of several). Null readings count as residual 0; a series without readings has no row."""

@@ -27,7 +27,7 @@ class SampleSize:
         p = pixels.withColumn("f", estimation.above("gfc_tc00", c.tree_cover).cast("int"))
         start, end = int(c.monitor_start[2:4]), int(c.monitor_end[2:4])
         lost = lambda a, b: F.sum(F.when(F.col("gfc_lossyear").between(a, b), F.col("f")).otherwise(0))
-        km2 = lambda x: F.round(x * pixel_area_m2 / 1e6, 2)
+        km2 = lambda x: F.round(x * pixel_area_m2 / 1e6 + 1e-9, 2)
         areas = p.agg(km2(F.count("*")).alias("total_area"), km2(F.sum("f") - lost(1, start - 1)).alias("forest_area"), km2(lost(start, end)).alias("change_area"))
         loss = p.where("gfc_lossyear > 0 and f = 1").groupBy((2000 + F.col("gfc_lossyear")).alias("year")).agg(km2(F.count("*")).alias("deforest"))
         return areas, loss
@@ -135,7 +135,14 @@ class KMeansSubSampling:
     def cluster(self, features: DataFrame, columns: list[str]) -> DataFrame:
         return ml.kmeans(features, ml.candidate_columns(features, columns), self.config.clusters, self.config.seed)
 
-    def select_samples(self, clustered: DataFrame, key: str = "point_id") -> DataFrame:
+    def select_samples(self, clustered: DataFrame, key: str = "point_id", sampling_type: str = "random") -> DataFrame:
+        """The points of each cluster by hash, or with 'space_filling_curve' evenly along a Hilbert curve over x and y."""
+        if sampling_type == "space_filling_curve":
+            b = clustered.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+            if b[0] is None:
+                return clustered.where("false")
+            curve = geometry.hilbert_key(geometry.scaled(F.col("x"), b[0], b[1]), geometry.scaled(F.col("y"), b[2], b[3]))
+            return relational.systematic_by_group(clustered.withColumn("_h", curve), "cluster", ["_h", key], self.config.points_per_cluster).drop("_h")
         return relational.sample_per_group(clustered, "cluster", key, self.config.points_per_cluster, self.config.seed)
 
 
@@ -180,9 +187,22 @@ class QAQC:
     config: ProjectConfig
 
     def flags(self, samples: DataFrame, column: str, change_categories: list, forest_categories: list) -> DataFrame:
+        """samples with change (CNC) and forest (FNF) flags by their category."""
         return samples.withColumns({"CNC": labels.membership(F.col(column), change_categories), "FNF": labels.membership(F.col(column), forest_categories)})
 
 
+    def run(self, samples: DataFrame, column: str, change_categories: list, forest_categories: list, pixels: DataFrame, cell: float, key: str = "point_id") -> tuple[DataFrame, dict[str, int]]:
+        """(flagged samples with their smoothed series, completeness): all samples in one extraction, so there is nothing to
+        take up again; samples without a pixel keep a null series and are counted as missing."""
+        flagged = self.flags(samples, column, change_categories, forest_categories)
+        extraction = TimeSeriesExtraction(self.config)
+        bands = list(self.config.bands)
+        readings = extraction.extract(flagged.select(F.col(key).alias("point_id"), "x", "y").dropDuplicates(["point_id"]), pixels, cell)
+        smooth = series.rolling_mean(series.assemble(series.observations(readings, bands), bands), bands, self.config.smooth_days)
+        nested = series.nested(smooth, bands).withColumnRenamed("point_id", key)
+        return flagged.join(nested, key, "left"), extraction.check_if_completed(flagged.select(F.col(key).alias("point_id")), nested.select(F.col(key).alias("point_id")))
+
+
 def provinces(points: DataFrame, aoi: DataFrame) -> DataFrame:
     """Points with the polygon around each (null outside)."""
     places = proximity.point_locations(points)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,6 +105,13 @@ def series_timescan(spark, d):
     return t.select("point_id", *[r(c, 5).alias(c) for c in t.columns if c != "point_id"])
 
 
+@query(f"""WITH {_A1}, z AS (SELECT point_id, CASE WHEN NOT abs(ndfi - avg(ndfi) OVER w) > 2 * stddev_pop(ndfi) OVER w THEN ndfi END AS v FROM a WINDOW w AS (PARTITION BY point_id))
+SELECT p.point_id, {', '.join(sr(f'coalesce({f}(v), -1)', 5) + f' AS ndfi_{n}' for n, f in (('mean', 'avg'), ('sd', 'stddev_pop'), ('min', 'min'), ('max', 'max')))} FROM (SELECT DISTINCT point_id FROM points) p LEFT JOIN z USING (point_id) GROUP BY p.point_id""")
+def timescan_masked(spark, d):
+    t = series.timescan(assembled(spark, d), table(spark, d, "points"), ["ndfi"], z=2.0)
+    return t.select("point_id", *[r(c, 5).alias(c) for c in t.columns if c != "point_id"])
+
+
 @query(f"WITH {_A1} SELECT point_id, CAST(year(date) AS INT) AS year, {sr('avg(ndfi)', 5)} AS mean, {sr('stddev_pop(ndfi)', 5)} AS sd FROM a WHERE year(date) >= 2018 GROUP BY point_id, year(date)")
 def series_annual_mean(spark, d):
     return series.yearly(assembled(spark, d), "ndfi", 2018).select("point_id", "year", r("mean", 5).alias("mean"), r("sd", 5).alias("sd"))
@@ -221,16 +229,33 @@ def cluster_subsample(spark, d):
     return relational.sample_per_group(p, "dw_class_mode", "point_id", 20, 7)
 
 
-@query("""SELECT o_custkey AS key, arg_max(o_orderkey, (abs(o_totalprice), -o_orderkey)) AS order_key, max(abs(o_totalprice)) AS magnitude FROM orders
-WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-31' GROUP BY o_custkey""")
+_SEGMENTS = f"""{_A1}, y AS (SELECT point_id, CAST(year(date) AS INT) AS e, avg(ndfi) AS m FROM a WHERE ndfi IS NOT NULL GROUP BY ALL),
+s AS (SELECT point_id, lag(e) OVER w AS b, e, m - lag(m) OVER w AS c FROM y WINDOW w AS (PARTITION BY point_id ORDER BY e) QUALIFY b IS NOT NULL)"""
+
+
+def _strongest_sql(size: str, inside: str) -> str:
+    best = lambda c: f"coalesce(arg_max({c}, (round({size}, 9), -e)) FILTER (WHERE {inside}), 0)"
+    return f"WITH {_SEGMENTS} SELECT point_id, {best('b')} AS first_year, {best('e')} AS last_year, {sr(best('c'), 5)} AS magnitude FROM s GROUP BY point_id"
+
+
+def _strongest(spark, d, loss: bool) -> DataFrame:
+    s = series.strongest_segment(series.year_segments(assembled(spark, d), "ndfi"), 2019, 2021, loss)
+    return s.select("point_id", F.col("start").alias("first_year"), F.col("end").alias("last_year"), r("magnitude", 5).alias("magnitude"))
+
+
+@query(_strongest_sql("abs(c)", "e BETWEEN 2019 AND 2021"))
 def max_abs_segment(spark, d):
-    o = table(spark, d, "orders").where(F.col("o_orderdate").between(F.lit("1996-01-01").cast("timestamp_ntz"), F.lit("1999-12-31").cast("timestamp_ntz")))
-    return o.groupBy(F.col("o_custkey").alias("key")).agg(F.max_by("o_orderkey", F.struct(F.abs("o_totalprice"), -F.col("o_orderkey"))).alias("order_key"), F.max(F.abs("o_totalprice")).alias("magnitude"))
+    return _strongest(spark, d, False)
 
 
-@query("SELECT point_id, arg_max(row_id, (sampled_at, row_id)) AS row_id FROM products GROUP BY point_id")
+@query(_strongest_sql("-c", "e BETWEEN 2019 AND 2021 AND c < 0"))
+def largest_loss_segment(spark, d):
+    return _strongest(spark, d, True)
+
+
+@query("SELECT point_id, " + ", ".join(f"arg_max({c}, (sampled_at, row_id)) FILTER (WHERE NOT contains(CAST({c} AS VARCHAR), 'nan')) AS {c}" for c in ("gfc_tc00", "elevation")) + " FROM products GROUP BY point_id")
 def latest_mosaic(spark, d):
-    return table(spark, d, "products").groupBy("point_id").agg(F.max_by("row_id", F.struct("sampled_at", "row_id")).alias("row_id"))
+    return raster.latest_valid(table(spark, d, "products"), ["point_id"], ["sampled_at", "row_id"], ["gfc_tc00", "elevation"])
 
 
 @query("""SELECT chunk_id, dw_class_mode, n FROM (SELECT chunk_id, dw_class_mode, count(*) AS n FROM products WHERE dw_class_mode IS NOT NULL GROUP BY ALL)
@@ -240,9 +265,12 @@ def dominant_class(spark, d):
     return g.groupBy("chunk_id").agg(F.max_by("dw_class_mode", F.struct("n", -F.col("dw_class_mode"))).alias("dw_class_mode"), F.max("n").alias("n"))
 
 
-@query(f"SELECT event_type, user_id, {sr('avg(value)', 4)} AS mean, min(value) AS min, max(value) AS max, {sr('stddev_pop(value)', 4)} AS sd FROM events GROUP BY event_type, user_id")
+_ZONAL = [f"{b}_{n}" for b in ("ndfi", "nir") for n in ("mean", "min", "max", "sd")]
+
+
+@query(f"WITH {_OBS} SELECT path_row, " + ", ".join(sr(f"{f}({b})", 4) + f" AS {b}_{n}" for b in ("ndfi", "nir") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"), ("sd", "stddev_pop"))) + " FROM o GROUP BY path_row")
 def combined_reducers(spark, d):
-    return table(spark, d, "events").groupBy("event_type", "user_id").agg(r(F.avg("value"), 4).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), r(F.stddev_pop("value"), 4).alias("sd"))
+    return raster.zonal_stats(obs(spark, d), ["path_row"], ["ndfi", "nir"]).select("path_row", *[r(c, 4).alias(c) for c in _ZONAL])
 
 
 @query(f"SELECT DISTINCT user_id, CAST(ts AS DATE) AS date, {sr('avg(value) OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE) RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)', 4)} AS mean FROM events")
@@ -323,23 +351,37 @@ def _shares(spark, d):
     return p.agg(F.avg(F.when(estimation.nan_to_null("gfc_tc00").between(10, 100), 1.0).otherwise(0.0)).alias("forest"), F.avg(F.when(F.col("gfc_lossyear") > 0, 1.0).otherwise(0.0)).alias("change"))
 
 
-def _sweep(spark, d):
-    n = spark.range(10_000, 500_000, 10_000).withColumnRenamed("id", "n").crossJoin(_shares(spark, d))
-    m = lambda c: estimation.relative_margin(F.col(c), F.col("n")) * 100
-    return n.select("n", m("forest").alias("moe_forest"), m("change").alias("moe_change"), estimation.grid_spacing(F.lit(250_000.0), F.col("n")).alias("spacing"))
+_AREA_STAGE = pipeline.SampleSize(ProjectConfig("areas", calibration_start="2010-01-01", monitor_start="2015-01-01", monitor_end="2022-12-31"))
+_KM2 = "round({x} * 900.0::double / 1e6 + 1e-9, 2)"
+_FOREST = "SELECT gfc_lossyear, CASE WHEN gfc_tc00 > 10 AND NOT contains(CAST(gfc_tc00 AS VARCHAR), 'nan') THEN 1 ELSE 0 END AS f FROM products"
+_AREAS = f"""areas AS (SELECT {_KM2.format(x='count(*)')} AS total_area, {_KM2.format(x='(sum(f) - sum(CASE WHEN gfc_lossyear BETWEEN 1 AND 14 THEN f ELSE 0 END))')} AS forest_area,
+  {_KM2.format(x='sum(CASE WHEN gfc_lossyear BETWEEN 15 AND 22 THEN f ELSE 0 END)')} AS change_area FROM ({_FOREST}))"""
+_MARGIN = "{z!r} * sqrt({p} * (1 - {p}) / n) / nullif({p}, 0) * 100"
+_SWEEP = f"{_AREAS}, w AS (SELECT n, {_MARGIN.format(z=_Z, p='(forest_area / total_area)')} AS moe_forest, {_MARGIN.format(z=_Z, p='(change_area / total_area)')} AS moe_change, sqrt(total_area / n) AS spacing FROM range(10000, 500000, 10000) t(n), areas)"
 
 
-_SWEEP = f"{_SHARES}, w AS (SELECT n, {_Z!r} * sqrt(forest * (1 - forest) / n) / forest * 100 AS moe_forest, {_Z!r} * sqrt(change * (1 - change) / n) / change * 100 AS moe_change, sqrt(250000.0::double / n) AS spacing FROM range(10000, 500000, 10000) t(n), s)"
+def _areas(spark, d):
+    return _AREA_STAGE.forest_areas(table(spark, d, "products"))
+
+
+@query(f"WITH {_AREAS} SELECT * FROM areas")
+def forest_areas(spark, d):
+    return _areas(spark, d)[0]
+
+
+@query(f"SELECT 2000 + gfc_lossyear AS year, {_KM2.format(x='count(*)')} AS deforest FROM ({_FOREST}) WHERE gfc_lossyear > 0 AND f = 1 GROUP BY 1")
+def loss_area_by_year(spark, d):
+    return _areas(spark, d)[1]
 
 
 @query(f"WITH {_SWEEP} SELECT n, {sr('moe_forest')} AS moe_forest, {sr('moe_change')} AS moe_change, {sr('spacing')} AS spacing FROM w")
 def cochran_sweep(spark, d):
-    return _sweep(spark, d).select("n", r("moe_forest").alias("moe_forest"), r("moe_change").alias("moe_change"), r("spacing").alias("spacing"))
+    return _AREA_STAGE.sweep(_areas(spark, d)[0]).select(F.col("sample_size").alias("n"), r("moe_forest").alias("moe_forest"), r("moe_change").alias("moe_change"), r("spacing_km").alias("spacing"))
 
 
 @query(f"WITH {_SWEEP} SELECT n, CAST(floor(spacing * 1000) AS BIGINT) AS spacing_m FROM w WHERE moe_change < 5 ORDER BY n LIMIT 1")
 def minimum_sample(spark, d):
-    return _sweep(spark, d).where("moe_change < 5").orderBy("n").limit(1).select("n", F.floor(F.col("spacing") * 1000).alias("spacing_m"))
+    return _AREA_STAGE.minimum_sample_size(_areas(spark, d)[0]).select(F.col("sample_size").alias("n"), F.floor(F.col("spacing_km") * 1000).alias("spacing_m"))
 
 
 @query(f"WITH {_SHARES} SELECT e, CAST(ceil(pow({_Z!r}, 2) * change * (1 - change) / pow(e * change, 2)) AS BIGINT) AS n FROM s, (SELECT unnest([0.05::double, 0.1::double, 0.2::double]) AS e)")
@@ -357,21 +399,6 @@ def sampling_error_stats(spark, d):
     return c.agg(r(F.avg(gap) * 100).alias("mean_bias"), r(F.stddev_pop(gap) * 100).alias("sd_bias"), r(F.avg("x")).alias("mean"), r(F.stddev_pop("x")).alias("sd"), r(_Z * F.stddev_pop("x") / F.avg("x") * 100, 4).alias("uncertainty"))
 
 
-@query("SELECT 2000 + gfc_lossyear AS year, round(sum(900.0::double * gfc_loss) / 1e6, 4) AS deforest FROM products WHERE gfc_lossyear > 0 AND gfc_tc00 BETWEEN 10 AND 100 AND NOT contains(CAST(gfc_tc00 AS VARCHAR), 'nan') GROUP BY 1")
-def loss_area_by_year(spark, d):
-    p = table(spark, d, "products").where("gfc_lossyear > 0 and gfc_tc00 between 10 and 100")
-    return p.groupBy((2000 + F.col("gfc_lossyear")).alias("year")).agg(F.round(F.sum(900.0 * F.col("gfc_loss")) / 1e6, 4).alias("deforest"))
-
-
-@query("""SELECT round(count(*) * 900.0::double / 1e6, 4) AS total_area, round((sum(f) - sum(CASE WHEN gfc_lossyear BETWEEN 1 AND 14 THEN f ELSE 0 END)) * 900.0::double / 1e6, 4) AS forest_area, round(sum(CASE WHEN gfc_lossyear BETWEEN 15 AND 22 THEN f ELSE 0 END) * 900.0::double / 1e6, 4) AS change_area
-FROM (SELECT gfc_lossyear, CASE WHEN gfc_tc00 BETWEEN 10 AND 100 AND NOT contains(CAST(gfc_tc00 AS VARCHAR), 'nan') THEN 1 ELSE 0 END AS f FROM products)""")
-def forest_areas(spark, d):
-    p = table(spark, d, "products").withColumn("f", F.when(F.col("gfc_tc00").between(10, 100), 1).otherwise(0))
-    lost = lambda a, b: F.sum(F.when(F.col("gfc_lossyear").between(a, b), F.col("f")).otherwise(0))
-    km2 = lambda c: F.round(c * 900.0 / 1e6, 4)
-    return p.agg(km2(F.count("*")).alias("total_area"), km2(F.sum("f") - lost(1, 14)).alias("forest_area"), km2(lost(15, 22)).alias("change_area"))
-
-
 # --- space ----------------------------------------------------------------------------------------------------------
 
 
@@ -510,18 +537,73 @@ def simulated_error(spark, d):
     return pipeline.SampleSize(ProjectConfig("simulation")).simulated_error(pixels, [2.0, 4.0, 8.0], 10)
 
 
-@query()
+_POLE = (1 - _E2) * (1 / (1 - _E2) - math.log((1 - _E1) / (1 + _E1)) / (2 * _E1))
+_SIDE = geometry.hex_side(geometry.hex_cell_area_km2(9) * 1e6)
+_HW, _HH = math.sqrt(3) * _SIDE, 1.5 * _SIDE
+
+
+@query(f"""WITH {_BOUNDS}, k AS (SELECT {_BX.replace('radians(x)', 'radians(x0)')} AS bx0, {_BY.replace('radians(y)', 'radians(y0)')} AS by0, {_BX.replace('radians(x)', 'radians(x1)')} AS bx1, {_BY.replace('radians(y)', 'radians(y1)')} AS by1 FROM b),
+h AS (SELECT *, unnest(range(CAST(floor(bx0 / {_HW!r} - r / 2.0::double) AS BIGINT), CAST(ceil(bx1 / {_HW!r} - r / 2.0::double) AS BIGINT) + 1)) AS q FROM (SELECT *, unnest(range(CAST(floor(by0 / {_HH!r}) AS BIGINT), CAST(ceil(by1 / {_HH!r}) AS BIGINT) + 1)) AS r FROM k)),
+c AS (SELECT q, r, {_HW!r} * (q + r / 2.0::double) AS hx, {_HH!r} * r AS hy FROM h WHERE {_HW!r} * (q + r / 2.0::double) BETWEEN bx0 AND bx1 AND {_HH!r} * r BETWEEN by0 AND by1),
+u AS (SELECT q, r, degrees(hx / ({geometry.SEMI_MAJOR}::double * {_K0!r}::double)) AS x, asin(2 * hy * {_K0!r}::double / ({geometry.SEMI_MAJOR}::double * {_POLE!r}::double)) AS w FROM c),
+p AS (SELECT q, r, x, degrees(w + {_E2 / 3 + 31 * _E2**2 / 180 + 517 * _E2**3 / 5040!r}::double * sin(2 * w) + {23 * _E2**2 / 360 + 251 * _E2**3 / 3780!r}::double * sin(4 * w) + {761 * _E2**3 / 45360!r}::double * sin(6 * w)) AS y FROM u),
+e AS (SELECT a.poly_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM aoi a JOIN aoi b ON a.poly_id = b.poly_id AND a.ring = b.ring AND b.i = a.i + 1),
+i AS (SELECT q, r, p.x, p.y, poly_id FROM p JOIN e ON p.x >= least(x1, x2) AND p.x < greatest(x1, x2) AND p.y < y1 + (y2 - y1) / (x2 - x1) * (p.x - x1) GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT q, r, round(x, 6) AS x, round(y, 6) AS y, min(poly_id) AS poly_id FROM i GROUP BY ALL""")
 def hex_grid(spark, d):
     g = raster.hex_grid(spark, aoi_bounds(spark, d), geometry.hex_cell_area_km2(9))
-    return raster.inside(g.drop("x", "y").withColumnsRenamed({"lon": "x", "lat": "y"}), table(spark, d, "aoi"))
+    g = raster.inside(g.drop("x", "y").withColumnsRenamed({"lon": "x", "lat": "y"}), table(spark, d, "aoi"))
+    return g.select("q", "r", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "poly_id")
 
 
-@query()
+_HILBERT = f"""{_P}, e AS (SELECT min(x) AS x0, max(x) - min(x) AS dx, min(y) AS y0, max(y) - min(y) AS dy FROM p),
+h(point_id, x, y, hx, hy, k, s) AS (
+  SELECT point_id, x, y, CAST(least(65535, greatest(0, floor((x - x0) / dx * 65535))) AS BIGINT), CAST(least(65535, greatest(0, floor((y - y0) / dy * 65535))) AS BIGINT), 0::bigint, 32768::bigint FROM p, e
+  UNION ALL
+  SELECT point_id, x, y, CASE WHEN hy & s = 0 THEN fy ELSE fx END, CASE WHEN hy & s = 0 THEN fx ELSE fy END, k + s * s * xor(CASE WHEN hx & s > 0 THEN 3 ELSE 0 END, CASE WHEN hy & s > 0 THEN 1 ELSE 0 END), s // 2 FROM (
+    SELECT *, CASE WHEN hy & s = 0 AND hx & s > 0 THEN s - 1 - (hx & (s - 1)) ELSE hx & (s - 1) END AS fx, CASE WHEN hy & s = 0 AND hx & s > 0 THEN s - 1 - (hy & (s - 1)) ELSE hy & (s - 1) END AS fy FROM h WHERE s > 0)
+), hilbert AS (SELECT point_id, x, y, k AS hilbert FROM h WHERE s = 0)"""
+
+
+def with_hilbert(p: DataFrame) -> DataFrame:
+    b = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    return p.withColumn("hilbert", geometry.hilbert_key(geometry.scaled(F.col("x"), b[0], b[1]), geometry.scaled(F.col("y"), b[2], b[3])))
+
+
+@query(f"WITH RECURSIVE {_HILBERT} SELECT point_id, x, y, hilbert, row_number() OVER (ORDER BY hilbert, point_id) - 1 AS position FROM hilbert")
 def hilbert_order(spark, d):
+    return relational.numbered(with_hilbert(places(spark, d)), ["hilbert", "point_id"], "position")
+
+
+@query(f"""WITH RECURSIVE {_HILBERT}, c AS (SELECT DISTINCT point_id, dw_class_mode AS cluster FROM products WHERE dw_class_mode IS NOT NULL), n AS (
+  SELECT cluster, point_id, row_number() OVER (PARTITION BY cluster ORDER BY hilbert, point_id) - 1 AS j, count(*) OVER (PARTITION BY cluster) AS n FROM c JOIN hilbert USING (point_id)
+) SELECT cluster, point_id FROM n WHERE n <= 20 OR ceil((j + 1) * (20.0::double / n)) <> ceil(j * (20.0::double / n))""")
+def curve_subsample(spark, d):
+    c = table(spark, d, "products").where("dw_class_mode is not null").select("point_id", F.col("dw_class_mode").alias("cluster")).distinct()
+    stage = pipeline.KMeansSubSampling(ProjectConfig("clusters", points_per_cluster=20))
     p = places(spark, d)
-    b = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    key = geometry.hilbert_key(geometry.scaled(F.col("x"), b[0], b[1]), geometry.scaled(F.col("y"), b[2], b[3]))
-    return relational.numbered(p.withColumn("hilbert", key), ["hilbert", "point_id"], "position")
+    bounds = p.agg(F.min("x").alias("x"), F.min("y").alias("y")).unionByName(p.agg(F.max("x").alias("x"), F.max("y").alias("y")))
+    # the curve runs over all places, so its corners go with the points
+    corners = bounds.select(F.lit(None).cast("long").alias("point_id"), F.lit(-1).alias("cluster"), "x", "y")
+    found = stage.select_samples(c.join(p, "point_id").unionByName(corners), sampling_type="space_filling_curve")
+    return found.where("cluster >= 0").select("cluster", "point_id")
+
+
+_PRODUCTS = {"elevation": 0.05, "slope": 0.1}
+
+
+@query(f"WITH {_P}, " + ", ".join(f"px_{n} AS (SELECT CAST(floor(x / {s}) AS BIGINT) AS cx, CAST(floor(y / {s}) AS BIGINT) AS cy, avg({n}) AS {n} FROM p JOIN products USING (point_id) WHERE {n} IS NOT NULL GROUP BY 1, 2)" for n, s in _PRODUCTS.items()) + ", " + _T + " SELECT sample_id, " + ", ".join(sr(n, 4) + f" AS {n}" for n in _PRODUCTS) + " FROM t " + " ".join(f"LEFT JOIN px_{n} ON px_{n}.cx = CAST(floor(t.x / {s}) AS BIGINT) AND px_{n}.cy = CAST(floor(t.y / {s}) AS BIGINT)" for n, s in _PRODUCTS.items()))
+def product_samples(spark, d):
+    """Every product of a catalogue at every sample, from the products' long form."""
+    p = places(spark, d).join(table(spark, d, "products").select("point_id", *_PRODUCTS), "point_id")
+    long = [p.where(F.col(n).isNotNull()).groupBy(raster.cell(F.col("x"), s).alias("cell_x"), raster.cell(F.col("y"), s).alias("cell_y")).agg(F.avg(n).alias("value")).withColumn("product", F.lit(n)) for n, s in _PRODUCTS.items()]
+    t = raster.sample_products(training_places(spark, d), long[0].unionByName(long[1]), _PRODUCTS, "sample_id")
+    return t.select("sample_id", *[r(n, 4).alias(n) for n in _PRODUCTS])
+
+
+@query()
+def area_tiles(spark, d):
+    return raster.tiles_over(table(spark, d, "aoi"), 2.5)
 
 
 @query()
@@ -531,14 +613,14 @@ def convex_hulls(spark, d):
 
 # --- columns, json, missing values ----------------------------------------------------------------------------------
 
-_YEARS = [2018, 2019, 2020, 2021]
+_YEARS = [2018, 2019, 2020]
 
 
-@query("SELECT series_id, tmf_2019, tmf_2020 FROM (SELECT series_id, images AS tmf_2019, images + 1 AS tmf_2020 FROM series)")
+@query(f"WITH {_A1} SELECT point_id, " + ", ".join(sr(f"avg(ndfi) FILTER (WHERE year(date) = {y})", 5) + f" AS tmf_{y}" for y in (2019, 2020)) + " FROM a GROUP BY point_id")
 def year_bands(spark, d):
-    s = table(spark, d, "series").select("series_id", F.col("images").alias("Dec2019"), (F.col("images") + 1).alias("Dec2020"))
-    keep = [y for y in _YEARS if f"Dec{y}" in s.columns]
-    return s.select("series_id", *[F.col(f"Dec{y}").alias(f"tmf_{y}") for y in keep])
+    w = series.yearly_wide(assembled(spark, d), ["ndfi"], 2019, 2022)
+    bands = raster.year_bands(w.withColumnsRenamed({f"ndfi_{y}_mean": f"Dec{y}" for y in range(2019, 2022)}), "Dec", _YEARS, "tmf", ["point_id"])
+    return bands.select("point_id", *[r(c, 5).alias(c) for c in bands.columns if c != "point_id"])
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -560,11 +642,6 @@ def train_test_split(spark, d):
     return ml.hash_split(table(spark, d, "training").where("change_label is not null"), "sample_id").select("sample_id", "part")
 
 
-@query("SELECT o_custkey AS key, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS order_key FROM orders GROUP BY o_custkey")
-def largest_loss_segment(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("order_key"))
-
-
 @query("SELECT least(20, greatest(0, CAST(floor((ndfi_mean + 1) / 2 * 20) AS BIGINT) + 1)) AS bin, count(*) AS n FROM features GROUP BY 1")
 def histogram_bins(spark, d):
     b = F.least(F.lit(20), F.greatest(F.lit(0), F.floor((F.col("ndfi_mean") + 1) / 2 * 20) + 1))
@@ -579,6 +656,22 @@ def batch_scan(spark, d):
     return relational.keep_first(f, ["chunk_id", "point_id"], ["row_id"]).select("point_id", F.col("chunk_id").alias("batch"), F.col("k").cast("long").alias("k"))
 
 
+_STATS = [(b, n) for b in ["green", "red", "nir", "swir1", "swir2", "ndfi"] for n in ("mean", "sd", "min", "max")]
+_STAT_SQL = {"mean": "avg", "sd": "stddev_pop", "min": "min", "max": "max"}
+
+
+@query(f"""WITH {_A1}, z AS (SELECT *, avg(ndfi) OVER w AS m, stddev_pop(ndfi) OVER w AS sd FROM a WINDOW w AS (PARTITION BY point_id)),
+o2 AS (SELECT * FROM z WHERE (sd = 0 OR abs(ndfi - m) <= 3 * sd) AND {' AND '.join(f'{b} IS NOT NULL' for b in _B)}),
+s AS (SELECT point_id, date, {', '.join(f'avg({b}) OVER w AS {b}' for b in _B)} FROM o2 WINDOW w AS (PARTITION BY point_id ORDER BY date RANGE BETWEEN INTERVAL 59 DAYS PRECEDING AND CURRENT ROW)),
+i AS (SELECT *, year(date) + round(dayofyear(date) / 365.0, 3) BETWEEN 2020 AND 2023 AS mon FROM s WHERE date > DATE '2015-01-01' AND date < DATE '2023-01-01')
+SELECT point_id, count(*)::int AS images, (count(*) FILTER (WHERE mon))::int AS mon_images, {', '.join(sr(f'coalesce({_STAT_SQL[n]}({b}) FILTER (WHERE mon), -1)', 5) + f' AS {b}_{n}' for b, n in _STATS)} FROM i GROUP BY point_id""")
+def augment_statistics(spark, d):
+    """The stage with its one deterministic kernel: outliers out, smoothing, the interval, statistics of every band."""
+    c = ProjectConfig("augment", monitor_start="2020-01-01", monitor_end="2023-01-01")
+    out = pipeline.DatasetAugmentation(c).augment(assembled(spark, d), enabled=("timescan",))
+    return out.select("point_id", "images", "mon_images", *[r(f"{b}_{n}", 5).alias(f"{b}_{n}") for b, n in _STATS])
+
+
 @query()
 def augment_features(spark, d):
     """The whole stage: outliers out, smoothing, the interval, all kernels, products joined."""
@@ -610,7 +703,7 @@ for _name, _q in (("cusum", "cusum_confidence"), ("slope", "bootstrap_slope"), (
 ) SELECT s.series_id, coalesce(g.images, 0)::int AS images, coalesce(g.mon_images, 0)::int AS mon_images, {sr('coalesce(m, -1)', 5)} AS ts_mean, {sr('coalesce(s, -1)', 5)} AS ts_sd, coalesce(lo, -1) AS ts_min, coalesce(hi, -1) AS ts_max FROM series s LEFT JOIN g USING (series_id)""".replace("coalesce(s, -1)", "coalesce(g.s, -1)"))
 def kernel_timescan(spark, d):
     k = change.features(spread_table(spark, d, "series", "series_id"), change.ChangeConfig(enabled=("timescan",)))
-    return k.select("series_id", "images", "mon_images", r("ts_mean", 5).alias("ts_mean"), r("ts_sd", 5).alias("ts_sd"), "ts_min", "ts_max")
+    return k.select("series_id", "images", "mon_images", r("ndfi_mean", 5).alias("ts_mean"), r("ndfi_sd", 5).alias("ts_sd"), F.col("ndfi_min").alias("ts_min"), F.col("ndfi_max").alias("ts_max"))
 
 
 PREDICTORS = ["images", "ndfi_mean", "ndfi_sd", "ndfi_min", "ndfi_max", "bfast_magnitude", "cusum_confidence", "cusum_magnitude", "bs_slope_mean", "ccdc_magnitude", "gfc_tc00", "elevation", "slope"]

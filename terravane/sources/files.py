@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import math
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terravane.functions import geometry
 from terravane.operators import proximity, relational
 
 LON_NAMES = ("lon", "longitude", "x")
@@ -38,9 +44,11 @@ def read_geojson(spark: SparkSession, path: str, properties: str, dates: list[st
     return df
 
 
-def write_geojson(df: DataFrame, path: str, dates: list[str] | None = None, lon: str = "x", lat: str = "y", encode_twice: bool = True) -> None:
-    """A folder of GeoJSON files, one per partition; dates become yyyymmdd texts. Partitions are written where they are."""
-    out = df
+def write_geojson(df: DataFrame, path: str, dates: list[str] | None = None, lon: str = "x", lat: str = "y", encode_twice: bool = True, rows_per_file: int = 50_000) -> None:
+    """A folder of GeoJSON files of some ``rows_per_file`` features each, which is what a task holds as one text; dates
+    become yyyymmdd texts."""
+    files = math.ceil(df.count() / rows_per_file)
+    out = df if files <= df.rdd.getNumPartitions() else df.repartition(files)
     for c in dates or []:
         several = dict(df.dtypes)[c].startswith("array")
         out = out.withColumn(c, F.transform(c, lambda d: F.date_format(d, COMPACT_DATE)) if several else F.date_format(c, COMPACT_DATE))
@@ -49,10 +57,6 @@ def write_geojson(df: DataFrame, path: str, dates: list[str] | None = None, lon:
     lines = out.select(feature.alias("value"))
 
     def collection(batches):
-        import json
-
-        import pandas as pd
-
         rows = [v for b in batches for v in b["value"]]  # one output file's rows
         if rows:
             text = '{"type":"FeatureCollection","features":[' + ",".join(rows) + "]}"
@@ -82,7 +86,9 @@ def unprocessed(df: DataFrame, spark: SparkSession, path: str, key: str = "point
     """Rows whose key is not in the output folder yet; all of them if there is none."""
     try:
         done = spark.read.parquet(path).select(key)
-    except Exception:  # noqa: BLE001 - no output yet
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no folder, or nothing in it
+            raise
         return df
     return df.join(done.distinct(), key, "left_anti")
 
@@ -113,10 +119,23 @@ def read_training(spark: SparkSession, path: str, schema: str | None = None) ->
     return df.withColumns({"x": of("lon", proximity.geometry_lon(g)), "y": of("lat", proximity.geometry_lat(g))})
 
 
+def to_degrees(df: DataFrame, crs: str = "crs", x: str = "x", y: str = "y") -> DataFrame:
+    """df with x, y in longitude and latitude: from EPSG:4326 and CRS84 as they are, from EPSG:3857 (the spherical Mercator)
+    and EPSG:6933 (the equal-area cylinder at 30 degrees) by their inverse. Another crs gives null."""
+    code = F.upper(F.regexp_extract(crs, "([A-Za-z0-9]+)$", 1))
+    a = geometry.SEMI_MAJOR
+    mercator = F.degrees(F.col(x) / a), F.degrees(2 * F.atan(F.exp(F.col(y) / a)) - math.pi / 2)
+    cylinder = geometry.behrmann_lon(F.col(x)), geometry.behrmann_lat(F.col(y))
+    pick = lambda own, k: F.when(code.isin("4326", "CRS84"), own).when(code == "3857", mercator[k]).when(code == "6933", cylinder[k])
+    return df.withColumns({x: pick(F.col(x), 0), y: pick(F.col(y), 1), crs: F.lit("EPSG:4326")})
+
+
 def read_aoi(spark: SparkSession, path: str, crs: str = "EPSG:4326") -> DataFrame:
-    """``poly_id, ring, i, x, y, crs`` of the polygons and multipolygons of a GeoJSON file; other geometries are left out.
+    """``poly_id, ring, i, x, y, crs`` of the polygons and multipolygons of a GeoJSON file in degrees; other geometries are
+    left out.
 
-    The file's own crs name counts if it has one."""
+    The file's own crs name counts if it has one; see ``to_degrees``. All polygons together are the area, so a point is in it
+    where any of them holds it."""
     schema = "struct<crs:struct<properties:struct<name:string>>,features:array<struct<geometry:struct<type:string,coordinates:string>>>>"
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("j"))
     g = raw.select(F.coalesce("j.crs.properties.name", F.lit(crs)).alias("crs"), F.posexplode("j.features.geometry").alias("feature", "g"))
@@ -126,7 +145,7 @@ def read_aoi(spark: SparkSession, path: str, crs: str = "EPSG:4326") -> DataFram
     p = g.where(F.col("g.type").isin("Polygon", "MultiPolygon")).select("crs", "feature", F.posexplode(parts).alias("part", "rings"))
     p = relational.numbered(p, ["feature", "part"], "_p").select("crs", (F.col("_p") + 1).cast("int").alias("poly_id"), F.posexplode("rings").alias("ring", "points"))
     v = p.select("crs", "poly_id", "ring", F.posexplode("points").alias("i", "c"))
-    return v.select("poly_id", "ring", "i", F.get("c", F.lit(0)).alias("x"), F.get("c", F.lit(1)).alias("y"), "crs")
+    return to_degrees(v.select("poly_id", "ring", "i", F.get("c", F.lit(0)).alias("x"), F.get("c", F.lit(1)).alias("y"), "crs"))
 
 
 def write_plots(df: DataFrame, path: str, key: str = "point_id", extra: dict[str, str] | None = None) -> None:

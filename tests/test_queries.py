@@ -5,11 +5,11 @@ import os
 import pytest
 
 from tests.compare import compare
-from terravane.plans import core_queries, reference_queries
+from terravane.plans import core_queries, io_queries, reference_queries
 
 SF = "/root/testdata/sf0.001"
-ALL = core_queries.QUERIES | reference_queries.QUERIES
-SQL = core_queries.ORACLE | reference_queries.ORACLE
+ALL = core_queries.QUERIES | reference_queries.QUERIES | io_queries.QUERIES
+SQL = core_queries.ORACLE | reference_queries.ORACLE | io_queries.ORACLE
 #: These need both classes among the training samples.
 LARGER = {"permutation_importance", "rf_probability"}
 
