@@ -76,7 +76,7 @@ places AS (
   WHERE any_g IS NULL OR glon IS NOT NULL
   GROUP BY point_id
 )"""
-_MEASURED_P = """
+MEASURED = """
 mp AS (
   SELECT row_id, point_id, chunk_id, pathrow, esa_lc21, tmf_main, f, CASE WHEN coalesce(esa_lc20, 1) <> 0 AND coalesce(esa_lc21, 1) <> 0 AND NOT contains(CAST(v AS VARCHAR), 'nan') AND v >= 0 AND v <= top THEN v END AS v
   FROM (SELECT row_id, point_id, chunk_id, pathrow, esa_lc20, esa_lc21, tmf_main, unnest(['gfc_tc00', 'potapov_tree_height', 'dw_tree_prob_mean']) AS f, unnest([gfc_tc00, potapov_tree_height, dw_tree_prob_mean]) AS v, unnest([100, 60, 100]) AS top FROM products)
@@ -115,7 +115,7 @@ def _filled_sql() -> str:
             groups.append(f"SELECT t, f, {100 + i} AS c, {key(s)} AS k, round(quantile_cont(round(v / 0.001) * 0.001, 0.5), 6) AS x FROM b WHERE t = '{t}' AND {there(s)} GROUP BY ALL HAVING count(v) >= {fill.GROUP_ROWS if s else 1}")
             probes.append(f"SELECT row_id, t, f, '{name}' AS origin, {100 + i} AS c, {key(s)} AS k FROM b WHERE v IS NULL AND t = '{t}' AND {there(s)}")
     union = " UNION ALL ".join
-    return f"""WITH {_MEASURED_P}, b AS (
+    return f"""WITH {MEASURED}, b AS (
   SELECT t, row_id, point_id, chunk_id, pathrow, esa_lc21, tmf_main, f, CASE WHEN chunk_id IS NOT NULL AND n >= 20 AND lo = hi AND hi <> 0 THEN NULL ELSE v END AS v FROM m
 ), d AS ({union(dicts)}), dep AS (
   SELECT t, f, c, row_number() OVER (PARTITION BY t, f ORDER BY ok / total DESC, total DESC, width, o) AS place FROM (
@@ -132,7 +132,7 @@ FROM b LEFT JOIN filled USING (t, row_id, f)"""
 
 ORACLE = {
     "p1_filled": _filled_sql(),
-    "p1_found": f"WITH {_MEASURED_P} SELECT row_id, f AS field_name FROM m WHERE v IS NULL OR (chunk_id IS NOT NULL AND n >= 20 AND lo = hi AND hi <> 0)",
+    "p1_found": f"WITH {MEASURED} SELECT row_id, f AS field_name FROM m WHERE v IS NULL OR (chunk_id IS NOT NULL AND n >= 20 AND lo = hi AND hi <> 0)",
     "p6_found": f"""WITH {PLACES}, u AS (
   SELECT point_id, cos(radians(lat)) * cos(radians(lon)) AS ux, cos(radians(lat)) * sin(radians(lon)) AS uy, sin(radians(lat)) AS uz FROM places WHERE lon IS NOT NULL AND lat IS NOT NULL
 ) SELECT a.point_id AS point_id_a, b.point_id AS point_id_b FROM u a JOIN u b ON a.point_id < b.point_id

@@ -34,13 +34,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("SELECT series_id, point_id, images, CAST(len(dates) AS INT) AS n_dates, list_min(dates) AS first_date, CASE WHEN y IS NOT NULL THEN round(x, 6) END AS x, CASE WHEN x IS NOT NULL THEN round(y, 6) END AS y FROM series")
+@query(f"SELECT series_id, point_id, images, CAST(len(dates) AS INT) AS n_dates, list_min(dates) AS first_date, CASE WHEN y IS NOT NULL THEN {sr('x')} END AS x, CASE WHEN x IS NOT NULL THEN {sr('y')} END AS y FROM series")
 def geojson_roundtrip(spark, d):
     """Nested series as GeoJSON encoded twice, with dates as texts. A feature has both coordinates or no geometry."""
     path = scratch(spark, "geojson")
     files.write_geojson(table(spark, d, "series").select("series_id", "point_id", "dates", "images", "x", "y"), path, ["dates"])
     s = files.read_geojson(spark, path, "series_id bigint, point_id bigint, dates array<string>, images int", ["dates"])
-    return s.select("series_id", "point_id", "images", F.size("dates").alias("n_dates"), F.array_min("dates").alias("first_date"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return s.select("series_id", "point_id", "images", F.size("dates").alias("n_dates"), F.array_min("dates").alias("first_date"), r("x").alias("x"), r("y").alias("y"))
 
 
 @query(f"WITH {_P} SELECT point_id, x, y FROM p")
@@ -51,13 +51,13 @@ def plots_roundtrip(spark, d):
     return files.read_samples(spark, path, "PLOTID bigint, LAT double, LON double").select(F.col("PLOTID").alias("point_id"), r("x").alias("x"), r("y").alias("y"))
 
 
-@query(f"SELECT sample_id, change_label, round(coalesce(lon, {LON}), 6) AS x, round(coalesce(lat, {LAT}), 6) AS y FROM training")
+@query(f"SELECT sample_id, change_label, {sr(f'coalesce(lon, {LON})')} AS x, {sr(f'coalesce(lat, {LAT})')} AS y FROM training")
 def training_roundtrip(spark, d):
     """Training samples as CSV with lon, lat or a point's text."""
     path = scratch(spark, "training")
     table(spark, d, "training").select("sample_id", "lon", "lat", "geometry", "change_label").write.csv(path, header=True)
     t = files.read_training(spark, path, "sample_id bigint, lon double, lat double, geometry string, change_label int")
-    return t.select("sample_id", "change_label", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return t.select("sample_id", "change_label", r("x").alias("x"), r("y").alias("y"))
 
 
 @query(f"WITH {_FIRST_F} SELECT point_id, chunk_id FROM ff WHERE point_id NOT IN (SELECT point_id FROM features WHERE chunk_id % 2 = 0 AND point_id IS NOT NULL)")
