@@ -23,6 +23,7 @@ EARTH_RADIUS_M = 6_371_008.8
 CELL_ROWS = 10_000
 SAMPLE_ROWS = 40_000
 LEAF_ROWS = 48
+CELLS_A_TASK = 8
 #: Polygon edges that are sent to all tasks, at most; beyond that edges are joined on slabs of longitude.
 BROADCAST_EDGES = 500_000
 #: Beyond that, edges in a slab and points in one of its groups, about.
@@ -182,6 +183,8 @@ def pairs_within(places: DataFrame, metres: float, radius_m: float = EARTH_RADIU
             yield pd.DataFrame({"a": ids[i], "b": ids[j], "ma": m[i], "mb": m[j]})
 
     met = spots.mapInPandas(spread, "ux double, uy double, uz double, spot long, m long, cell long, home boolean")
+    # cells are work beyond their bytes: a stated number of partitions isn't coalesced by size
+    met = met.repartition(max(spark.sparkContext.defaultParallelism, math.ceil(cells / CELLS_A_TASK)), "cell")
     pairs = met.groupBy("cell").applyInPandas(meet, "a long, b long, ma long, mb long")
     single = lambda p: p.select(F.col("a").alias("point_id_a"), F.col("b").alias("point_id_b"))
     if (size[1] or 0) <= 1:
