@@ -111,7 +111,9 @@ def chosen_spots(spots: DataFrame, count: int, wanted: int, scale: float, sample
                 out["cell"], out["home"] = cell, home
                 yield out if halo else out[home].drop(columns="home")
 
-        return points.select("point_id", *AT).mapInPandas(spread, f"point_id long, ux double, uy double, uz double, cell long{', home boolean' if halo else ''}")
+        # a cell is work beyond its bytes: a stated number of partitions isn't coalesced by size
+        tasks = max(points.sparkSession.sparkContext.defaultParallelism, number)
+        return points.select("point_id", *AT).mapInPandas(spread, f"point_id long, ux double, uy double, uz double, cell long{', home boolean' if halo else ''}").repartition(tasks, "cell")
 
     schema = "point_id long, ux double, uy double, uz double, gain double"
     core = cut_lineage(cells(spots, math.ceil(count / cell_rows), 0.0).groupBy("cell").applyInPandas(pick, schema))
