@@ -50,6 +50,19 @@ def mmu_pixels(hectares: float, pixel: float = 30.0) -> int:
     return math.floor(scale**2 / pixel**2)
 
 
+def linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n things the smallest one that links (i, j) lead to: roots are hung under smaller ones and paths halved
+    until both ends of every link have one root."""
+    root = np.arange(n)
+    while True:
+        a, b = root[i], root[j]
+        if (a == b).all():
+            return root
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def components(raster: DataFrame) -> DataFrame:
     """``cell_x, cell_y, component, size``: 8-connected components of the cells given (each cell once).
 
@@ -60,24 +73,19 @@ def components(raster: DataFrame) -> DataFrame:
     r = raster.select("cell_x", "cell_y").distinct().withColumns({"tx": F.floor(F.col("cell_x") / tile), "ty": F.floor(F.col("cell_y") / tile)})
 
     def local(b: pd.DataFrame) -> pd.DataFrame:
-        at = {(x, y): k for k, (x, y) in enumerate(zip(b["cell_x"].tolist(), b["cell_y"].tolist()))}
-        parent = list(range(len(at)))
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        for (x, y), k in at.items():
-            for dx, dy in ((-1, -1), (-1, 0), (-1, 1), (0, -1)):
-                j = at.get((x + dx, y + dy))
-                if j is not None:
-                    a, c = root(k), root(j)
-                    parent[max(a, c)] = min(a, c)
-        roots = np.array([root(k) for k in range(len(at))], int)
-        name = b["cell_x"].to_numpy()[roots] * 2**31 + b["cell_y"].to_numpy()[roots]  # cells lie within 31 bits
-        return pd.DataFrame({"cell_x": b["cell_x"].to_numpy(), "cell_y": b["cell_y"].to_numpy(), "label": name})
+        x, y = b["cell_x"].to_numpy(), b["cell_y"].to_numpy()
+        key = (x - x.min()) * (2 * tile) + (y - y.min())  # a neighbour beyond the tile has a key of its own
+        order = np.argsort(key)
+        ends = []
+        for dx, dy in ((1, -1), (1, 0), (1, 1), (0, 1)):
+            wanted = key + dx * 2 * tile + dy
+            at = np.minimum(np.searchsorted(key[order], wanted), len(key) - 1)
+            hit = key[order[at]] == wanted
+            hit &= (y + dy - y.min() >= 0)
+            ends.append((np.nonzero(hit)[0], order[at[hit]]))
+        roots = linked(len(key), np.concatenate([i for i, _ in ends]), np.concatenate([j for _, j in ends]))
+        name = x[roots] * 2**31 + y[roots]  # cells lie within 31 bits
+        return pd.DataFrame({"cell_x": x, "cell_y": y, "label": name})
 
     cells = cut_lineage(r.groupBy("tx", "ty").applyInPandas(local, "cell_x long, cell_y long, label long"))
     edge = cells.where(f"pmod(cell_x, {tile}) in (0, {tile - 1}) or pmod(cell_y, {tile}) in (0, {tile - 1})")
@@ -148,13 +156,9 @@ def clip_to_box(xs: np.ndarray, ys: np.ndarray, box: tuple[float, float, float,
             break
         q = np.roll(p, -1, axis=0)
         a, b = sign * (p[:, axis] - edge), sign * (q[:, axis] - edge)
-        out = []
-        for k in range(len(p)):
-            if a[k] >= 0:
-                out.append(p[k])
-            if (a[k] >= 0) != (b[k] >= 0):
-                out.append(p[k] + (q[k] - p[k]) * (a[k] / (a[k] - b[k])))
-        p = np.array(out).reshape(-1, 2)
+        stay, cross = np.nonzero(a >= 0)[0], np.nonzero((a >= 0) != (b >= 0))[0]
+        cut = p[cross] + (q[cross] - p[cross]) * (a[cross] / (a[cross] - b[cross]))[:, None]
+        p = np.concatenate([p[stay], cut])[np.argsort(np.concatenate([2 * stay, 2 * cross + 1]), kind="stable")]
     return p[:, 0], p[:, 1]
 
 
