@@ -83,6 +83,7 @@ def strengths(items: DataFrame, scores: list[str], levels: int = LEVELS, damping
     its finer part. Without any score both are 0. Repeated rows are items of their own; extra columns stay."""
     s_ = [f"_s{i}" for i in range(len(scores))]
     clean = items.withColumns({a: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for a, c in zip(s_, scores)})
+    clean = cut_lineage(clean)  # read four times
     cuts, inner = level_cuts(clean, s_, levels, finer)
     level = [level_of(F.col(a), c) for a, c in zip(s_, cuts)]
     l_ = [f"_l{i}" for i in range(len(scores))]
