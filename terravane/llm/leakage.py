@@ -54,8 +54,6 @@ RUN = 3
 PIECE_WORDS = 10
 LONG_WORDS = 24
 ITEM_GAP, DOC_GAP = 6, 20
-#: Up to so many runs, shared phrases are set aside before the chain is sought; the chain is exact for any number.
-PRUNED_RUNS = 3_000
 HELD = 0.5
 #: Items searched for in one pass over the encoded corpus, in characters; more take further passes over the encoded corpus.
 PASS_CHARS = 20_000_000
@@ -375,19 +373,23 @@ def pieces(item: np.ndarray, doc: np.ndarray, rare: np.ndarray, least: float = 0
     length = np.diff(np.append(start, len(ii))) + RUN - 1
     runs = sorted(zip(ii[start].tolist(), jj[start].tolist(), length.tolist()), key=lambda r: (r[1], r[0]))
     ri, rq, rl = (np.array(x) for x in zip(*runs))
-    if len(runs) <= PRUNED_RUNS:
-        # a short run that no other one can follow or precede within the gaps is a shared phrase, whatever the chain
-        step_i, step_q = ri[None, :] - (ri + rl)[:, None], rq[None, :] - (rq + rl)[:, None]
-        joined = (step_i <= ITEM_GAP) & (step_q <= DOC_GAP) & (step_i + rl > 0) & (step_q + rl > 0) & (step_i > -rl[:, None]) & (step_q > -rl[:, None])
-        keep = (rl >= PIECE_WORDS) | joined.any(0) | joined.any(1)
-        if not keep.all():
-            ri, rq, rl = ri[keep], rq[keep], rl[keep]
-            runs = [r for r, k in zip(runs, keep) if k]
-        hit = np.zeros(m - RUN + 1, bool)
-        for a, n_ in zip(ri.tolist(), rl.tolist()):
-            hit[a : a + n_ - RUN + 1] = True
-        if not may_hold(hit, rare[item], max(1.0, least)):
-            return []
+    # a short run that no other one can follow or precede within the gaps is a shared phrase, whatever the chain
+    keep = rl >= PIECE_WORDS
+    for a in range(0, len(ri), 1000):
+        i, q, n_ = (x[a : a + 1000, None] for x in (ri, rq, rl))
+        z = int(np.searchsorted(rq, (q + n_).max() + DOC_GAP, "right"))
+        step_i, step_q = ri[None, a:z] - i - n_, rq[None, a:z] - q - n_
+        joined = (step_i <= ITEM_GAP) & (step_q <= DOC_GAP) & (step_i + rl[a:z] > 0) & (step_q + rl[a:z] > 0) & (step_i > -n_) & (step_q > -n_)
+        keep[a : a + 1000] |= joined.any(1)
+        keep[a:z] |= joined.any(0)
+    if not keep.all():
+        ri, rq, rl = ri[keep], rq[keep], rl[keep]
+        runs = [r for r, k in zip(runs, keep) if k]
+    hit = np.zeros(m - RUN + 1, bool)
+    for a, n_ in zip(ri.tolist(), rl.tolist()):
+        hit[a : a + n_ - RUN + 1] = True
+    if not may_hold(hit, rare[item], max(1.0, least)):
+        return []
     best, back = rl.astype(float), np.full(len(runs), -1)
     for k in range(1, len(runs)):
         gap_i, gap_q = ri[k] - ri[:k] - rl[:k], rq[k] - rq[:k] - rl[:k]

@@ -32,6 +32,8 @@ BLOCK = 512
 CORE, CONTRAST = 5, 4
 #: The means of all members move the pivots less from round to round; more rounds than this are an error.
 ROUNDS = 200
+#: Pivots are sent to all tasks; more than this many mean that the radius is too small for the fields' range, an error.
+MOST_PIVOTS = 50_000
 
 
 def standardised(records: DataFrame, item: str, fields: list[str]) -> DataFrame:
@@ -70,6 +72,8 @@ def hash_pivots(points: DataFrame, width: int, radius: float, block: int = BLOCK
                 new.append(p)
         added = np.array(new)
         pivots = np.concatenate([pivots, added])
+        if len(pivots) > MOST_PIVOTS:
+            raise ValueError(f"more than {MOST_PIVOTS} pivots: the radius is too small for the fields' range")
 
         def still_free(batches: Iterator[pd.DataFrame], added: np.ndarray = added) -> Iterator[pd.DataFrame]:
             for b in batches:
