@@ -131,6 +131,12 @@ def hash_split(df: DataFrame, id_: str, share: float = 0.7, seed: int = 0) -> Da
     return df.withColumn("part", F.when(h < int(share * 2**32), "train").otherwise("test"))
 
 
+def split_labelled(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with a label, rows without one); NaN is none."""
+    there = F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double"))
+    return df.where(there), df.where(~F.coalesce(there, F.lit(False)))
+
+
 def require_two_classes(df: DataFrame, target: str) -> None:
     """Raises unless the target holds two different values, nulls aside."""
     n = df.where(F.col(target).isNotNull()).select(target).distinct().limit(3).count()

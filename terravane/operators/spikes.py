@@ -225,7 +225,7 @@ def implausible_readings(series: DataFrame, bands: tuple[str, ...] = BANDS, crit
     """``series_id, band, idx, kind``: one row for each implausible reading of nested series.
 
     kind is 'impossible', 'stuck' or 'spike'; idx is the position in the stored array. Null, NaN and -9999 are absent
-    and never cases. Dates that are null or outside the years count as unknown. Null arrays, bands that the map lacks
+    and never cases; an infinite reading is impossible. Dates that are null or outside the years count as unknown. Null arrays, bands that the map lacks
     and empty rows give nothing; arrays longer than ``dates`` are read as far as the dates go. A row that comes twice
     is judged twice. Fewer than LEAST readings are judged for range and runs only. A single last reading that stands out is
     a spike; a change that two or more readings hold up to the end counts as lasting.
@@ -251,7 +251,6 @@ def implausible_readings(series: DataFrame, bands: tuple[str, ...] = BANDS, crit
                 width = int(lengths.max())
                 days_ = matrix(list(b["days"]), width)
                 v = np.concatenate([matrix(list(b[f"b{i}"]), width) for i in range(len(bands))])
-                v[np.isinf(v)] = np.nan
                 v[v == MASKED] = np.nan
                 v[np.arange(width)[None, :] >= np.tile(lengths, len(bands))[:, None]] = np.nan
                 verdict = judge(np.tile(days_, (len(bands), 1)), v, np.repeat(lows, len(b)), np.repeat(highs, len(b)), critical, stuck)

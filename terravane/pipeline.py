@@ -120,7 +120,12 @@ class DatasetAugmentation:
         conf = change.ChangeConfig(band=c.band, bands=tuple(b for b in c.bands if b != c.band), start_monitor=year(c.monitor_start), end_monitor=year(c.monitor_end), enabled=enabled, seed=c.seed)
         nested = series.nested(self.prepare(readings), list(c.bands))
         out = change.features(nested, conf, "point_id", int(year(c.calibration_start)), int(year(c.monitor_end)))
-        return out.join(products.drop("images"), "point_id") if products is not None else out
+        return joined_branches(out, products, "point_id") if products is not None else out
+
+
+def joined_branches(left: DataFrame, right: DataFrame, key: str, payload: tuple[str, ...] = ("ts", "dates", "geometry", "images")) -> DataFrame:
+    """Features of two branches of the stage side by side; the second one's copies of the series are left out."""
+    return left.join(right.drop(*payload), key)
 
 
 DataAugmentation = DatasetAugmentation

@@ -175,6 +175,28 @@ def feature_merge(spark, d):
     return relational.merged(f, p, "point_id").select("point_id", "feature_row", "product_row", "images", "gfc_tc00", "esa_lc20", "cusum_magnitude")
 
 
+@query(f"WITH {_FIRST_F}, s AS (SELECT * FROM series QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY extracted_at, series_id) = 1) SELECT point_id, row_id, ff.images, series_id FROM ff JOIN s USING (point_id)")
+def branch_merge(spark, d):
+    s = relational.keep_first(table(spark, d, "series").select("point_id", "series_id", "images", "dates", "extracted_at"), ["point_id"], ["extracted_at", "series_id"])
+    return pipeline.joined_branches(first_features(spark, d), s, "point_id").select("point_id", "row_id", "images", "series_id")
+
+
+@query("SELECT series_id, array_to_string(list_sort(list_filter(map_keys(ts), lambda b: b NOT IN ('ndfi', 'nir'))), ',') AS others FROM series")
+def band_difference(spark, d):
+    return table(spark, d, "series").select("series_id", F.array_join(F.array_sort(F.array_except(F.map_keys("ts"), F.array(F.lit("ndfi"), F.lit("nir")))), ",").alias("others"))
+
+
+@query("SELECT dw_class_mode AS cluster, count(*) AS n FROM products WHERE dw_class_mode IS NOT NULL GROUP BY 1")
+def cluster_sizes(spark, d):
+    return table(spark, d, "products").where("dw_class_mode is not null").groupBy(F.col("dw_class_mode").alias("cluster")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(change_label) AS labelled, count(*) - count(change_label) AS unlabelled FROM training")
+def labelled_split(spark, d):
+    with_label, without = ml.split_labelled(table(spark, d, "training"), "change_label")
+    return with_label.agg(F.count("*").alias("labelled")).join(F.broadcast(without.agg(F.count("*").alias("unlabelled"))))
+
+
 @query("SELECT row_id, point_id FROM features WHERE point_id IN (SELECT point_id FROM series WHERE point_id IS NOT NULL)")
 def semi_restrict(spark, d):
     return table(spark, d, "features").join(table(spark, d, "series"), "point_id", "left_semi").select("row_id", "point_id")
@@ -513,6 +535,20 @@ def square_grid(spark, d):
     return raster.inside(g, table(spark, d, "aoi")).select("point_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "poly_id")
 
 
+_U = "(((point_id % 1073741824 + {k}) * 2654435761) % 4294967296) / 4294967296.0::double"
+
+
+@query(f"""WITH {_BOUNDS}, n AS (SELECT *, CAST(floor((x1 - x0) / 0.5) AS BIGINT) + 1 AS nx, CAST(floor((y1 - y0) / 0.5) AS BIGINT) + 1 AS ny FROM b), g AS (
+  SELECT point_id, x0 + (point_id // ny) * 0.5 + {_U.format(k=42)} * 0.5 AS x, y0 + (point_id % ny) * 0.5 + {_U.format(k=143)} * 0.5 AS y FROM (SELECT *, unnest(range(0, nx * ny)) AS point_id FROM n)
+), e AS (SELECT a.poly_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM aoi a JOIN aoi b ON a.poly_id = b.poly_id AND a.ring = b.ring AND b.i = a.i + 1), c AS (
+  SELECT point_id, x, y, poly_id FROM g JOIN e ON x >= least(x1, x2) AND x < greatest(x1, x2) AND y < y1 + (y2 - y1) / (x2 - x1) * (x - x1) GROUP BY ALL HAVING count(*) % 2 = 1
+) SELECT point_id, round(x, 6) AS x, round(y, 6) AS y, min(poly_id) AS poly_id FROM c GROUP BY ALL""")
+def random_grid(spark, d):
+    """One random point in each cell of the square grid, by the cell's hash."""
+    g = pipeline.SampleDesign(ProjectConfig("grid", grid_spacing=0.5, grid_strategy="random")).generate_samples(table(spark, d, "aoi"))
+    return g.select("point_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "poly_id")
+
+
 @query(f"""WITH {_BOUNDS}, n AS (SELECT *, greatest(1, CAST(floor((x1 - 0.9 * 2.5 - x0) / 2.5 + 1e-9) AS BIGINT) + 1) AS nx, greatest(1, CAST(floor((y1 - 0.9 * 2.5 - y0) / 2.5 + 1e-9) AS BIGINT) + 1) AS ny FROM b)
 SELECT k // ny AS i, k % ny AS j, round(x0 + (k // ny) * 2.5, 6) AS xmin, round(y0 + (k % ny) * 2.5, 6) AS ymin, round(x0 + (k // ny + 1) * 2.5, 6) AS xmax, round(y0 + (k % ny + 1) * 2.5, 6) AS ymax FROM (SELECT *, unnest(range(0, nx * ny)) AS k FROM n)""")
 def tile_grid(spark, d):
@@ -731,6 +767,19 @@ def rf_probability(spark, d):
     return p.select("point_id", F.round("chg_probability", 6).alias("chg_probability"))
 
 
+@query()
+def forest_search(spark, d):
+    """Five random draws of the forest's parameters in five folds, then the best one's probabilities."""
+    p = ml.change_probability(_labelled(spark, d), PREDICTORS, "label", search=5)[0].dropDuplicates(["point_id"])
+    return p.select("point_id", F.round("chg_probability", 6).alias("chg_probability"))
+
+
+@query()
+def perceptron_probability(spark, d):
+    p = ml.change_probability(_labelled(spark, d), PREDICTORS, "label", neural=True)[0].dropDuplicates(["point_id"])
+    return p.select("point_id", F.round("chg_probability", 6).alias("chg_probability"))
+
+
 @query()
 def kmeans_clusters(spark, d):
     return ml.kmeans(first_features(spark, d).select("point_id", "ndfi_mean", "cusum_magnitude", "bs_slope_mean"), ["ndfi_mean", "cusum_magnitude", "bs_slope_mean"], 5).select("point_id", "cluster")

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 ALL = core_queries.QUERIES | reference_queries.QUERIES | io_queries.QUERIES
 SQL = core_queries.ORACLE | reference_queries.ORACLE | io_queries.ORACLE
 #: These need both classes among the training samples.
-LARGER = {"permutation_importance", "rf_probability"}
+LARGER = {"permutation_importance", "rf_probability", "forest_search", "perceptron_probability"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
