@@ -46,13 +46,13 @@ class SampleSize:
     def simulated_error(self, pixels: DataFrame, spacings: list[float], runs: int = 10) -> DataFrame:
         """Bias and uncertainty of the change share when one pixel (cell_x, cell_y, value 0/1) is drawn per grid cell.
 
-        Every run draws by its own hash, all runs and spacings in one plan; actual is the share of all pixels."""
-        spark = pixels.sparkSession
-        params = spark.createDataFrame([(float(s), k) for s in spacings for k in range(runs)], "spacing double, run int")
-        p = pixels.crossJoin(F.broadcast(params))
-        draw = p.groupBy("spacing", "run", F.floor(F.col("cell_x") / F.col("spacing")).alias("i"), F.floor(F.col("cell_y") / F.col("spacing")).alias("j"))
-        drawn = draw.agg(F.max_by("value", F.xxhash64("cell_x", "cell_y", "run")).alias("value"))
-        shares = drawn.groupBy("spacing", "run").agg(F.avg("value").alias("x"), F.count("*").alias("n"))
+        Every run draws by its own hash, in an aggregate of its own over the cells, so a pixel stands once per spacing and
+        not once per run; actual is the share of all pixels."""
+        p = pixels.withColumn("spacing", F.explode(F.array(*[F.lit(float(s)) for s in spacings])))
+        draw = p.groupBy("spacing", F.floor(F.col("cell_x") / F.col("spacing")).alias("i"), F.floor(F.col("cell_y") / F.col("spacing")).alias("j"))
+        drawn = draw.agg(*[F.max_by("value", F.xxhash64("cell_x", "cell_y", F.lit(k))).alias(f"v{k}") for k in range(runs)])
+        by_run = drawn.groupBy("spacing").agg(F.count("*").alias("n"), *[F.avg(f"v{k}").alias(f"v{k}") for k in range(runs)])  # one row a spacing
+        shares = by_run.select("spacing", "n", F.explode(F.array(*[F.col(f"v{k}") for k in range(runs)])).alias("x"))
         j = shares.join(F.broadcast(pixels.agg(F.avg("value").alias("actual"))))
         gap, z = F.abs(F.col("x") - F.col("actual")), estimation.z_value(self.config.confidence)
         return j.groupBy("spacing").agg(F.avg("n").alias("sample_size"), (F.avg(gap) * 100).alias("mean_bias"), (F.stddev_pop(gap) * 100).alias("sd_bias"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), (F.try_divide(z * F.stddev_pop("x"), F.avg("x")) * 100).alias("uncertainty"))
