@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terravane.operators.relational import looked_up
+from terravane.session import cut_lineage
+
 #: field: lowest and highest value that can be measured
 PRODUCT_RANGES = {"gfc_tc00": (0.0, 100.0), "potapov_tree_height": (0.0, 60.0), "dw_tree_prob_mean": (0.0, 100.0)}
 #: A batch of neighbours counts as stuck if at least this many of its rows hold something and all of it is one value.
@@ -34,14 +37,19 @@ def without_stuck_batches(df: DataFrame, fields: list[str], batch: str = "chunk_
     """df with the fields null in each batch whose values (nulls aside) are all one value other than 0.
 
     Neighbours share a batch, not a measurement: one value in a whole batch is a default that a run wrote. 0 stays, as
-    bare ground is 0 over wide areas. A null batch is none. Costs one small aggregate over (batch) and a join to it.
+    bare ground is 0 over wide areas. A null batch is none. Costs one aggregate over (batch), of which only the stuck ones
+    are written, and a look-up in these; df is not shuffled for it unless there are very many.
     """
     stats = df.where(F.col(batch).isNotNull()).groupBy(F.col(batch).alias("_b"))
     stats = stats.agg(*[F.when((F.count(f) >= least) & (F.min(f) == F.max(f)) & (F.max(f) != 0), F.max(f)).alias(f"_stuck_{f}") for f in fields])
     stats = stats.where(F.coalesce(*[F.col(f"_stuck_{f}") for f in fields]).isNotNull())
-    j = df.join(stats, df[batch] == stats["_b"], "left")
+    stats = cut_lineage(stats)
+    stuck = stats.count()
+    if not stuck:
+        return df
+    j = looked_up(df, stats, ("_b",), stuck, {f"_stuck_{f}": F.col(f"_stuck_{f}") for f in fields}, own=(batch,))
     cleaned = {f: F.when(~F.coalesce(F.col(f) == F.col(f"_stuck_{f}"), F.lit(False)), F.col(f)) for f in fields}
-    return j.select(*[cleaned[c].alias(c) if c in cleaned else df[c] for c in df.columns])
+    return j.select(*[cleaned[c].alias(c) if c in cleaned else F.col(f"`{c}`") for c in df.columns])
 
 
 def measured_products(products: DataFrame, keep: list[str] | None = None) -> DataFrame:
